@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from lookalike.llm.phrase_automata import op3_phrase_dedup
+from lookalike.llm.quality import op9_quality
+from lookalike.llm.simhash import op6_simhash
 from lookalike.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op3_phrase_dedup": op3_phrase_dedup,
+    "op6_simhash": op6_simhash,
+    "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
