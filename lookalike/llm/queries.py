@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lookalike.llm.inverted import op4_decontaminate
+from lookalike.llm.packing import op5_packing
 from lookalike.llm.phrase_automata import op3_phrase_dedup
 from lookalike.llm.quality import op9_quality
 from lookalike.llm.simhash import op6_simhash
@@ -9,6 +11,8 @@ from lookalike.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op3_phrase_dedup": op3_phrase_dedup,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
