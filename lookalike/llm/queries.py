@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from lookalike.llm.chat import SQL as OP7_SQL
+from lookalike.llm.chat import op7_chat_format
+from lookalike.llm.hamming_search import SQL as OP2_SQL
+from lookalike.llm.hamming_search import op2_hamming_topk
 from lookalike.llm.inverted import op4_decontaminate
 from lookalike.llm.packing import op5_packing
 from lookalike.llm.phrase_automata import op3_phrase_dedup
 from lookalike.llm.quality import op9_quality
 from lookalike.llm.simhash import op6_simhash
 from lookalike.llm.suffix_dedup import op10_suffix_dedup
+from lookalike.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op2_hamming_topk": op2_hamming_topk,
     "op3_phrase_dedup": op3_phrase_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_chat_format": op7_chat_format,
+    "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_hamming_topk": OP2_SQL, "op7_chat_format": OP7_SQL}
