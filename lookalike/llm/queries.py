@@ -6,6 +6,7 @@ from lookalike.llm.chat import SQL as OP7_SQL
 from lookalike.llm.chat import op7_chat_format
 from lookalike.llm.hamming_search import SQL as OP2_SQL
 from lookalike.llm.hamming_search import op2_hamming_topk
+from lookalike.llm.html_extract import op1_html_text
 from lookalike.llm.inverted import op4_decontaminate
 from lookalike.llm.packing import op5_packing
 from lookalike.llm.phrase_automata import op3_phrase_dedup
@@ -15,6 +16,7 @@ from lookalike.llm.suffix_dedup import op10_suffix_dedup
 from lookalike.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_hamming_topk": op2_hamming_topk,
     "op3_phrase_dedup": op3_phrase_dedup,
     "op4_decontaminate": op4_decontaminate,

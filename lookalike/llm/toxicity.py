@@ -1,6 +1,6 @@
 """Operator 8: toxicity by the nearest labelled examples.
 
-Terms are words and their five-letter stems.  A bounded sample of labelled rows (SAMPLE rows
+Terms are words and their stems of four and five letters.  A bounded sample of labelled rows (SAMPLE rows
 outside the held-out fold, by hash of the id) picks the terms whose presence goes with the
 label (chi-square); document frequencies are then counted over all documents.  Examples lie in
 an inverted index in blocks of BLOCK, which keeps for each term the largest weight in each
@@ -31,15 +31,18 @@ from lookalike.llm.inverted import words_of
 #: Labelled rows that are learned from, picked terms, neighbours, examples of a block, least
 #: chi-square of a term, weight of the prior among the votes.
 SAMPLE, TERMS, K, BLOCK, LEAST, PRIOR = 20_000, 512, 15, 64, 40.0, 0.5
-STEM = 5
+#: Letters (bytes) of a stem.
+STEMS = (4, 5)
 
 
 def _terms(text: bytes) -> Counter:
+    """Words and stems (with an asterisk) of a text."""
     said = Counter(words_of(text))
     stems: Counter = Counter()
     for w, n in said.items():
-        if len(w) > STEM:
-            stems[w[:STEM] + b"*"] += n
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k] + b"*"] += n
     return said + stems
 
 
@@ -76,17 +79,19 @@ def pick_terms(sample: DataFrame) -> list[bytes]:
 def vectors(texts: DataFrame, terms: list[bytes]) -> DataFrame:
     """(doc_id, ids, counts): the picked terms of each text, ascending."""
     place = {t: i for i, t in enumerate(terms)}
-    words = {t for t in terms if not t.endswith(b"*")}
-    stems = {t[:-1] for t in terms if t.endswith(b"*")}
+    stems = {t[:-1]: i for t, i in place.items() if t.endswith(b"*")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts = [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
-                said = words_of(t or b"")
-                found = Counter(place[w] for w in said if w in words)
-                if stems:
-                    found.update(place[w[:STEM] + b"*"] for w in said if w[:STEM] in stems and len(w) > STEM)
+                found: Counter = Counter()
+                for w, n in Counter(words_of(t or b"")).items():
+                    if w in place:
+                        found[place[w]] += n
+                    for k in STEMS:
+                        if len(w) > k and w[:k] in stems:
+                            found[stems[w[:k]]] += n
                 have = sorted(found)
                 ids.append(have)
                 counts.append([found[i] for i in have])
