@@ -208,4 +208,4 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     dirty = contamination(docs, table(spark, sf_dir, "benchmark")).where("size(spans) > 0").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(dirty, F.col("doc_id") == F.col("_d"), "left_anti")
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")

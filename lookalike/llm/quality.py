@@ -154,4 +154,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score of 0.5 or more)."""
     good = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("_d")).select(*docs.columns)
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_d"))).select(*docs.columns)

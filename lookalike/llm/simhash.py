@@ -99,6 +99,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, distance two or less."""
-    keep = near_duplicates(docs, words=5).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_d")).select(*docs.columns)
+    """One document of each group of near copies (the smallest id): five-word shingles."""
+    keep = near_duplicates(docs, words=5).where("doc_id <=> component_id").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d"))).select(*docs.columns)
