@@ -106,7 +106,8 @@ def _groups(units: Units) -> Callable:
             full = ~new_piece if units.first_stays else ~new_piece | same_next
             out = []
             if full.any():
-                out.append(rows(u[:n][full], loc[:n][full], np.zeros(full.sum(), np.int64)))
+                spread = P.mix((u[:n][full] * (1 << 20) + loc[:n][full]).astype(np.uint64)).view(np.int64)
+                out.append(rows(u[:n][full], loc[:n][full], spread))
             rep = np.flatnonzero(new_piece)
             if len(rep):
                 later = ~new_key[rep]
@@ -147,8 +148,8 @@ def _texts(units: Units) -> Callable:
         for batch in batches:
             raw, off = P.string_buffers(batch.column("_text"))
             marks = batch.column("_marks")
-            flat, moff = marks.flatten(), np.asarray(marks.offsets, dtype=np.int64)
-            moff = moff - moff[0]
+            flat = marks.flatten()
+            moff = np.concatenate([[0], np.cumsum(marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             loc = flat.field("_loc").to_numpy(zero_copy_only=False)
             key = flat.field("_key").to_numpy(zero_copy_only=False)
             hot = flat.field("_hot").to_numpy(zero_copy_only=False).astype(bool)
@@ -249,16 +250,19 @@ def marked(docs: DataFrame, units: Units, resolve: Callable, digest: Callable, s
     same = hashed.groupBy("_hash").agg(F.min("_uid").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     copies = written(hashed.join(same, "_hash").select("_uid", "_copies", F.when(F.col("_uid") != F.col("_first"), F.col("_first")).alias("_later")))
     texts = base.repartition("_uid").join(copies, "_uid", "left")
-    longs = "_key long, _piece long, _uid long, _loc long"
+    longs = "_key long not null, _piece long not null, _uid long not null, _loc long not null"
     cut = texts.select("_uid", "_id", "_text", "_copies", "_later").mapInArrow(_pieces(units), longs)
-    groups = cut.repartition("_key").sortWithinPartitions("_key", "_piece", "_uid", "_loc").mapInArrow(_groups(units), "_uid long, _loc long, _key long").repartition("_uid")
-    hot = groups.groupBy("_key").agg(F.sum(F.col("_loc").bitwiseAND(NEED)).alias("_n")).where(f"_n > {HOT}").select("_key", F.lit(True).alias("_hot"))
+    groups = cut.repartition("_key").sortWithinPartitions("_key", "_piece", "_uid", "_loc").mapInArrow(_groups(units), "_uid long not null, _loc long not null, _key long not null").repartition("_key")
+    # _top is asked for only to read all columns: pruned ones would make the exchange another.
+    tally = groups.groupBy("_key").agg(F.sum(F.col("_loc").bitwiseAND(NEED)).alias("_n"), F.max("_uid").alias("_top"))
+    hot = tally.where(f"_n > {HOT} and _top is not null").select("_key", F.lit(True).alias("_hot"))
     marks = groups.join(hot, "_key", "left").groupBy("_uid").agg(F.collect_list(F.struct("_loc", "_key", F.coalesce("_hot", F.lit(False)).alias("_hot"))).alias("_marks"))
-    bodies = texts.join(marks, "_uid").select("_uid", "_text", "_marks").mapInArrow(_texts(units), "_key long, _body binary, _uid long, _loc long")
+    # The same join serves both readers: with other columns or filters its exchanges would differ.
+    every = texts.join(marks, "_uid", "left")
+    bodies = every.select("_uid", "_id", "_text", "_copies", "_later", "_marks").mapInArrow(_texts(units), "_key long not null, _body binary not null, _uid long not null, _loc long not null")
     more = bodies.repartition("_key").sortWithinPartitions("_key", "_body", "_uid", "_loc").mapInArrow(_resolved(resolve, units.first_stays), "_uid long, _loc long")
     extra = more.groupBy("_uid").agg(F.collect_list("_loc").alias("_more"))
-    every = texts.join(marks, "_uid", "left").join(extra, "_uid", "left")
-    return every.select("_uid", "_id", "_text", "_copies", "_later", F.col("_marks._loc").alias("_marks"), "_more").mapInArrow(digest, schema)
+    return every.join(extra, "_uid", "left").select("_uid", "_id", "_text", "_copies", "_later", F.col("_marks._loc").alias("_marks"), "_more").mapInArrow(digest, schema)
 
 
 def mark_lists(batch: pa.RecordBatch):
