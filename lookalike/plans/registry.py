@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES: list[str] = []
+_MODULES = ["profile_queries"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
