@@ -64,12 +64,11 @@ def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Global row number by range partitions and their offsets: no task sees all rows.
 
     Equal keys must not occur in ``order``, or ranks among them are arbitrary."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    own = F.row_number().over(Window.partitionBy("_p").orderBy("_i"))
-    placed = parts.withColumn("_r", own)
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_i", "_r", "_n", "_b")
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__line": F.monotonically_increasing_id()})
+    placed = parts.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy("__line")))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__row") + F.col("__before")).drop("__part", "__line", "__row", "__size", "__before")
 
 
 def holdout_split(df: DataFrame, fraction: float, key: list[str], seed: int = SEED) -> DataFrame:
