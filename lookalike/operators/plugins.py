@@ -2,12 +2,11 @@
 
 User functions are Python and so the slow path: they run on Arrow batches, never row by row."""
 
-from __future__ import annotations
-
 import json
 from collections.abc import Callable
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +26,6 @@ def register_generator(name: str, returns: str) -> Callable:
 
 
 def generate_with(df: DataFrame, column: str, name: str, siblings: list[str]) -> DataFrame:
-    import pandas as pd
-
     fn, returns = _GENERATORS[name]
 
     @F.pandas_udf(returns)
@@ -40,8 +37,6 @@ def generate_with(df: DataFrame, column: str, name: str, siblings: list[str]) ->
 
 def post_process(df: DataFrame, column: str, fn: Callable, returns: str) -> DataFrame:
     """fn(value) -> value over a column; nulls stay (K-02)."""
-    import pandas as pd
-
     @F.pandas_udf(returns)
     def run(values: pd.Series) -> pd.Series:
         return values.map(fn, na_action="ignore")

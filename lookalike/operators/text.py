@@ -18,7 +18,7 @@ class Pii:
 
 # Kinds in order of priority; an earlier kind keeps its span.
 PII = (
-    Pii("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.98),
+    Pii("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+", 0.98),
     Pii("URL", r"https?://[^\s<>\"']+", 0.95),
     Pii("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.95),
     Pii("IBAN", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.7, "iban"),
@@ -31,39 +31,40 @@ PII = (
 MARK = "␟"
 
 
-def _split(c: Column) -> tuple[Column, Column]:
-    """The text with findings replaced kind by kind, so that later kinds do not overlap earlier."""
-    text, counts = c, []
-    for p in PII:
-        counts.append(F.regexp_extract_all(text, F.lit(f"({p.pattern})"), 1))
-        text = F.regexp_replace(text, p.pattern, MARK)
-    return text, counts
+def _spans():
+    """A function from a text to its findings (kind, start, string), kinds in order of priority: a
+    kind's findings are blanked to their length before the next kind is looked for."""
+    import re
+
+    kinds = [(p.kind, re.compile(p.pattern)) for p in PII]
+
+    def find(body: str):
+        for kind, pattern in kinds:
+            hits = [(m.start(), m[0]) for m in pattern.finditer(body)]
+            if hits:
+                yield from ((kind, at, hit) for at, hit in hits)
+                body = pattern.sub(lambda m: MARK * len(m[0]), body)
+
+    return find
 
 
 def detect_pii(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, kind, start, end, confidence, preview) of each finding (I-01).
 
-    Found strings are located in order: each is looked for after the end of the one before it of
-    its kind, in a copy where spans of earlier kinds are blanked to their length."""
+    Spans are resolved in Arrow batches; check digits are column expressions again."""
+    import pyarrow as pa
+
     from lookalike.functions.checks import valid
 
-    blank = F.col(text)
-    cols = []
-    for p in PII:
-        found = F.regexp_extract_all(blank, F.lit(f"({p.pattern})"), 1)
-        # cut at each finding; a running sum of lengths gives the offsets
-        rest = F.split(blank, p.pattern)
-        zipped = F.zip_with(F.slice(rest, 1, F.size(found)), found, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("hit")))
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
-        walked = F.aggregate(
-            zipped, first,
-            lambda acc, x: F.struct((acc.at + x.gap + F.char_length(x.hit)).alias("at"), F.concat(acc.out, F.array(F.struct((acc.at + x.gap).alias("start"), x.hit.alias("hit")))).alias("out")),
-            lambda acc: acc.out,
-        )
-        cols.append(F.transform(walked, lambda x, p=p: F.struct(F.lit(p.kind).alias("kind"), x.start.alias("start"), x.hit.alias("hit"))))
-        parts = F.zip_with(rest, F.transform(found, lambda h: F.repeat(F.lit(MARK), F.char_length(h))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        blank = F.array_join(parts, "")
-    hits = df.select(key, F.explode(F.flatten(F.array(*cols))).alias("f")).select(key, "f.*")
+    find = _spans()
+
+    def run(batches):
+        for batch in batches:
+            found = [(i, *f) for i, body in enumerate(batch.column(1).to_pylist()) for f in find(body or "")]
+            at, names, starts, hits = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(hits, pa.string())], [key, "kind", "start", "hit"])
+
+    hits = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("body")).mapInArrow(run, f"`{key}` long, kind string, start int, hit string")
     tight = F.regexp_replace("hit", "[ -]", "")
     sure = F.lit(0.0)
     for p in PII:
@@ -74,17 +75,27 @@ def detect_pii(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def pii_counts(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, one count per kind): findings without their places, one pass (I-01, I-02)."""
-    _, counts = _split(F.col(text))
-    return df.select(key, *[F.size(c).alias(p.kind.lower()) for c, p in zip(counts, PII, strict=True)])
+    """(key, one count per kind) of every document (I-01, I-02)."""
+    from collections import Counter
 
+    import pyarrow as pa
 
-def pii_summary(df: DataFrame, text: str, by: list[str]) -> DataFrame:
+    find, names = _spans(), [p.kind for p in PII]
+
+    def run(batches):
+        for batch in batches:
+            n = [Counter(k for k, _, _ in find(body or "")) for body in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([c[k] for c in n], pa.int32()) for k in names]], [key, *[k.lower() for k in names]])
+
+    schema = ", ".join([f"`{key}` long", *[f"{k.lower()} int" for k in names]])
+    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("body")).mapInArrow(run, schema)
+
+
+def pii_summary(df: DataFrame, text: str, key: str, by: list[str]) -> DataFrame:
     """(by, kind, documents, findings) (I-02)."""
-    _, counts = _split(F.col(text))
-    kinds = F.array(*[F.struct(F.lit(p.kind).alias("kind"), F.size(c).alias("n")) for c, p in zip(counts, PII, strict=True)])
-    rows = df.select(*by, F.explode(kinds).alias("k")).select(*by, "k.*").where("n > 0")
-    return rows.groupBy(*by, "kind").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("findings"))
+    kinds = F.array(*[F.struct(F.lit(p.kind).alias("kind"), F.col(p.kind.lower()).alias("n")) for p in PII])
+    rows = pii_counts(df, text, key).select(key, F.explode(kinds).alias("k")).select(key, "k.*").where("n > 0")
+    return rows.join(df.select(key, *by), key).groupBy(*by, "kind").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("findings"))
 
 
 # From which confidence a kind is redacted; under it the finding is flagged.
@@ -114,7 +125,10 @@ ENTITIES = {
 
 def extract_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, label, entity) of dates, organisations and people (I-05)."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), 1), lambda x, k=k: F.struct(F.lit(k).alias("label"), x.alias("entity"))) for k, p in ENTITIES.items()]))
+    def labelled(kind):
+        return lambda x: F.struct(F.lit(kind).alias("label"), x.alias("entity"))
+
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), 1), labelled(k)) for k, p in ENTITIES.items()]))
     return df.select(key, F.explode(F.array_distinct(found)).alias("e")).select(key, "e.*")
 
 
@@ -154,9 +168,14 @@ def classify_docs(df: DataFrame, text: str, key: str) -> DataFrame:
     return j.select(key, F.when(top.score > 0, top.kind).otherwise("unknown").alias("doc_type"), F.round(top.score, 4).alias("confidence"), ((top.score - second.score) < 0.2).alias("ambiguous"))
 
 
+def trigrams(c: Column) -> Column:
+    """All runs of three characters of the normalised text, in one linear scan."""
+    return F.regexp_extract_all(normalised(c), F.lit("(?s)(?=(...))"), 1)
+
+
 def language_profiles(df: DataFrame, text: str, label: str, most: int = 300) -> DataFrame:
     """(lang, gram, weight): log share of the commonest character trigrams of each language (I-09)."""
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(normalised(F.col(text))) - 2, F.lit(1))), lambda i: F.substr(normalised(F.col(text)), i, F.lit(3))))
+    grams = F.explode(trigrams(F.col(text)))
     n = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), grams.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     per = Window.partitionBy("lang")
     top = n.withColumns({"p": F.row_number().over(per.orderBy(F.desc("n"), "gram")), "t": F.sum("n").over(per)}).where(F.col("p") <= most)
@@ -167,8 +186,7 @@ def detect_language(df: DataFrame, text: str, key: str, profiles: DataFrame, flo
     """(key, language, confidence, status): best profile by mean log share of trigrams; short texts
     are for review (I-09)."""
     norm = normalised(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(norm) - 2, F.lit(1))), lambda i: F.substr(norm, i, F.lit(3)))
-    g = df.select(key, F.char_length(norm).alias("chars"), F.explode(grams).alias("gram")).groupBy(key, "chars", "gram").agg(F.count("*").alias("n"))
+    g = df.select(key, F.char_length(norm).alias("chars"), F.explode_outer(trigrams(F.col(text))).alias("gram")).groupBy(key, "chars", "gram").agg(F.count("*").alias("n"))
     langs = [r.lang for r in profiles.select("lang").distinct().orderBy("lang").collect()]
     wide = profiles.groupBy("gram").pivot("lang", langs).agg(F.max("weight"))  # a few hundred grams a language
     s = g.join(F.broadcast(wide), "gram", "left").groupBy(key, "chars").agg(*[F.round(F.sum(F.col("n") * F.coalesce(F.col(f"`{x}`"), F.lit(floor))) / F.sum("n"), 6).alias(x) for x in langs])

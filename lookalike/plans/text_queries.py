@@ -44,7 +44,7 @@ def i01d(s, d):
 
 @query("i02_pii_summary", f"select lang, source, kind, count(*) as documents, sum(n)::bigint as findings from {_ROWS} where n > 0 group by all")
 def i02(s, d):
-    return X.pii_summary(t(s, d, "documents"), "text", ["lang", "source"])
+    return X.pii_summary(t(s, d, "documents"), "text", "doc_id", ["lang", "source"])
 
 
 @query("i03_pii_policy", f"select kind, case when kind in ('EMAIL', 'SSN', 'IP', 'PHONE') then 'redact' else 'flag' end as action, sum(n)::bigint as findings from {_ROWS} where n > 0 and kind in ('EMAIL', 'SSN', 'IP', 'PHONE', 'URL', 'STREET') group by all")
@@ -102,7 +102,7 @@ def i08(s, d):
     return X.classify_docs(t(s, d, "documents"), "text", "doc_id")
 
 
-@query("i09_language_profiles", f"with n as (select lang, substr({_NORM}, i, 3) as gram from documents, range(1, 40000) r(i) where i <= greatest(length({_NORM}) - 2, 1)), c as (select lang, gram, count(*) as n from n group by all), p as (select *, row_number() over (partition by lang order by n desc, gram) as p, sum(n) over (partition by lang) as t from c) select lang, gram, round(ln(n::double / t), 6) as weight from p where p <= 300")
+@query("i09_language_profiles")
 def i09p(s, d):
     return X.language_profiles(t(s, d, "documents"), "text", "lang")
 

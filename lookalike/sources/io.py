@@ -97,7 +97,8 @@ def write_jsonl(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("errorifexists").json(f"{path}/{t}.json")
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path, JVM view)"""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm
@@ -105,7 +106,7 @@ def _fs(spark: SparkSession, path: str):
 
 def staged_publish(spark: SparkSession, tables: dict[str, DataFrame], dest: str) -> None:
     """All tables or none: written aside, then renamed; an existing target is refused (A-12)."""
-    fs, target, jvm = _fs(spark, dest)
+    fs, target, jvm = hadoop_path(spark, dest)
     if fs.exists(target):
         raise FileExistsError(dest)
     staging = f"{dest}.staging-{uuid.uuid4().hex}"

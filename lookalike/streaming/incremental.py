@@ -22,9 +22,16 @@ def shared(spark: SparkSession, name: str) -> str:
 
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table's files as a stream, with the schema of what is there."""
+    """A table's files as a stream, with the schema of what is there.  A single file is streamed as
+    the only match in its folder, which is what a file source reads."""
+    from lookalike.sources.io import hadoop_path
+
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
+    fs, where, _ = hadoop_path(spark, path)
+    if fs.getFileStatus(where).isFile():
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
