@@ -32,20 +32,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns _uid (long), _id, _text: _uid is unique and orders as (id, text) does.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Columns _uid (long), _id, _text and, with carry, _rest (a struct of those columns): _uid is
+    unique and orders as (id, text) does.
 
     It is the id itself where ids are unique and not null.  Otherwise rows are sorted by range
     and numbered, so that repeated rows and null ids stay documents of their own."""
     from pyspark.sql.types import IntegerType, LongType
 
-    df = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rest = [F.struct(*carry).alias("_rest")] if carry else []
+    df = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *rest)
+    kept = ["_id", "_text", "_rest"] if carry else ["_id", "_text"]
     whole = isinstance(docs.schema[id_col].dataType, (LongType, IntegerType))
     odd = df.groupBy("_id").count().where("count > 1 or _id is null").limit(1).count() if whole else 1
     if not odd:
-        return df.select(F.col("_id").cast("long").alias("_uid"), "_id", "_text")
+        return df.select(F.col("_id").cast("long").alias("_uid"), *kept)
     ranged = df.repartitionByRange(F.col("_id").asc_nulls_first(), "_text").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
-    return written(ranged.select(F.monotonically_increasing_id().alias("_uid"), "_id", "_text"))
+    return written(ranged.select(F.monotonically_increasing_id().alias("_uid"), *kept))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

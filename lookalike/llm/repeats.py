@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lookalike.llm import pieces as P
 from lookalike.llm.common import keyed, written
@@ -242,16 +243,21 @@ def _resolved(resolve: Callable, first_stays: bool) -> Callable:
     return run
 
 
-def marked(docs: DataFrame, units: Units, resolve: Callable, digest: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marked(docs: DataFrame, units: Units, resolve: Callable, digest: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """digest gets batches with _uid, _id, _text, _copies (rows of that text), _later (null: the
-    first of them) and _marks, _more (lists of loc: windows to mark); it yields rows of schema."""
-    base = keyed(docs, id_col, text_col)
+    first of them) and _marks, _more (lists of loc: windows to mark), with carry also _rest; it yields rows of schema,
+    followed by _rest.  Carried columns travel with the texts, so no later join is needed."""
+    base = keyed(docs, id_col, text_col, carry)
+    cols = [*base.columns, "_copies", "_later"]
+    out = T._parse_datatype_string(schema)
+    if carry:
+        out.add("_rest", base.schema["_rest"].dataType)
     hashed = base.select("_uid", F.md5("_text").alias("_hash"))
     same = hashed.groupBy("_hash").agg(F.min("_uid").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     copies = written(hashed.join(same, "_hash").select("_uid", "_copies", F.when(F.col("_uid") != F.col("_first"), F.col("_first")).alias("_later")))
     texts = base.repartition("_uid").join(copies, "_uid", "left")
     longs = "_key long not null, _piece long not null, _uid long not null, _loc long not null"
-    cut = texts.select("_uid", "_id", "_text", "_copies", "_later").mapInArrow(_pieces(units), longs)
+    cut = texts.select(*cols).mapInArrow(_pieces(units), longs)
     groups = cut.repartition("_key").sortWithinPartitions("_key", "_piece", "_uid", "_loc").mapInArrow(_groups(units), "_uid long not null, _loc long not null, _key long not null").repartition("_key")
     # _top is asked for only to read all columns: pruned ones would make the exchange another.
     tally = groups.groupBy("_key").agg(F.sum(F.col("_loc").bitwiseAND(NEED)).alias("_n"), F.max("_uid").alias("_top"))
@@ -259,10 +265,10 @@ def marked(docs: DataFrame, units: Units, resolve: Callable, digest: Callable, s
     marks = groups.join(hot, "_key", "left").groupBy("_uid").agg(F.collect_list(F.struct("_loc", "_key", F.coalesce("_hot", F.lit(False)).alias("_hot"))).alias("_marks"))
     # The same join serves both readers: with other columns or filters its exchanges would differ.
     every = texts.join(marks, "_uid", "left")
-    bodies = every.select("_uid", "_id", "_text", "_copies", "_later", "_marks").mapInArrow(_texts(units), "_key long not null, _body binary not null, _uid long not null, _loc long not null")
+    bodies = every.select(*cols, "_marks").mapInArrow(_texts(units), "_key long not null, _body binary not null, _uid long not null, _loc long not null")
     more = bodies.repartition("_key").sortWithinPartitions("_key", "_body", "_uid", "_loc").mapInArrow(_resolved(resolve, units.first_stays), "_uid long, _loc long")
     extra = more.groupBy("_uid").agg(F.collect_list("_loc").alias("_more"))
-    return every.join(extra, "_uid", "left").select("_uid", "_id", "_text", "_copies", "_later", F.col("_marks._loc").alias("_marks"), "_more").mapInArrow(digest, schema)
+    return every.join(extra, "_uid", "left").select(*cols, F.col("_marks._loc").alias("_marks"), "_more").mapInArrow(digest, out)
 
 
 def mark_lists(batch: pa.RecordBatch):

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookalike.llm import bwt
@@ -86,7 +86,7 @@ def _split(who, start, n, most=8192):
 def _digest(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "md5")}
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             raw, off = P.string_buffers(batch.column("_text"))
             data = raw.tobytes()
             for i, ((start, n), later) in enumerate(zip(mark_lists(batch), batch.column("_later").to_pylist(), strict=True)):
@@ -103,38 +103,36 @@ def _digest(length: int, with_text: bool):
                 out["n_removed"].append(len(body) - len(kept))
                 out["n_spans"].append(spans)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["md5"].append(hashlib.md5(body, usedforsecurity=False).hexdigest() if with_text else None)
                 out["kept"].append(kept.decode("utf-8", "ignore") if with_text else None)
+            rest = [batch.column("_rest")] if "_rest" in batch.schema.names else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_uid"), batch.column("_id").cast(pa.int64()), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string()), pa.array(out["md5"], pa.string())],
-                ["_uid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_md5"],
+                [batch.column("_uid"), batch.column("_id").cast(pa.int64()), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string()), *rest],
+                ["_uid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(["_rest"] if rest else [])],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, text_md5.
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and with
+    carry _rest, a struct of those columns.
 
-    text_md5 is of the text as given.  kept_text (both null unless with_text) drops bytes of a character that a span cuts apart, so that
+    kept_text (null unless with_text) drops bytes of a character that a span cuts apart, so that
     it stays valid UTF-8.  ``length`` is a multiple of four."""
     if length % bwt.STEP or length < 40:
         raise ValueError("length must be a multiple of 4, 40 at least")
     units = Units("byte", length, 32, first_stays=True)
-    schema = "_uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, text_md5 string"
-    return marked(docs, units, _resolver(length), _digest(length, with_text), schema, id_col, text_col).drop("_uid")
+    schema = "_uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return marked(docs, units, _resolver(length), _digest(length, with_text), schema, id_col, text_col, carry).drop("_uid")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "text_md5")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated spans; a document of which nothing stays goes."""
-    same = Window.partitionBy("_d", "_m")
-    kept = remove_repeats(docs, with_text=True).select(F.col("doc_id").alias("_d"), F.col("text_md5").alias("_m"), "n_removed", "kept_text")
-    kept = kept.withColumn("_n", F.row_number().over(same.orderBy("n_removed")))
-    rest = docs.withColumns({"_d": F.col("doc_id"), "_m": F.md5(F.coalesce("text", F.lit("")))}).drop("text", "n_chars")
-    rest = rest.withColumn("_n", F.row_number().over(same.orderBy(*[c for c in docs.columns if c not in ("text", "n_chars")])))
-    both = rest.alias("r").join(kept.alias("k"), F.expr("r._d <=> k._d and r._m = k._m and r._n = k._n"))
-    return both.where("length(kept_text) > 0 or n_removed = 0").withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    kept = remove_repeats(docs, with_text=True, carry=rest).where("length(kept_text) > 0 or n_removed = 0")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(f"_rest.{c}").alias(c) for c in docs.columns])
