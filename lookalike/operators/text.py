@@ -169,8 +169,11 @@ def classify_docs(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def trigrams(c: Column) -> Column:
-    """All runs of three characters of the normalised text, in one linear scan."""
-    return F.regexp_extract_all(normalised(c), F.lit("(?s)(?=(...))"), 1)
+    """All runs of three characters of the normalised text; linear in its length."""
+    chars = F.split(normalised(c), "")
+    shifted = lambda k: F.slice(chars, k, F.greatest(F.size(chars), F.lit(1)))
+    joined = lambda a, b: F.concat(a, b)
+    return F.filter(F.zip_with(F.zip_with(chars, shifted(2), joined), shifted(3), joined), lambda x: x.isNotNull())
 
 
 def language_profiles(df: DataFrame, text: str, label: str, most: int = 300) -> DataFrame:
