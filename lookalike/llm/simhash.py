@@ -9,6 +9,8 @@ that remain have the same components as all links, without any pair within a gro
 
 Null and empty texts have fingerprint zero; repeated rows are linked; null ids get the
 component's smallest id; an empty table gives no rows; other columns are not looked at.
+
+The pipeline's stage has another contract, a similarity of texts: see similar_texts.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from lookalike.llm.common import components, table, written
+from lookalike.llm.common import components, keyed, table, written
 
 SEED = 42
 RADIUS = 2
+#: Of the pipeline's stage: its least Jaccard similarity; bands of least hashes, hashes in a band.
+SIMILARITY, BANDS, ROWS = 0.8, 24, 4
+#: Classes of shingles whose parities bound the difference of two sets.
+PARITY = 1024
 #: Set bits of each byte value.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -98,7 +104,105 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def _sketches(words: int):
+    salt, odd = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+    odd |= np.uint32(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, same, keys = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                s = shingle_set(text, words)
+                sizes.append(len(s))
+                same.append(xxh3_128_digest(s.tobytes()))
+                h = (s >> np.uint64(32)).astype(np.uint32)
+                least = [((h[i : i + 4096] ^ salt) * odd).min(axis=1) for i in range(0, len(h), 4096)]
+                low = np.min(least, axis=0).reshape(BANDS, ROWS) if least else ()
+                keys.append([xxh64_intdigest(x.tobytes(), b) - (1 << 63) for b, x in enumerate(low)])
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["_uid", "_null", "_n", "_set", "_keys"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, bits = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                s = shingle_set(text, words)
+                odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                sets.append(s.tobytes())
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["node", "_s", "_bits"])
+
+    return run
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Jaccard similarity of the two sets of each row."""
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "sim"])
+
+
+def similar_texts(base: DataFrame, words: int, similarity: float) -> DataFrame:
+    """One row per component of texts whose shingle sets have that Jaccard similarity at least:
+    kept, the _uid of the smallest id (a null one only where there is no other).
+
+    base is common.keyed's.  Texts of equal sets count as one.  Two bits of a fingerprint do not
+    reach texts of 0.8, which stand 8 to 11 apart, so candidates meet in bands of least hashes:
+    of pairs at 0.8, (1 - 0.8 ** ROWS) ** BANDS are missed, three in a million, and fewer above.
+    Each is verified on whole sets.  A bucket's members are verified against its smallest first;
+    only those outside its component then are paired with the rest of the bucket, unless exact
+    bounds part them: distances to the smallest (the Jaccard distance is a metric), and the
+    parities of shingles in PARITY classes (each that differs is a shingle that only one has)."""
+    marks = base.select("_uid", F.col("_id").isNull().alias("_null"), "_text").mapInArrow(_sketches(words), "_uid long, _null boolean, _n long, _set binary, _keys array<long>")
+    first = F.min(F.when(~F.col("_null"), F.col("_uid")))
+    each = marks.groupBy("_set", "_n", "_keys").agg(F.coalesce(first, F.min("_uid")).alias("node"), first.isNull().alias("_null"))
+    each = written(each.select("node", "_null", "_n", "_keys"))
+    members = each.select("node", F.col("_n").alias("n"), F.explode("_keys").alias("key"))
+    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
+    held = written(members.join(shared, "key"))
+    sets = base.join(held.select(F.col("node").alias("_uid")).distinct(), "_uid", "left_semi")
+    sets = written(sets.select("_uid", "_text").mapInArrow(_sets(words), "node long, _s binary, _bits array<long>"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("node").alias("b"), F.col("_s").alias("_y")), sets.select(F.col("node").alias("a"), F.col("_s").alias("_x"))
+        return written(pairs.join(one, "b").join(two, "a").select("a", "b", "_x", "_y").mapInArrow(_apart, "a long, b long, sim double"))
+
+    stars = verified(held.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    close = F.col("sim") >= similarity - 1e-12
+    roots = components(stars.where(close), "a", "b")
+    of = lambda name, root: roots.select(F.col("node").alias(name), F.col("root").alias(root))
+    known = held.where("low <> node").join(of("node", "root"), "node", "left").join(of("low", "low_root"), "low", "left")
+    known = known.withColumn("root", F.coalesce("root", "node")).withColumn("low_root", F.coalesce("low_root", "low"))
+    known = known.join(stars.select(F.col("a").alias("low"), F.col("b").alias("node"), "sim"), ["low", "node"])
+    known = written(known.select("key", "node", "n", "root", "sim", (F.col("root") != F.col("low_root")).alias("out")))
+    outside = known.where("out").select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "sim")])
+    known = known.join(outside.select("key").distinct(), "key", "left_semi")
+    known = known.join(sets.select("node", "_bits"), "node")
+    outside = outside.join(sets.select(F.col("node").alias("o_node"), F.col("_bits").alias("o_bits")), "o_node")
+    least = sum((F.bit_count(F.col("_bits")[i].bitwiseXOR(F.col("o_bits")[i])) for i in range(PARITY // 64)), F.lit(0))
+    fits = (least <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("o_n")) + 1e-9) & (F.abs(F.col("sim") - F.col("o_sim")) <= 1 - similarity + 1e-9)
+    pairs = outside.join(known, "key").where((F.col("root") != F.col("o_root")) & fits)
+    rest = verified(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct())
+    roots = components(stars.unionByName(rest).where(close), "a", "b")
+    labelled = each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return labelled.groupBy("root").agg(F.coalesce(F.min(F.when(~F.col("_null"), F.col("node"))), F.min("node")).alias("kept")).select("kept")
+
+
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (the smallest id): five-word shingles."""
-    keep = near_duplicates(docs, words=5).where("doc_id <=> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d"))).select(*docs.columns)
+    """One row of each group of near copies: five-word sets, a Jaccard similarity of 0.8 or more."""
+    base = keyed(docs, carry=docs.columns)
+    keep = similar_texts(base, 5, SIMILARITY).select(F.col("kept").alias("_uid"))
+    return base.join(keep, "_uid", "left_semi").select("_rest.*")
