@@ -1,211 +1,272 @@
 """Operator 4: benchmark decontamination with a distributed positional inverted index.
 
-Training texts are cut into blocks of documents.  A block keeps, for each term of the test
-items, the ascending list of its positions, coded as gaps; documents of a block stand apart by
-more than a window.  The index is stored once.  A test window (ten words) then looks for its
-rarest terms first, by their counts over the whole index: their lists are shifted by the
-term's place in the window and intersected, rarest first, until nothing or all terms are left.
-With ``slop`` a term may stand so many words off its place, which gives proximity matches.
-
-Test items are read in chunks of bounded size (CHUNK_BYTES), each with an index and a search of
-its own, so what tasks hold of the test set is bounded whatever its size.
-
-Nulls have no words; items without words match nothing; repeated items count once, repeated rows
-are scored each (rows of one id are merged where the test set takes several chunks); an empty table gives no rows; other columns are not looked at.
+``build`` stores the postings of all training words: texts are cut into blocks of about
+BLOCK_BYTES, and for each (term, block) there is one row with the ascending positions, coded as
+gaps; documents of a block stand apart by more than a window.  The index is dealt and sorted by
+term (a frequent term by stretches of blocks too) and serves any test set: ``postings`` takes it
+ready-made.
+
+A search needs no vocabulary on the driver.  Test items are joined to the counts of their words;
+the rarest word of each window, joined to the index, says which blocks an item must visit.  A
+block's postings and the items that visit it stream through one task, sorted by block: each
+window's lists are shifted by the words' places and intersected, rarest first, until nothing or
+all words are left.  With ``slop`` a word may stand so many words off its place, which gives
+proximity matches.  What a task holds is one block and one item, whatever the size of the test set.
+
+Nulls have no words; items without words match nothing; repeated items count once; repeated rows
+and null ids are documents of their own; one very long text is a block of its own; an empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookalike.llm import pieces as P
-from lookalike.llm.common import table, written
+from lookalike.llm.common import keyed, table, written
 
-#: Bytes of test texts in a chunk and of training texts in a block.
-CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
+#: Bytes of training texts in a block; stretches of blocks that a term's rows are dealt to.
+BLOCK_BYTES, STRETCHES = 4 << 20, 16
+#: Intersections of a block that are remembered.
+MEMO = 50_000
 #: Separators, after lower-casing: all of ASCII but digits and letters.
 _SEPARATE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
-#: Stands for a null id inside the index.
-_NO_ID = -(1 << 63) + 1
-
-_INDEX = "docs binary, words binary, terms binary, counts binary, gaps binary, wide binary"
+_INDEX = "block long, term binary, n long, gaps binary, wide binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_SEPARATE).split()
 
 
-def _chunks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    chunk, size = [], 0
-    for r in items.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        text = (r[1] or "").encode()
-        if said := words_of(text):
-            chunk.append((r[0] or "", said))
-            size += len(text)
-        if size >= CHUNK_BYTES:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def build(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per block of documents: their ids and word counts, and the position lists."""
+def build(base: DataFrame, gap: int) -> DataFrame:
+    """The index of ``keyed`` texts.  A row without a term lists the block's documents: gaps
+    holds their _uid, wide their numbers of words.  ``block`` is the block's first _uid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
         for batch in batches:
             raw, off = P.string_buffers(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            uids = batch.column(0).to_numpy(zero_copy_only=False)
             data = raw.tobytes()
             for i, j in P.slices(off, BLOCK_BYTES):
-                parts, sizes = [], []
+                codes, coded = _Codes(), []
                 for k in range(i, j):
                     said = words_of(data[off[k] : off[k + 1]])
-                    sizes.append(len(said))
-                    parts.append(np.fromiter((get(w, -1) for w in said), np.int32, len(said)))
-                    parts.append(np.full(gap, -1, np.int32))
-                seq = np.concatenate(parts)
-                pos = np.flatnonzero(seq >= 0)
-                term = seq[pos]
-                order = np.argsort(term.astype(np.uint16) if len(vocabulary) < 65536 else term, kind="stable")
+                    coded.append(np.fromiter(map(codes.__getitem__, said), np.int32, len(said)))
+                sizes = np.array([len(c) for c in coded], np.int64)
+                term = np.concatenate(coded)
+                pos = np.arange(len(term)) + np.repeat(np.arange(j - i) * gap, sizes)
+                order = np.argsort(term.astype(np.uint16) if len(codes) < 65536 else term, kind="stable")
                 pos, term = pos[order], term[order]
                 edge = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
                 step = np.diff(pos, prepend=0)
                 step[edge] = pos[edge]
                 large = step >= 255
-                cols = [ids[i:j].astype(np.int64), np.array(sizes, np.int64), term[edge], np.diff(np.append(edge, len(term))).astype(np.int64), np.where(large, 255, step).astype(np.uint8), step[large].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["docs", "words", "terms", "counts", "gaps", "wide"])
+                ends = np.append(edge, len(term))
+                far = np.concatenate([[0], np.cumsum(large)])[ends] * 8
+                meta = pa.RecordBatch.from_arrays([pa.array([uids[i]], pa.int64()), pa.array([None], pa.binary()), pa.array([j - i], pa.int64()), pa.array([uids[i:j].astype(np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], ["block", "term", "n", "gaps", "wide"])
+                yield meta
+                if len(codes):
+                    arrays = [pa.array(np.full(len(codes), uids[i], np.int64)), pa.array(list(codes), pa.binary()), pa.array(np.diff(ends)), _binary(ends, np.minimum(step, 255).astype(np.uint8)), _binary(far, step[large].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["block", "term", "n", "gaps", "wide"])
+
+    return base.select("_uid", "_text").mapInArrow(run, _INDEX)
+
+
+def postings(base: DataFrame, window: int = 10, slop: int = 0) -> DataFrame:
+    """The stored index, dealt and sorted by term."""
+    rows = build(base, window + 2 * slop)
+    return written(rows.repartition("term", F.pmod(F.xxhash64("block"), F.lit(STRETCHES))).sortWithinPartitions("term", "block"))
+
+
+def _said(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(row, item, words): a row number of its own per item row with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item"), pa.array(words, pa.list_(pa.binary()))], ["row", "item", "words"])
+
+    rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "item", "text").mapInArrow(run, "row long, item string, words array<binary>").where("size(words) > 0"))
 
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(run, _INDEX)
 
+def _windows(counts: list[int], window: int) -> list[tuple[int, list[int]]]:
+    """(start, places by rising count) of the windows whose words all occur."""
+    size = min(window, len(counts))
+    spans = range(len(counts) - size + 1)
+    return [(s, sorted(range(size), key=lambda i: (counts[s + i], i))) for s in spans if all(counts[s : s + size])]
 
-def term_counts(index: DataFrame, terms: int) -> np.ndarray:
-    """Postings of each term over the whole index; as many numbers as the chunk has terms."""
 
+def _rarest(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(terms, np.int64)
         for batch in batches:
-            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[np.frombuffer(t, np.int32)] += np.frombuffer(c, np.int64)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["term", "n"])
+            rows, terms = [], []
+            for row, words, counts in zip(batch.column("row").to_pylist(), batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                for t in {words[s + places[0]] for s, places in _windows(counts, window)}:
+                    rows.append(row)
+                    terms.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(terms, pa.binary())], ["row", "term"])
+
+    return run
+
 
-    out = np.zeros(terms, np.int64)
-    for r in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.term] = r.n
-    return out
+def _opened(gaps: bytes, wide: bytes) -> np.ndarray:
+    step = np.frombuffer(gaps, np.uint8).astype(np.int64)
+    step[step == 255] = np.frombuffer(wide, np.int64)
+    return np.cumsum(step)
 
 
-def _search(phrases: list[list[int]], owners: list[list[str]], counts: np.ndarray, gap: int, slop: int):
-    by_rarest: dict[int, list[tuple[int, list[int]]]] = {}
-    for p, phrase in enumerate(phrases):
-        places = sorted(range(len(phrase)), key=lambda i: (counts[phrase[i]], i))
-        if all(counts[t] for t in phrase):
-            by_rarest.setdefault(phrase[places[0]], []).append((p, places))
+def _meeting(start: np.ndarray, pos: np.ndarray, shift: int, slop: int) -> np.ndarray:
+    """The starts that have one of the positions at start + shift, slop aside."""
+    k = np.searchsorted(pos, start + (shift - slop))
+    return start[(k < len(pos)) & (pos[np.minimum(k, len(pos) - 1)] <= start + (shift + slop))]
+
+
+def _search(window: int, gap: int, slop: int):
+    """Rows come sorted by (block, kind): its documents (0), its postings (1), items (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, lists, opened, memo = None, {}, {}, {}
+        uids = begin = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, sizes = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["words"], np.int64)
-                begin = np.cumsum(sizes + gap) - sizes - gap
-                terms, n = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["counts"], np.int64)
-                step = np.frombuffer(row["gaps"], np.uint8).astype(np.int64)
-                step[step == 255] = np.frombuffer(row["wide"], np.int64)
-                ends = np.cumsum(n)
-                at = {int(t): (int(e - c), int(e)) for t, c, e in zip(terms, n, ends, strict=True)}
-                opened: dict[int, np.ndarray] = {}
-
-                def positions(t, at=at, step=step, opened=opened):
+            found: tuple[list, list, list, list] = ([], [], [], [])
+            names = ("block", "kind", "term", "gaps", "wide", "row", "words", "counts")
+            for blk, kind, term, gaps, wide, row, words, counts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if blk != block:
+                    block, lists, opened, memo = blk, {}, {}, {}
+                if kind == 0:
+                    uids, sizes = np.frombuffer(gaps, np.int64), np.frombuffer(wide, np.int64)
+                    begin = np.cumsum(sizes + gap) - sizes - gap
+                    continue
+                if kind == 1:
+                    lists[term] = (gaps, wide)
+                    continue
+
+                def positions(t, lists=lists, opened=opened):
                     if t not in opened:
-                        a, b = at[t]
-                        opened[t] = np.cumsum(step[a:b])
+                        opened[t] = _opened(*lists[t])
                     return opened[t]
 
-                marks: dict[int, list] = {}
-                for rare in at.keys() & by_rarest.keys():
-                    for p, places in by_rarest[rare]:
-                        phrase = phrases[p]
-                        if any(phrase[i] not in at for i in places[1:]):
-                            continue
-                        start = positions(rare) - places[0]
-                        for i in places[1:]:
-                            want, pos = start + i, positions(phrase[i])
-                            k = np.searchsorted(pos, want - slop)
-                            start = start[(k < len(pos)) & (pos[np.minimum(k, len(pos) - 1)] <= want + slop)]
-                            if not len(start):
-                                break
-                        for s in start.tolist():
-                            d = int(np.searchsorted(begin, s + slop, side="right")) - 1
-                            marks.setdefault(d, []).append((max(s - int(begin[d]), 0), len(phrase), p))
-                spans, items = [], []
-                for d in range(len(ids)):
-                    m = marks.get(d, ())
-                    spans.append([x for s, k, _ in m for x in (s, s + k)])
-                    items.append(sorted({o for _, _, p in m for o in owners[p]}))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                for s, places in _windows(counts, window):
+                    phrase = words[s : s + len(places)]
+                    if any(t not in lists for t in phrase):
+                        continue
+                    a, *others = places
+                    start = positions(phrase[a])
+                    if others:  # windows that overlap share their two rarest words
+                        key = (phrase[a], phrase[others[0]], others[0] - a)
+                        if key not in memo:
+                            if len(memo) >= MEMO:
+                                memo.clear()
+                            memo[key] = _meeting(start, positions(phrase[others[0]]), others[0] - a, slop)
+                        start = memo[key]
+                    for i in others[1:]:
+                        if not len(start):
+                            break
+                        start = _meeting(start, positions(phrase[i]), i - a, slop)
+                    if len(start):
+                        d = np.searchsorted(begin, start, side="right") - 1
+                        found[0].extend(uids[d].tolist())
+                        found[1].extend(np.maximum(start - a - begin[d], 0).tolist())
+                        found[2].extend([len(places)] * len(start))
+                        found[3].extend([row] * len(start))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["_uid", "start", "size", "row"])
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(_uid, start, size, item): every place in a document where a window of an item stands."""
+    said = _said(items, item_col, item_text)
+    terms = index.where("term is not null")
+    held = terms.join(said.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
+    counts = held.groupBy("term").agg(F.sum("n").alias("count"))
+    places = said.select("row", F.posexplode("words").alias("place", "term")).join(counts, "term", "left")
+    per_item = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("count", F.lit(0)).alias("count")))).alias("c"))
+    counted = written(said.join(per_item.select("row", F.col("c.count").alias("counts")), "row").select("row", "words", "counts"))
+    visits = counted.mapInArrow(_rarest(window), "row long, term binary").join(terms.select("term", "block"), "term").select("row", "block").distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    about = [F.lit(None).cast("long").alias("row"), none("array<binary>").alias("words"), none("array<bigint>").alias("counts")]
+    lists = [index.where("term is null").select("block", F.lit(0).alias("kind"), "term", "gaps", "wide", *about), held.select("block", F.lit(1).alias("kind"), "term", "gaps", "wide", *about)]
+    guests = visits.join(counted, "row").select("block", F.lit(2).alias("kind"), *[none("binary").alias(c) for c in ("term", "gaps", "wide")], "row", "words", "counts")
+    rows = lists[0].unionByName(lists[1]).unionByName(guests).repartition("block").sortWithinPartitions("block", "kind")
+    found = rows.mapInArrow(_search(window, window + 2 * slop, slop), "_uid long, start long, size long, row long")
+    return written(found.join(said.select("row", "item"), "row").select("_uid", "start", "size", "item"))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for uids, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(uids, np.int64)), pa.array(np.frombuffer(sizes, np.int64))], ["_uid", "n_words"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words lie in a span."""
     for batch in batches:
-        hits, digests, counts = [], [], []
-        for n, flat, items in zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            if flat:
-                d = np.zeros(n + 1, np.int32)
-                np.add.at(d, np.minimum(flat[0::2], n), 1)
-                np.subtract.at(d, np.minimum(flat[1::2], n), 1)
-                hits.append(int((np.cumsum(d[:n]) > 0).sum()))
-            else:
-                hits.append(0)
-            named = sorted(set(items))
-            counts.append(len(named))
-            digests.append(hashlib.sha256(",".join(named).encode()).hexdigest())
-        arrays = [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        hits = []
+        for spans in batch.column("spans").to_pylist():
+            end, total = 0, 0
+            for s in sorted((x["start"], x["start"] + x["size"]) for x in spans or ()):
+                total += max(0, s[1] - max(end, s[0]))
+                end = max(end, s[1])
+            hits.append(total)
+        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("spans"), batch.column("items")], ["_uid", "doc_id", "n_words", "n_hit", "spans", "items"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, spans (flat starts and ends of matches), items."""
-    found = []
-    for chunk in _chunks(items, item_col, item_text):
-        vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], list[str]] = {}
-        for item, said in chunk:
-            coded = [vocabulary.setdefault(w, len(vocabulary)) for w in said]
-            size = min(window, len(coded))
-            for i in range(len(coded) - size + 1):
-                windows.setdefault(tuple(coded[i : i + size]), []).append(item)
-        gap = window + 2 * slop
-        index = written(build(docs, vocabulary, gap, id_col, text_col))
-        counts = term_counts(index, len(vocabulary))
-        search = _search([list(w) for w in windows], [sorted(set(o)) for o in windows.values()], counts, gap, slop)
-        found.append(index.mapInArrow(search, "doc_id long, n_words long, spans array<long>, items array<string>"))
-    if not found:
-        index = written(build(docs, {}, window, id_col, text_col))
-        found = [index.mapInArrow(_search([], [], np.zeros(0, np.int64), window, slop), "doc_id long, n_words long, spans array<long>, items array<string>")]
-    if len(found) > 1:
-        found = [reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))]
-    return found[0].withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    """One row per row of docs: doc_id, n_words, n_hit, spans (start, size of each match), items."""
+    base = keyed(docs, id_col, text_col)
+    index = postings(base, window, slop)
+    found = matches(index, items, window, slop, item_col, item_text)
+    spans = found.select("_uid", "start", "size").distinct().groupBy("_uid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    named = found.select("_uid", "item").distinct().groupBy("_uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    sizes = index.where("term is null").select("gaps", "wide").mapInArrow(_sizes, "_uid long, n_words long")
+    whole = base.select("_uid", F.col("_id").cast("long").alias("doc_id")).join(sizes, "_uid").join(spans, "_uid", "left").join(named, "_uid", "left")
+    schema = "_uid long, doc_id long, n_words long, n_hit long, spans array<struct<start: long, size: long>>, items array<string>"
+    return whole.select("_uid", "doc_id", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_covered, schema).drop("_uid")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    n_items, named = F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", F.least("n_words", "n_hit").alias("n_hit"), n_items, named, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    dirty = contamination(docs, table(spark, sf_dir, "benchmark")).where("size(spans) > 0").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    """Documents that hold no window of a benchmark item; each row is judged by itself."""
+    base = keyed(docs, carry=docs.columns)
+    dirty = matches(postings(base), table(spark, sf_dir, "benchmark")).select("_uid").distinct()
+    return base.join(dirty, "_uid", "left_anti").select("_rest.*")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS phrase
+      FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+p AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+m AS (SELECT r, k, n, item FROM p JOIN g USING (phrase, n)),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS x FROM (SELECT DISTINCT r, k, n FROM m)) GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS named FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)"""

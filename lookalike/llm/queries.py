@@ -7,6 +7,7 @@ from lookalike.llm.chat import op7_chat_format
 from lookalike.llm.hamming_search import SQL as OP2_SQL
 from lookalike.llm.hamming_search import op2_hamming_topk
 from lookalike.llm.html_extract import op1_html_text
+from lookalike.llm.inverted import SQL as OP4_SQL
 from lookalike.llm.inverted import op4_decontaminate
 from lookalike.llm.packing import op5_packing
 from lookalike.llm.phrase_automata import op3_phrase_dedup
@@ -28,4 +29,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE = {"op2_hamming_topk": OP2_SQL, "op7_chat_format": OP7_SQL}
+ORACLE = {"op2_hamming_topk": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_chat_format": OP7_SQL}

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("spans", T.StringType())])
@@ -50,17 +51,43 @@ def made(seed):
     return docs + [(500, None, None, None), (501, "", "s", None), (3, docs[3][1], "s", None)], items
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 1 << 20), (2, 1 << 20), (2, 100)])
-def test_windows(spark, seed, chunk, monkeypatch):
+@pytest.mark.parametrize("seed,block", [(1, 4 << 20), (2, 4 << 20), (2, 200), (3, 1)])
+def test_windows(spark, seed, block, monkeypatch):
     from lookalike.llm import inverted
 
-    monkeypatch.setattr(inverted, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(inverted, "BLOCK_BYTES", block)
     docs, items = made(seed)
-    if chunk < 1000:
-        docs = docs[:-1]
-    found = inverted.contamination(spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, ITEMS))
-    got = found.mapInArrow(inverted._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
+    docs += [(3, "another text of one id, " + (items[5][1] or ""), "s", None), (None, docs[0][1], None, None), (None, docs[7][1], None, None), (-(1 << 63) + 1, docs[8][1], None, None)]
+    found = digested(inverted.contamination(spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, ITEMS)))
+    assert sorted(map(tuple, found.collect()), key=str) == brute(docs, items)
+
+
+def digested(found):
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0)
+
+
+def test_long_text_and_index_of_all_words(spark):
+    from lookalike.llm import inverted
+    from lookalike.llm.common import keyed
+
+    long = "lorem ipsum " * 300_000 + "a b c d e f g h i j"
+    docs = [(1, long, None, None), (2, "x y z", None, None)]
+    items = [(1, "q a b c d e f g h i j"), (2, "lorem " * 12)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert sorted(map(tuple, digested(inverted.contamination(df, spark.createDataFrame(items, ITEMS))).collect()), key=str) == brute(docs, items)
+    counts = inverted.postings(keyed(df)).where("term is not null").groupBy(F.col("term").cast("string")).agg(F.sum("n")).collect()
+    assert dict(map(tuple, counts)) == dict(Counter(words(long) + ["x", "y", "z"]))
+
+
+def test_sql_agrees(spark, sf):
+    import duckdb
+
+    from lookalike.llm.inverted import SQL, op4_decontaminate
+
+    for name in ("documents", "benchmark"):
+        duckdb.sql(f"create or replace view {name} as select * from '{sf}/{name}.parquet'")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted(map(tuple, op4_decontaminate(spark, sf).select(*cols).collect())) == sorted(duckdb.sql(SQL).select(*cols).fetchall())
 
 
 def test_proximity_and_empty(spark):
