@@ -1,10 +1,9 @@
 """Operator 4: benchmark decontamination with a distributed positional inverted index.
 
 ``build`` stores the postings of all training words: texts are cut into blocks of about
-BLOCK_BYTES, and for each (term, block) there is one row with the ascending positions, coded as
-gaps; documents of a block stand apart by more than a window.  The index is dealt and sorted by
-term (a frequent term by stretches of blocks too) and serves any test set: ``postings`` takes it
-ready-made.
+BLOCK_BYTES, and each term of a block has the ascending list of its positions, coded as gaps;
+documents of a block stand apart by more than a window.  The index is dealt by buckets of terms
+and serves any test set.
 
 A search needs no vocabulary on the driver.  Test items are joined to the counts of their words;
 the rarest word of each window, joined to the index, says which blocks an item must visit.  A
@@ -20,8 +19,8 @@ gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +30,15 @@ from pyspark.sql import functions as F
 from lookalike.llm import pieces as P
 from lookalike.llm.common import keyed, table, written
 
-#: Bytes of training texts in a block; stretches of blocks that a term's rows are dealt to.
-BLOCK_BYTES, STRETCHES = 4 << 20, 16
+#: Bytes of training texts in a block; buckets of terms; stretches of blocks that a bucket's rows are dealt to.
+BLOCK_BYTES, BUCKETS, STRETCHES = 4 << 20, 64, 16
 #: Intersections of a block that are remembered.
 MEMO = 50_000
 #: Separators, after lower-casing: all of ASCII but digits and letters.
 _SEPARATE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
-_INDEX = "block long, term binary, n long, gaps binary, wide binary"
+_NAMES = ["block", "bucket", "terms", "n", "lists", "docs", "sizes"]
+_TYPES = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -51,18 +51,36 @@ class _Codes(dict):
         return code
 
 
-def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+def _coded(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): seven bits a byte, the lowest first; the top bit says that more follow."""
+    size = 1 + sum((step >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(ends[-1], np.uint8)
+    for k in range(5):
+        live = np.flatnonzero(size > k)
+        if not len(live):
+            break
+        out[ends[live] + k] = (step[live] >> 7 * k & 127) | np.where(size[live] > k + 1, 128, 0)
+    return out, ends
+
+
+def _opened(data: bytes) -> np.ndarray:
+    """Positions of a coded list of gaps."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, x[:-1] < 128])
+    place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return np.cumsum(np.add.reduceat((x & 127) << 7 * place, first))
 
 
 def build(base: DataFrame, gap: int) -> DataFrame:
-    """The index of ``keyed`` texts.  A row without a term lists the block's documents: gaps
-    holds their _uid, wide their numbers of words.  ``block`` is the block's first _uid."""
+    """The index of ``keyed`` texts: a row for each block and bucket of terms (by hash) with the
+    terms, their numbers of postings and their lists.  A row of bucket -1 names the block's
+    documents and their numbers of words.  ``block`` is the block's first _uid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = P.string_buffers(batch.column(1))
-            uids = batch.column(0).to_numpy(zero_copy_only=False)
+            uids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data = raw.tobytes()
             for i, j in P.slices(off, BLOCK_BYTES):
                 codes, coded = _Codes(), []
@@ -70,29 +88,39 @@ def build(base: DataFrame, gap: int) -> DataFrame:
                     said = words_of(data[off[k] : off[k + 1]])
                     coded.append(np.fromiter(map(codes.__getitem__, said), np.int32, len(said)))
                 sizes = np.array([len(c) for c in coded], np.int64)
-                term = np.concatenate(coded)
+                bucket_of = np.fromiter((crc32(t) % BUCKETS for t in codes), np.int64, len(codes))
+                by_bucket = np.argsort(bucket_of, kind="stable")
+                place = np.empty(len(codes), np.int32)
+                place[by_bucket] = np.arange(len(codes))
+                term = place[np.concatenate(coded)]
                 pos = np.arange(len(term)) + np.repeat(np.arange(j - i) * gap, sizes)
                 order = np.argsort(term.astype(np.uint16) if len(codes) < 65536 else term, kind="stable")
-                pos, term = pos[order], term[order]
-                edge = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+                pos, n = pos[order], np.bincount(term, minlength=len(codes))
+                edge = np.cumsum(n) - n
                 step = np.diff(pos, prepend=0)
                 step[edge] = pos[edge]
-                large = step >= 255
-                ends = np.append(edge, len(term))
-                far = np.concatenate([[0], np.cumsum(large)])[ends] * 8
-                meta = pa.RecordBatch.from_arrays([pa.array([uids[i]], pa.int64()), pa.array([None], pa.binary()), pa.array([j - i], pa.int64()), pa.array([uids[i:j].astype(np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], ["block", "term", "n", "gaps", "wide"])
-                yield meta
-                if len(codes):
-                    arrays = [pa.array(np.full(len(codes), uids[i], np.int64)), pa.array(list(codes), pa.binary()), pa.array(np.diff(ends)), _binary(ends, np.minimum(step, 255).astype(np.uint8)), _binary(far, step[large].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["block", "term", "n", "gaps", "wide"])
-
-    return base.select("_uid", "_text").mapInArrow(run, _INDEX)
+                lists, ends = _coded(step)
+                offsets = ends[np.append(edge, len(step))].astype(np.int32)
+                buckets, start = np.unique(bucket_of[by_bucket], return_index=True)
+                cut = pa.array(np.append(start, len(codes)), pa.int32())
+                columns = (
+                    pa.array(list(codes), pa.binary()).take(pa.array(by_bucket)),
+                    pa.array(n, pa.int32()),
+                    pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(lists.tobytes())]),
+                )
+                rows = len(buckets)
+                about = [pa.array(np.full(rows, uids[i])), pa.array(buckets, pa.int32()), *(pa.ListArray.from_arrays(cut, c) for c in columns), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(about, _NAMES)
+                named = [pa.array([x], t) for x, t in zip((uids[i], -1, None, None, None, uids[i:j].tobytes(), sizes.tobytes()), _TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays(named, _NAMES)
+
+    return base.select("_uid", "_text").mapInArrow(run, "block long, bucket int, terms array<binary>, n array<int>, lists array<binary>, docs binary, sizes binary")
 
 
 def postings(base: DataFrame, window: int = 10, slop: int = 0) -> DataFrame:
-    """The stored index, dealt and sorted by term."""
+    """The stored index, dealt by terms (and by stretches of blocks, as a term may be in all of them)."""
     rows = build(base, window + 2 * slop)
-    return written(rows.repartition("term", F.pmod(F.xxhash64("block"), F.lit(STRETCHES))).sortWithinPartitions("term", "block"))
+    return written(rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(STRETCHES))))
 
 
 def _said(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -127,12 +155,6 @@ def _rarest(window: int):
     return run
 
 
-def _opened(gaps: bytes, wide: bytes) -> np.ndarray:
-    step = np.frombuffer(gaps, np.uint8).astype(np.int64)
-    step[step == 255] = np.frombuffer(wide, np.int64)
-    return np.cumsum(step)
-
-
 def _meeting(start: np.ndarray, pos: np.ndarray, shift: int, slop: int) -> np.ndarray:
     """The starts that have one of the positions at start + shift, slop aside."""
     k = np.searchsorted(pos, start + (shift - slop))
@@ -147,21 +169,21 @@ def _search(window: int, gap: int, slop: int):
         uids = begin = np.zeros(0, np.int64)
         for batch in batches:
             found: tuple[list, list, list, list] = ([], [], [], [])
-            names = ("block", "kind", "term", "gaps", "wide", "row", "words", "counts")
-            for blk, kind, term, gaps, wide, row, words, counts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            names = ("block", "kind", "term", "data", "sizes", "row", "words", "counts")
+            for blk, kind, term, data, sizes, row, words, counts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if blk != block:
                     block, lists, opened, memo = blk, {}, {}, {}
                 if kind == 0:
-                    uids, sizes = np.frombuffer(gaps, np.int64), np.frombuffer(wide, np.int64)
-                    begin = np.cumsum(sizes + gap) - sizes - gap
+                    uids, said = np.frombuffer(data, np.int64), np.frombuffer(sizes, np.int64)
+                    begin = np.cumsum(said + gap) - said - gap
                     continue
                 if kind == 1:
-                    lists[term] = (gaps, wide)
+                    lists[term] = data
                     continue
 
                 def positions(t, lists=lists, opened=opened):
                     if t not in opened:
-                        opened[t] = _opened(*lists[t])
+                        opened[t] = _opened(lists[t])
                     return opened[t]
 
                 for s, places in _windows(counts, window):
@@ -195,8 +217,9 @@ def _search(window: int, gap: int, slop: int):
 def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(_uid, start, size, item): every place in a document where a window of an item stands."""
     said = _said(items, item_col, item_text)
-    terms = index.where("term is not null")
-    held = terms.join(said.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
+    wanted = said.select(F.explode("words").alias("term")).distinct()
+    terms = index.where("bucket >= 0").select("block", F.explode(F.arrays_zip("terms", "n", "lists")).alias("p")).select("block", F.col("p.terms").alias("term"), F.col("p.n").alias("n"), F.col("p.lists").alias("data"))
+    held = terms.join(wanted, "term", "left_semi")
     counts = held.groupBy("term").agg(F.sum("n").alias("count"))
     places = said.select("row", F.posexplode("words").alias("place", "term")).join(counts, "term", "left")
     per_item = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("count", F.lit(0)).alias("count")))).alias("c"))
@@ -204,8 +227,8 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0,
     visits = counted.mapInArrow(_rarest(window), "row long, term binary").join(terms.select("term", "block"), "term").select("row", "block").distinct()
     none = lambda kind: F.lit(None).cast(kind)
     about = [F.lit(None).cast("long").alias("row"), none("array<binary>").alias("words"), none("array<bigint>").alias("counts")]
-    lists = [index.where("term is null").select("block", F.lit(0).alias("kind"), "term", "gaps", "wide", *about), held.select("block", F.lit(1).alias("kind"), "term", "gaps", "wide", *about)]
-    guests = visits.join(counted, "row").select("block", F.lit(2).alias("kind"), *[none("binary").alias(c) for c in ("term", "gaps", "wide")], "row", "words", "counts")
+    lists = [index.where("bucket < 0").select("block", F.lit(0).alias("kind"), none("binary").alias("term"), F.col("docs").alias("data"), "sizes", *about), held.select("block", F.lit(1).alias("kind"), "term", "data", none("binary").alias("sizes"), *about)]
+    guests = visits.join(counted, "row").select("block", F.lit(2).alias("kind"), *[none("binary").alias(c) for c in ("term", "data", "sizes")], "row", "words", "counts")
     rows = lists[0].unionByName(lists[1]).unionByName(guests).repartition("block").sortWithinPartitions("block", "kind")
     found = rows.mapInArrow(_search(window, window + 2 * slop, slop), "_uid long, start long, size long, row long")
     return written(found.join(said.select("row", "item"), "row").select("_uid", "start", "size", "item"))
@@ -237,7 +260,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
     found = matches(index, items, window, slop, item_col, item_text)
     spans = found.select("_uid", "start", "size").distinct().groupBy("_uid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     named = found.select("_uid", "item").distinct().groupBy("_uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    sizes = index.where("term is null").select("gaps", "wide").mapInArrow(_sizes, "_uid long, n_words long")
+    sizes = index.where("bucket < 0").select("docs", "sizes").mapInArrow(_sizes, "_uid long, n_words long")
     whole = base.select("_uid", F.col("_id").cast("long").alias("doc_id")).join(sizes, "_uid").join(spans, "_uid", "left").join(named, "_uid", "left")
     schema = "_uid long, doc_id long, n_words long, n_hit long, spans array<struct<start: long, size: long>>, items array<string>"
     return whole.select("_uid", "doc_id", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_covered, schema).drop("_uid")

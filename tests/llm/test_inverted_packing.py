@@ -75,7 +75,8 @@ def test_long_text_and_index_of_all_words(spark):
     items = [(1, "q a b c d e f g h i j"), (2, "lorem " * 12)]
     df = spark.createDataFrame(docs, SCHEMA)
     assert sorted(map(tuple, digested(inverted.contamination(df, spark.createDataFrame(items, ITEMS))).collect()), key=str) == brute(docs, items)
-    counts = inverted.postings(keyed(df)).where("term is not null").groupBy(F.col("term").cast("string")).agg(F.sum("n")).collect()
+    index = inverted.postings(keyed(df)).where("bucket >= 0").select(F.explode(F.arrays_zip("terms", "n")).alias("p"))
+    counts = index.groupBy(F.col("p.terms").cast("string")).agg(F.sum("p.n")).collect()
     assert dict(map(tuple, counts)) == dict(Counter(words(long) + ["x", "y", "z"]))
 
 
