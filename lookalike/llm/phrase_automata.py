@@ -69,10 +69,15 @@ def _resolver(words: int):
         base = np.cumsum(windows) - windows
 
         def stream(patterns):
+            """Marks the places of patterns that the automaton meets twice or more."""
             lengths = [p.count(b" ") + 1 for p in patterns]
+            places: list[list[tuple[int, int]]] = [[] for _ in patterns]
             for k, t, byte in _locate(patterns, bodies):
-                w = int(np.searchsorted(start, off[t] + byte)) - bounds[t]
-                found[base[t] + w : base[t] + w + lengths[k] - words + 1] = True
+                places[k].append((t, base[t] + int(np.searchsorted(start, off[t] + byte)) - bounds[t]))
+            for length, met in zip(lengths, places, strict=True):
+                if sum(1 + multi[t] for t, _ in met) >= 2:
+                    for _, w in met:
+                        found[w : w + length - words + 1] = True
 
         stream(passages)
         if (missed := np.flatnonzero(hit & ~found)).size:  # a passage that some holder has in parts

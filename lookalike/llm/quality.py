@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookalike.llm.calibrate import curve, isotonic
-from lookalike.llm.common import table, written
+from lookalike.llm.common import keyed, table, written
 
 FEATURES = (
     "length upper lower digit space newline mark symbol table stop comma other mean_word sd_word long_word distinct pairs twice top "
@@ -56,17 +56,18 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): an array of statistics."""
+def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(_key, doc_id, x): a row's key (key_col; null without), its id and its statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            x = [statistics(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             flat = pa.array(np.asarray(x, np.float32).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("doc_id"), lists], ["_key", "doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    key = (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("_key")
+    return docs.select(key, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "_key long, doc_id long, x array<float>")
 
 
 @dataclass
@@ -130,28 +131,29 @@ def _scores(model: Model, learning: bool):
             if learning:
                 yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(raw)], ["y", "raw"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve(model.knots, raw))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("doc_id"), pa.array(curve(model.knots, raw))], ["_key", "doc_id", "score"])
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.  Learns from labelled rows
-    outside the held-out fold only."""
-    x = written(featured(docs, id_col, text_col))
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """One row per document: _key (of featured), doc_id, held_out, score, predicted.  Learns from
+    labelled rows outside the held-out fold only."""
+    x = written(featured(docs, id_col, text_col, key_col))
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     marked = labels.select(F.col("doc_id").alias("_d"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     labelled = x.where(fold != held).join(marked, F.col("doc_id") == F.col("_d")).select("x", "y")
-    scored = x.mapInArrow(_scores(fit(labelled), False), "doc_id long, score double")
+    scored = x.mapInArrow(_scores(fit(labelled), False), "_key long, doc_id long, score double")
     held_out = F.coalesce(fold == held, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("_key", "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_key")
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject (score of 0.5 or more)."""
-    good = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_d"))).select(*docs.columns)
+    """Documents that the classifier does not reject (score of 0.5 or more); each row is judged by itself."""
+    base = keyed(docs, carry=docs.columns)
+    good = quality_scores(base, table(spark, sf_dir, "labels"), id_col="_id", text_col="_text", key_col="_uid").where("predicted = 1").select(F.col("_key").alias("_uid"))
+    return base.join(good, "_uid", "left_semi").select("_rest.*")

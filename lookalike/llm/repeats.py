@@ -5,13 +5,17 @@
                            |                                           |
                          pieces --by anchor--> groups --> full marks --+
                                                  |                     |
-                                 several wordings: piece texts --by anchor--> resolver --> marks
+                          several wordings: bodies, windows --by key--> resolver --> marks
 
 Texts cross the network once, by id; that exchange is read three times.  Exact copies count
-as one text, so that a text that a third of all rows repeat adds no piece of its own.  Equal
-pieces are told apart from others by hash while they stream through a sorted partition; only
-groups with several wordings ship the piece texts to a resolver, which works on bounded
-buckets.  Groups with more wordings than HOT are dealt again by longer common cores.
+as one text, so that a text that a third of all rows repeat adds no piece of its own.
+
+No key gathers many rows in one task.  Equal pieces are collapsed batch by batch before they are
+shuffled: all but one of a batch are settled on the spot.  What still meets in a group are
+different wordings of one anchor; at most HOT of them go to a resolver as whole bodies.  Anchors
+with more (*heavy* ones are known beforehand from a share of the texts, which steers rows and
+never results) are dealt window by window under a 128-bit hash of the whole window, again
+collapsed batch by batch, so that a window costs a task one row for each batch that has it.
 """
 
 from __future__ import annotations
@@ -28,15 +32,19 @@ from pyspark.sql import types as T
 from lookalike.llm import pieces as P
 from lookalike.llm.common import keyed, written
 
-#: Wordings of one anchor beyond which windows are dealt by longer cores.
+#: Wordings of one anchor beyond which its windows are dealt by their own hashes.
 HOT = 2000
-#: Windows that share a core in a hot group.
-CORE_RUN = 8
-#: Bytes of piece texts that a resolver gets at once (a group is never cut).
+#: One text in SHARE is looked at to find heavy anchors, which have at least LEAST pieces there.
+SHARE, LEAST = 16, 64
+#: Bytes of piece texts that a resolver gets at once (a group, of HOT bodies at most, is never cut).
 BUCKET_BYTES = 2 << 20
+#: Bytes of texts whose equal pieces or windows are collapsed together.
+BATCH_BYTES = 16 << 20
 
-#: loc = start << 16 | windows << 2 | NEED | MULTI
-NEED, MULTI = 1, 2
+#: loc = start << 16 | WINDOWWISE | windows << 2 | NEED | MULTI.  Before groups are made, NEED
+#: alone says that a piece is settled, and both flags that it goes to the windows.
+NEED, MULTI, WINDOWWISE = 1, 2, 1 << 15
+WINDOWS = 0x1FFF
 
 
 @dataclass(frozen=True)
@@ -60,19 +68,60 @@ def _pack(start, windows, flags=0):
     return (np.asarray(start, np.int64) << 16) | (np.asarray(windows, np.int64) << 2) | flags
 
 
-def _pieces(units: Units) -> Callable:
+def _twins(key: tuple[np.ndarray, ...], uid: np.ndarray, loc: np.ndarray, first_stays: bool):
+    """Rows of equal key: (settled, first, many).  settled rows are surely marked, as a twin is
+    here; first are the ones that go on for their key, many those of them that have twins."""
+    order = np.argsort(key[0])
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = key[0][order][1:] == key[0][order][:-1]
+    shared = order[same[1:] | same[:-1]]
+    shared = shared[np.lexsort((loc[shared], uid[shared], *(k[shared] for k in key)))]
+    new = np.ones(len(shared) + 1, bool)
+    new[1:-1] = np.logical_or.reduce([k[shared[1:]] != k[shared[:-1]] for k in key])
+    later, many = shared[~new[:-1]], np.zeros(len(uid), bool)
+    many[shared[new[:-1] & ~new[1:]]] = True
+    first = np.ones(len(uid), bool)
+    first[later] = False
+    return (~first if first_stays else ~first | many), first, many
+
+
+def _spread(uid: np.ndarray, loc: np.ndarray) -> np.ndarray:
+    return P.mix((uid * (1 << 20) + loc).astype(np.uint64)).view(np.int64)
+
+
+def _pieces(units: Units, heavy: np.ndarray) -> Callable:
+    names = ["_key", "_piece", "_uid", "_loc"]
+
+    def settled(parts: list) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        key, piece, uid, loc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        done, first, many = _twins((piece, key), uid, loc, units.first_stays)
+        hot = first & np.isin(key, heavy)
+        plain = first & ~hot
+        groups = [(key[plain], piece[plain], uid[plain], loc[plain] | np.where(many[plain], MULTI, 0))]
+        for rows, flags in ((done & ~plain, NEED), (hot, NEED | MULTI)):
+            u, x = uid[rows], loc[rows]
+            groups.append((_spread(u, x), np.zeros(len(u), np.int64), u, x | flags))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*groups, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column("_uid").to_numpy(zero_copy_only=False)
             raw, off = P.string_buffers(batch.column("_text"))
             live = batch.column("_later").is_null().to_numpy(zero_copy_only=False)
+            parts, size = [], 0
             for i, j in P.slices(off):
                 o = off[i : j + 1] - off[i]
                 h, bounds, _, _ = units.split(raw[off[i] : off[j]], o)
                 text, start, n, anchor, piece = P.cut(h, bounds, units.length, units.gram)
                 keep = live[i + text]
-                text, start, n, anchor, piece = (x[keep] for x in (text, start, n, anchor, piece))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(piece), pa.array(uid[i + text]), pa.array(_pack(start, n))], ["_key", "_piece", "_uid", "_loc"])
+                parts.append((anchor[keep], piece[keep], uid[i + text[keep]], _pack(start[keep], n[keep])))
+                size += int(o[-1])
+                if size >= BATCH_BYTES:
+                    yield from settled(parts)
+                    parts, size = [], 0
+            yield from settled(parts)
 
     return run
 
@@ -104,11 +153,12 @@ def _groups(units: Units) -> Callable:
             same_next = np.zeros(n, dtype=bool)
             m = min(n, len(k) - 1)
             same_next[:m] = (k[1 : m + 1] == k[:m]) & (p[1 : m + 1] == p[:m])
-            full = ~new_piece if units.first_stays else ~new_piece | same_next
+            several = same_next | (loc[:n] & MULTI > 0)
+            full = ~new_piece if units.first_stays else ~new_piece | several
             out = []
             if full.any():
-                spread = P.mix((u[:n][full] * (1 << 20) + loc[:n][full]).astype(np.uint64)).view(np.int64)
-                out.append(rows(u[:n][full], loc[:n][full], spread))
+                x = loc[:n][full] & ~MULTI
+                out.append(rows(u[:n][full], x, _spread(u[:n][full], x)))
             rep = np.flatnonzero(new_piece)
             if len(rep):
                 later = ~new_key[rep]
@@ -117,7 +167,7 @@ def _groups(units: Units) -> Callable:
                 pend = None
                 follows = np.append(later[1:], False)
                 need = later | follows
-                mark = np.where(same_next[rep], MULTI, 0) | NEED
+                mark = np.where(several[rep], MULTI, 0) | NEED
                 if need.any():
                     r = rep[need]
                     out.append(rows(u[r], loc[r] | mark[need], k[r]))
@@ -129,6 +179,11 @@ def _groups(units: Units) -> Callable:
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_piece", "_uid", "_loc")]
+            known = cols[3] & NEED > 0
+            if known.any():
+                key, _, u, loc = (c[known] for c in cols)
+                yield rows(u, np.where(loc & MULTI, loc & ~MULTI | WINDOWWISE, loc & ~NEED), key)
+                cols = [c[~known] for c in cols]
             if carry is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(carry, cols, strict=True)]
             if not len(cols[0]):
@@ -142,9 +197,21 @@ def _groups(units: Units) -> Callable:
 
 
 def _texts(units: Units) -> Callable:
-    """Texts of the pieces that their groups need, with the group's key."""
+    """What the groups need of their pieces: bodies under the group's key, or all windows of hot
+    anchors, each under its own hash (_key, _body: a second one)."""
     names = ["_key", "_body", "_uid", "_loc"]
 
+    def settled(parts: list) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        key, second, uid, loc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        done, first, many = _twins((key, second), uid, loc, units.first_stays)
+        done &= ~(first & many)  # that one is told to the resolver, which marks it
+        out = [(key[first], second[first], uid[first], loc[first] | np.where(many[first], MULTI, 0)), (_spread(uid[done], loc[done]), second[done], uid[done], loc[done] | NEED)]
+        key, second, uid, loc = (np.concatenate(x) for x in zip(*out, strict=True))
+        body = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.arange(0, 8 * len(key) + 1, 8, dtype=np.int32).tobytes()), pa.py_buffer(second.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(key), body, pa.array(uid), pa.array(loc | WINDOWWISE)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = P.string_buffers(batch.column("_text"))
@@ -153,59 +220,51 @@ def _texts(units: Units) -> Callable:
             moff = np.concatenate([[0], np.cumsum(marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             loc = flat.field("_loc").to_numpy(zero_copy_only=False)
             key = flat.field("_key").to_numpy(zero_copy_only=False)
-            hot = flat.field("_hot").to_numpy(zero_copy_only=False).astype(bool)
+            hot = flat.field("_hot").to_numpy(zero_copy_only=False).astype(bool) | (loc & WINDOWWISE > 0)
             owner = np.repeat(np.arange(len(marks)), np.diff(moff))
             need = np.flatnonzero(loc & NEED)
             uid = batch.column("_uid").to_numpy(zero_copy_only=False)
             data = raw.tobytes()
-            keys, bodies, uids, locs = [], [], [], []
+            keys, bodies, uids, locs, windows, size = [], [], [], [], [], 0
             seen, words = -1, None
             for i in need:
                 t = owner[i]
-                start, n, multi = int(loc[i]) >> 16, (int(loc[i]) >> 2) & 0x3FFF, int(loc[i]) & MULTI
+                start, n, multi = int(loc[i]) >> 16, (int(loc[i]) >> 2) & WINDOWS, int(loc[i]) & MULTI
                 if units.kind == "word":
                     if t != seen:
                         seen, words = t, data[off[t] : off[t + 1]].split()
-                    part = words[start : start + n + units.length - 1]
-                    body = b" ".join(part)
+                    body = b" ".join(words[start : start + n + units.length - 1])
                 else:
                     b = off[t] + start
-                    part = body = data[b : b + n + units.length - 1]
+                    body = data[b : b + n + units.length - 1]
                 if not hot[i]:
-                    keys.append(key[i]); bodies.append(body); uids.append(uid[t]); locs.append(loc[i] & ~NEED)
+                    keys.append(key[i]); bodies.append(body); uids.append(uid[t]); locs.append(_pack(start, n, multi))
                     continue
-                for k, s, m in _cores(units, body, n):
-                    keys.append(k)
-                    bodies.append(b" ".join(part[s : s + m + units.length - 1]) if units.kind == "word" else part[s : s + m + units.length - 1])
-                    uids.append(uid[t])
-                    locs.append(int(_pack(start + s, m)) | multi)
+                one, two = _window_hashes(units, body, n)
+                windows.append((one, two, np.full(n, uid[t], np.int64), _pack(start + np.arange(n), 1)))
+                size += 32 * n
+                if size >= BATCH_BYTES:
+                    yield from settled(windows)
+                    windows, size = [], 0
+            yield from settled(windows)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)), pa.array(bodies, pa.binary()), pa.array(np.array(uids, np.int64)), pa.array(np.array(locs, np.int64))], names)
 
     return run
 
 
-def _cores(units: Units, body: bytes, n: int):
-    """(key, first window, windows): windows of a piece dealt by the units that CORE_RUN
-    windows around their anchor have in common; equal windows get equal keys."""
+def _window_hashes(units: Units, body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each of the body's n windows."""
     raw = np.frombuffer(body, np.uint8)
     h, _, _, _ = units.split(raw, np.array([0, len(raw)]))
-    g = P.grams(h, units.gram)
-    span = units.length - units.gram + 1
-    c = P.prefix_hash(h)
-    at = np.array([np.argmin(g[i : i + span]) for i in range(n)])  # anchor's place in each window
-    cls = at // CORE_RUN
-    a = at + np.arange(n)
-    lo = np.maximum(a - cls * CORE_RUN, 0)
-    hi = lo + units.length - CORE_RUN + 1
-    key = P.mix(P.spans_hash(c, lo, np.minimum(hi, len(h))) + cls.astype(np.uint64)).view(np.int64)
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    for s, e in zip(edge, np.append(edge[1:], n), strict=True):
-        yield int(key[s]), int(s), int(e - s)
+    at = np.arange(n)
+    one, two = (P.spans_hash(P.prefix_hash(x), at, at + units.length).view(np.int64) for x in (h, P.mix(h + np.uint64(0xA0761D6478BD642F))))
+    return one, two
 
 
 def _resolved(resolve: Callable, first_stays: bool) -> Callable:
-    """Collects buckets of whole groups; equal texts in a group are met once."""
+    """Collects buckets of whole groups; equal texts in a group are met once.  Windows that come
+    under their own hashes are settled as they stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(uid, loc):
@@ -218,9 +277,25 @@ def _resolved(resolve: Callable, first_stays: bool) -> Callable:
                     yield out(u, m)
 
         bodies, uids, locs, multi, groups, size, key, group = [], [], [], [], [], 0, None, 0
+        window, head = None, None  # the window met last, and its first row unless that is marked
         for batch in batches:
             again_u, again_l = [], []
             for k, b, u, loc in zip(batch.column("_key").to_pylist(), batch.column("_body").to_pylist(), batch.column("_uid").to_pylist(), batch.column("_loc").to_pylist(), strict=True):
+                if loc & WINDOWWISE:
+                    at = loc & ~(WINDOWWISE | NEED | MULTI)
+                    if loc & NEED:
+                        again_u.append(u); again_l.append(at)
+                    elif (k, b) == window:
+                        again_u.append(u); again_l.append(at)
+                        if head is not None and not first_stays:
+                            again_u.append(head[0]); again_l.append(head[1])
+                        head = None
+                    else:
+                        window, head = (k, b), (u, at)
+                        if loc & MULTI and not first_stays:
+                            again_u.append(u); again_l.append(at)
+                            head = None
+                    continue
                 if k != key:
                     if size >= BUCKET_BYTES:
                         yield from flush()
@@ -255,9 +330,10 @@ def marked(docs: DataFrame, units: Units, resolve: Callable, digest: Callable, s
     hashed = base.select("_uid", F.md5("_text").alias("_hash"))
     same = hashed.groupBy("_hash").agg(F.min("_uid").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     copies = written(hashed.join(same, "_hash").select("_uid", "_copies", F.when(F.col("_uid") != F.col("_first"), F.col("_first")).alias("_later")))
-    texts = base.repartition("_uid").join(copies, "_uid", "left")
     longs = "_key long not null, _piece long not null, _uid long not null, _loc long not null"
-    cut = texts.select(*cols).mapInArrow(_pieces(units), longs)
+    heavy = _heavy(base, units, longs)
+    texts = base.repartition("_uid").join(copies, "_uid", "left")
+    cut = texts.select(*cols).mapInArrow(_pieces(units, heavy), longs)
     groups = cut.repartition("_key").sortWithinPartitions("_key", "_piece", "_uid", "_loc").mapInArrow(_groups(units), "_uid long not null, _loc long not null, _key long not null").repartition("_key")
     # _top is asked for only to read all columns: pruned ones would make the exchange another.
     tally = groups.groupBy("_key").agg(F.sum(F.col("_loc").bitwiseAND(NEED)).alias("_n"), F.max("_uid").alias("_top"))
@@ -271,11 +347,21 @@ def marked(docs: DataFrame, units: Units, resolve: Callable, digest: Callable, s
     return every.join(extra, "_uid", "left").select(*cols, F.col("_marks._loc").alias("_marks"), "_more").mapInArrow(digest, out)
 
 
+def _heavy(base: DataFrame, units: Units, longs: str) -> np.ndarray:
+    """Anchors that would fill half a task of a shuffle, by a share of the texts: twice the
+    number of shuffle partitions at most."""
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = base.where(F.pmod(F.xxhash64("_uid"), F.lit(SHARE)) == 0).select("_uid", "_text", F.lit(None).cast("long").alias("_later"))
+    counts = written(some.mapInArrow(_pieces(units, np.zeros(0, np.int64)), longs).where(F.col("_loc").bitwiseAND(NEED) == 0).groupBy("_key").count())
+    least = max((counts.agg(F.sum("count")).first()[0] or 0) / (2 * parts), LEAST)
+    return np.array([r[0] for r in counts.where(F.col("count") > least).select("_key").collect()], np.int64)
+
+
 def mark_lists(batch: pa.RecordBatch):
     """Per row, arrays (start, windows) of what groups and resolver marked."""
     for a, b in zip(batch.column("_marks").to_pylist(), batch.column("_more").to_pylist(), strict=True):
         x = np.array([v for v in a or () if not v & NEED] + (b or []), dtype=np.int64)
-        yield x >> 16, (x >> 2) & 0x3FFF
+        yield x >> 16, (x >> 2) & WINDOWS
 
 
 def covered(n: int, start: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:

@@ -75,8 +75,8 @@ def _resolver(length: int):
     return resolve
 
 
-def _split(who, start, n, most=8192):
-    """Runs as locs; a loc holds fewer than 16384 windows."""
+def _split(who, start, n, most=4096):
+    """Runs as locs; a loc holds fewer than 8192 windows."""
     parts = -(-n // most)
     rep = np.repeat(np.arange(len(n)), parts)
     k = np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)

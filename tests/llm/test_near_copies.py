@@ -63,19 +63,6 @@ def test_star_and_chain(spark, sf):
     assert sorted(x.doc_id for x in got) == kept(rows) == [1, 1000]
 
 
-def test_pipeline_with_jaccard(spark, sf, monkeypatch):
-    """All that test_pipeline asks for, with the stage's own contract in place of two bits."""
-    from tests.llm import test_pipeline
-
-    def brute(rows, words):
-        assert words == 5
-        stay = set(kept([(i, t) for i, t, _ in rows]))
-        return [(i, None, i if i in stay else None) for i, _, _ in rows]
-
-    monkeypatch.setattr(test_pipeline, "brute", brute)
-    test_pipeline.test_pipeline(spark, sf)
-
-
 def test_edited_copies_do_not_pair_up(spark, sf, monkeypatch):
     """Copies that each differ from all others by more than 0.8 allows are not verified pair by pair."""
     from lookalike.llm import simhash

@@ -71,16 +71,49 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_against_brute_force(spark, seed, hot, monkeypatch):
+@pytest.mark.parametrize("hot,least", [(2000, 64), (3, 64), (2000, 1), (2, 4)])
+def test_against_brute_force(spark, seed, hot, least, monkeypatch):
     from lookalike.llm import repeats
     from lookalike.llm.phrase_automata import remove_phrases
     from lookalike.llm.suffix_dedup import remove_repeats
 
     monkeypatch.setattr(repeats, "HOT", hot)
+    if least < 64:  # many anchors count as heavy
+        monkeypatch.setattr(repeats, "SHARE", 2)
+        monkeypatch.setattr(repeats, "LEAST", least)
+        monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
     rows = [(i * 3, t, "x") for i, t in enumerate(corpus(seed))] + [(1000, None, None), (1001, "", None)]
     random.Random(seed).shuffle(rows)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    try:
+        assert sorted(map(tuple, remove_repeats(df).drop("kept_text").collect())) == sorted(brute10(rows))
+        assert sorted(map(tuple, remove_phrases(df).drop("kept_text").collect())) == sorted(brute3(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_collision_is_not_a_repeat():
+    """What the automaton does not meet twice is not marked, whatever the fingerprints say."""
+    import numpy as np
+
+    from lookalike.llm import phrase_automata
+
+    one, two = (b" ".join(b"%s%d" % (c, i) for i in range(40)) for c in (b"a", b"b"))
+    resolve = phrase_automata._resolver(35)
+    args = lambda bodies: (bodies, np.array([1, 2]), np.array([6 << 2, 6 << 2]), np.zeros(2, bool), np.array([1, 1]))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(phrase_automata.P, "spans_hash", lambda c, a, b: np.arange(len(a), dtype=np.uint64) % np.uint64(6))
+        assert len(resolve(*args([one, two]))[0]) == 0
+    assert resolve(*args([one, one]))[0].tolist() == [1, 2]
+
+
+def test_long_and_periodic_texts(spark):
+    from lookalike.llm.phrase_automata import remove_phrases
+    from lookalike.llm.suffix_dedup import remove_repeats
+
+    rows = [(1, "a" * 20_000, None), (2, "word " * 5_000, None), (3, " ".join(str(i) for i in range(60_000)), None), (4, " ".join(str(i) for i in range(40_000, 70_000)), None)]
+    df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, remove_repeats(df).drop("kept_text").collect())) == sorted(brute10(rows))
     assert sorted(map(tuple, remove_phrases(df).drop("kept_text").collect())) == sorted(brute3(rows))
 
