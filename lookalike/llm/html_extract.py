@@ -10,8 +10,9 @@ partial wrappers of a host are then aligned with each other.
 
 The wrapper tells which slots are the article: those under <article> or <main>, or else under the
 innermost element that holds most of the host's unlinked text; not those in navigation, header,
-footer, aside, form, advert, notice, comment and the like, by tag or by class, nor strings that
-are the same on all pages.
+footer, aside, form, advert, notice, comment and the like, by tag or by parts of class names (weak
+evidence: it does not count against an element that holds most of the host's text), nor slots whose
+string is the same on all pages.
 
 Null pages have empty text; broken markup is read leniently (open elements end with their
 parents, stray end tags are ignored); a null or odd url is the host ""; repeated rows are
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from lookalike.llm.common import BROADCAST_BYTES, table, written
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<code>script|style)\b[^>]*>.*?(?:</(?P=code)\s*>|\Z)"
+    r"|<(?P<raw>noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*>.*?</(?P=raw)\s*>"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -42,11 +44,24 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: A start tag ends the open element of its own kind (and an open paragraph, if it is no inline tag).
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WITHIN = frozenset("ul ol dl table tbody thead article section div main body".split())
-_OFF_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".split())
-_OFF_NAMES = re.compile(
-    r"^(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|foot\w*|head(?:er|bar)|mast\w*|top-?bar|tool-?bar|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay"
-    r"|comments?|reply|replies|disqus\w*|discussion|respond|share|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|bread-?crumbs?|pag(?:er|ination)|widget\w*|copyright|legal|disclaimer|hidden)$"
+_OFF_TAGS = frozenset("head title nav footer aside form button menu dialog fieldset select textarea svg math iframe object noscript template".split())
+#: Parts of a name (it is cut at hyphens and underscores) that tell what is no article: anywhere in the name,
+#: or only where the name begins or ends with them.
+_OFF_PARTS = frozenset(
+    "ad ads advert adverts advertisement adsbygoogle sponsor sponsored sponsors promo promotion sidebar nav navbar navigation menu footer masthead cookie cookies consent gdpr "
+    "comment comments commentlist reply replies disqus share sharing social newsletter subscribe signup breadcrumb breadcrumbs pagination pager popup modal overlay hidden".split()
 )
+_OFF_ENDS = frozenset("banner side header headbar topbar toolbar notice notification alert discussion respond related recommended recommendations login search widget widgets copyright legal disclaimer bar".split())
+_STATES = frozenset("has with without no not is js".split())
+
+
+def _off_name(name: str, inside: bool) -> bool:
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if not parts or parts[0] in _STATES:
+        return False
+    if any(x in _OFF_PARTS or x.startswith(("advert", "sponsor")) for x in parts):
+        return True
+    return not (inside and parts[-1] == "header") and (parts[0] in _OFF_ENDS or parts[-1] in _OFF_ENDS)
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -55,18 +70,22 @@ def _label(tag: str, attrs: str) -> str:
         for key, a, b, c in _NAMED.findall(attrs):
             value, key = (a or b or c).lower(), key.lower()
             if key in ("class", "id", "role"):
-                names += re.findall(r"[a-z]+(?:-[a-z]+)*", value)
+                names += re.findall(r"[a-z]+(?:[-_]+[a-z]+)*", value)
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 names.append("hidden")
     return ".".join([tag, *sorted(set(names))])
 
 
+#: Elements below this level count as part of the one at it.
+DEPTH = 200
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path of block elements, raw text, raw linked text) of each block of text, in page order."""
     out: list = []
     path: list[str] = []
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, below = 0, 0, 0, 0
 
     def close():
         nonlocal linked
@@ -95,6 +114,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             links = 0 if m["end"] else 1
         elif tag in _INLINE or tag in _VOID:
             continue
+        elif m["end"] and below:
+            below -= 1
+            close()
         elif m["end"]:
             open_tags = [p.split(".")[0] for p in path]
             if tag in open_tags:
@@ -113,9 +135,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     del path[k:]
                 elif name in _WITHIN or name not in ends | {"p"}:
                     break
-            path.append(_label(tag, m["attr"]))
             if m["attr"].endswith("/") and tag not in ("p", "div"):
-                path.pop()
+                continue
+            if len(path) < DEPTH:
+                path.append(_label(tag, m["attr"]))
+            else:
+                below += 1
     if at < len(page):
         parts.append(page[at:])
         if links:
@@ -221,16 +246,31 @@ def regex_of(parts: list) -> str:
     return " ".join(said)
 
 
-def _off(path: tuple[str, ...]) -> bool:
+def _off(path: tuple[str, ...], kept: frozenset = frozenset()) -> bool:
+    """Whether a tag or a name on the path says that this is no article.  The names of the page's
+    body and of an outermost <article> or <main> say nothing; nor do those of the elements ``kept``."""
     inside = False
-    for label in path:
+    for k, label in enumerate(path):
         tag, *names = label.split(".")
-        if tag in _OFF_TAGS or (tag == "header" and not inside) or any(_OFF_NAMES.match(x) for x in names if not (inside and x == "header")):
+        outermost = tag in ("html", "body") or (tag in ("article", "main") and not inside)
+        if "hidden" in names or tag in _OFF_TAGS or (tag == "header" and not inside):
+            return True
+        if not outermost and path[: k + 1] not in kept and any(_off_name(x, inside) for x in names):
             return True
         inside |= tag in ("article", "main")
     return False
 
 
+def _holders(slots: list) -> frozenset:
+    """Elements, not off by their tags, that hold most of the host's unlinked text."""
+    weight: dict[tuple[str, ...], int] = {}
+    for path, s in slots:
+        for k in range(1, len(path) + 1):
+            weight[path[:k]] = weight.get(path[:k], 0) + max(0, s[4] - 2 * s[5])
+    total = sum(max(0, s[4] - 2 * s[5]) for _, s in slots)
+    return frozenset(p for p, w in weight.items() if total and w * 10 >= total * 7)
+
+
 def _slots(parts: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
     for p in parts:
         if p[0] == "#":
@@ -241,7 +281,9 @@ def _slots(parts: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str,
 
 def article_paths(parts: list) -> list[str]:
     """Paths of the slots that hold the article."""
-    live = [(path, s) for path, s in _slots(parts) if not _off(path)]
+    slots = list(_slots(parts))
+    kept = _holders([(path, s) for path, s in slots if not any(x.split(".")[0] in _OFF_TAGS for x in path)])
+    live = [(path, s) for path, s in slots if not _off(path, kept)]
     main = [(path, s) for path, s in live if any(x.split(".")[0] in ("article", "main") or "main" in x.split(".")[1:] for x in path)]
     if not main:
         weight: dict[tuple[str, ...], int] = {}

@@ -1,13 +1,15 @@
 """Operator 8: toxicity by the nearest labelled examples.
 
-Terms are words and their stems of four and five letters.  A bounded sample of labelled rows (SAMPLE rows
-outside the held-out fold, by hash of the id) picks the terms whose presence goes with the
-label (chi-square); document frequencies are then counted over all documents.  Examples lie in
+Terms are words and their stems of four and five letters.  A bounded sample of labelled rows
+(``sample`` rows outside the held-out fold, by hash of the id) picks the terms whose presence goes
+with the label: those of a chi-square above 4 ln(terms), which chance alone gives to one of so many
+terms once in so many samples, whatever their size.  Their document frequencies are then counted
+over all documents.  Examples lie in
 an inverted index in blocks of BLOCK, which keeps for each term the largest weight in each
 block.  A document takes blocks by the bound those maxima give on its cosine and stops when no
 block can still hold one of its K nearest: the result is the exact top K by TF-IDF cosine.
 Votes weigh by distance; isotonic regression over sample rows that are not examples turns them
-into shares of label 1.  The examples' ids are the evidence.
+into shares of label 1.  The evidence is the ids of all examples that voted.
 
 Null texts count as empty; a text without any picked term gets the score of such texts in the
 sample; repeated rows are scored each; without labelled rows every score is 0.5; an empty table
@@ -28,9 +30,9 @@ from lookalike.llm.calibrate import curve, isotonic
 from lookalike.llm.common import table, written
 from lookalike.llm.inverted import words_of
 
-#: Labelled rows that are learned from, picked terms, neighbours, examples of a block, least
-#: chi-square of a term, weight of the prior among the votes.
-SAMPLE, TERMS, K, BLOCK, LEAST, PRIOR = 20_000, 512, 15, 64, 40.0, 0.5
+#: Labelled rows that are learned from, neighbours, examples of a block, weight of the prior among
+#: the votes, chi-square of a term in logarithms of the number of terms.
+SAMPLE, K, BLOCK, PRIOR, STRICT = 20_000, 15, 64, 0.5, 4.0
 #: Letters (bytes) of a stem.
 STEMS = (4, 5)
 
@@ -51,7 +53,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def pick_terms(sample: DataFrame) -> list[bytes]:
-    """sample: (text, y).  The TERMS terms of largest chi-square, at least LEAST."""
+    """sample: (text, y).  The terms whose chi-square is beyond what chance gives the largest of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter(), Counter()]
@@ -72,8 +74,10 @@ def pick_terms(sample: DataFrame) -> list[bytes]:
     n0, n1 = total.a, total.b
     n = n0 + n1
     chi = f"{n} * pow(b * cast({n0} as double) - a * cast({n1} as double), 2) / (cast({n0} as double) * {n1} * (a + b) * ({n} - a - b))"
-    best = counted.where(f"term is not null and a + b >= 3 and a + b < {n}").withColumn("chi", F.expr(chi)).where(f"chi >= {LEAST}")
-    return [bytes(r.term) for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+    candidates = counted.where(f"term is not null and a + b >= 3 and a + b < {n}")
+    least = STRICT * np.log(max(candidates.count(), 2))
+    best = candidates.withColumn("chi", F.expr(chi)).where(F.col("chi") > float(least))
+    return [bytes(r.term) for r in best.orderBy(F.desc("chi"), "term").collect()]
 
 
 def vectors(texts: DataFrame, terms: list[bytes]) -> DataFrame:
@@ -160,7 +164,7 @@ class Scorer:
             return self.base, []
         who, cosine = self.index.nearest(*self.unit(ids, counts), K)
         weight = 1 / (0.1 + np.maximum(1 - cosine, 0))
-        return float(((weight * self.index.labels[who]).sum() + PRIOR * self.base) / (weight.sum() + PRIOR)), self.index.ids[who[:3]].tolist()
+        return float(((weight * self.index.labels[who]).sum() + PRIOR * self.base) / (weight.sum() + PRIOR)), self.index.ids[who].tolist()
 
     def run(self, final: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,18 +203,17 @@ def _frequencies(vecs: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     return out[:terms], int(out[terms])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence (nearest examples)."""
     texts = _texts(docs, id_col, text_col)
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(f"y in (0, 1) and doc_id is not null").where(fold != held)
-    chosen = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "y")  # SAMPLE rows of 12 bytes at most
-    terms = pick_terms(sample)
+    chosen = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
+    terms = pick_terms(texts.join(F.broadcast(chosen), "doc_id").select("text", "y"))  # sample rows of 12 bytes at most
     vecs = written(vectors(texts, terms))
     seen, rows = _frequencies(vecs, len(terms))
     learned = vecs.join(F.broadcast(chosen), "doc_id").withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) == 0)
-    examples = learned.where("not test").orderBy("doc_id", "y").limit(SAMPLE).collect()
+    examples = learned.where("not test").orderBy("doc_id", "y").limit(sample).collect()
     base = sum(r.y for r in examples) / len(examples) if examples else 0.5
     blank = [r.y for r in examples if not r.ids]
     scorer = Scorer(np.log((1 + rows) / (1 + seen)) + 1, sum(blank) / len(blank) if blank else base)

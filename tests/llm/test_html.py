@@ -80,3 +80,28 @@ def test_alignment():
     a, b = (wrapper_of(blocks(x)) for x in ("<div><h1>x</h1><p>same</p></div>", "<div><h1>y</h1><div class=ad>z</div><p>same</p><p>other</p></div>"))
     assert regex_of(align(a, b)) == '<div>(<h1>(#text) <div.ad>("z")? <p>(#text)+)'
     assert regex_of(align(a, a)) == '<div>(<h1>("x") <p>("same"))'
+
+
+LEAKS = "ad-slot advert-box comment-list comments-area post-comments reader-comments site-footer related-posts share-buttons cookie-bar newsletter-signup promo-box sidebar-left sponsored-content adsbygoogle nav_top".split()
+
+
+def test_class_names_inside_and_on_articles(spark):
+    from lookalike.llm.html_extract import main_text
+
+    lost = "legal search alert notice related side".split()
+    words = " and many more words of the story" * 5
+    rows = [(i, f"http://leak{i}.example/", f"<body class='has-sidebar'><article><p>Story {i}{words}</p><div class='{c}'><p>Noise</p></div><header><h1>Head</h1></header></article>", None) for i, c in enumerate(LEAKS)]
+    rows += [(100 + i, f"http://lost{i}.example/", f"<article class={c}><p>Story {100 + i}{words}</p></article><div class={c}>x</div>", None) for i, c in enumerate(lost)]
+    rows += [(200 + i, "http://side.example/", f"<div class='main-content with-sidebar'><div class=search-result><p>Story {200 + i}{words}</p></div></div><div class=sidebar>x</div>", None) for i in range(3)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Story {i}{words}" + ("\n\nHead" if i < 100 else "") for i, *_ in rows}
+
+
+def test_unclosed_and_very_long(spark):
+    from lookalike.llm.html_extract import main_text
+
+    rows = [(i, f"http://u{i}.example/", f"<head><{tag}>t</head><body><article><p>Kept</p></article>", None) for i, tag in enumerate(("title", "noscript"))]
+    rows += [(5, "http://long.example/", "<article>" + "<p>word</p>" * 100_000 + "</article>", None), (6, "http://deep.example/", "<div>" * 3000 + "deep" + "</div>" * 3000, None)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[0] == got[1] == "Kept" and got[6] == "deep"
+    assert got[5] == "\n\n".join(["word"] * 100_000)

@@ -87,3 +87,15 @@ def test_toxicity_edges(spark):
     assert all(x.predicted == int(x.doc_id % 3 == 0) for x in got if x.doc_id is not None and x.doc_id < 300)
     assert {x.score for x in toxicity_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("n", [40, 200])
+def test_few_labels_part_the_texts(spark, n):
+    """What counts as a telling term follows the size of the sample."""
+    from lookalike.llm.toxicity import toxicity_scores
+
+    r = random.Random(n)
+    rows = [(i, ("nasty " if i % 2 else "kindly ") + " ".join(r.choice("abcdef") + r.choice("ghij") for _ in range(6)), None) for i in range(2 * n)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    got = toxicity_scores(spark.createDataFrame(rows, DOCS), labels).collect()
+    assert all(x.predicted == x.doc_id % 2 for x in got) and max(len(x.evidence) for x in got) > 5
