@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session's cluster names it."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lookalike-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -51,6 +53,19 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return written(ranged.select(F.monotonically_increasing_id().alias("_uid"), *kept))
 
 
+def joined_to_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with the one fact of their key; ``size`` says how many rows a fact has.
+
+    Facts of keys that would fill half a task of the shuffle are broadcast, so that a key that a
+    third of all rows share stays where it is: twice the number of shuffle partitions at most."""
+    facts = written(facts)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max((facts.agg(F.sum(size)).first()[0] or 0) / (2 * parts), 1000)
+    heavy = facts.where(F.col(size) > least)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(facts.where(F.col(size) <= least), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list by alternating large and small stars.
 

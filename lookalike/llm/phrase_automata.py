@@ -126,3 +126,13 @@ def remove_phrases(docs: DataFrame, words: int = 35, id_col: str = "doc_id", tex
 
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_phrases(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, k, md5_number(array_to_string(w[k:k + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+b AS (SELECT r, k FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS x FROM b),
+u AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS x FROM d),
+s AS (SELECT u.r, count(g.x) AS n_removed, string_agg(CASE WHEN g.x IS NULL THEN word END, ' ' ORDER BY u.x) AS kept FROM u LEFT JOIN g ON u.r = g.r AND u.x = g.x GROUP BY u.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)"""

@@ -10,9 +10,11 @@ from lookalike.llm.html_extract import op1_html_text
 from lookalike.llm.inverted import SQL as OP4_SQL
 from lookalike.llm.inverted import op4_decontaminate
 from lookalike.llm.packing import op5_packing
+from lookalike.llm.phrase_automata import SQL as OP3_SQL
 from lookalike.llm.phrase_automata import op3_phrase_dedup
 from lookalike.llm.quality import op9_quality
 from lookalike.llm.simhash import op6_simhash
+from lookalike.llm.suffix_dedup import SQL as OP10_SQL
 from lookalike.llm.suffix_dedup import op10_suffix_dedup
 from lookalike.llm.toxicity import op8_toxicity
 
@@ -29,4 +31,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE = {"op2_hamming_topk": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_chat_format": OP7_SQL}
+ORACLE = {"op2_hamming_topk": OP2_SQL, "op3_phrase_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_chat_format": OP7_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.llm import pieces as P
-from lookalike.llm.common import keyed, written
+from lookalike.llm.common import joined_to_facts, keyed, written
 
 #: Wordings of one anchor beyond which its windows are dealt by their own hashes.
 HOT = 2000
@@ -329,7 +329,7 @@ def marked(docs: DataFrame, units: Units, resolve: Callable, digest: Callable, s
         out.add("_rest", base.schema["_rest"].dataType)
     hashed = base.select("_uid", F.md5("_text").alias("_hash"))
     same = hashed.groupBy("_hash").agg(F.min("_uid").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
-    copies = written(hashed.join(same, "_hash").select("_uid", "_copies", F.when(F.col("_uid") != F.col("_first"), F.col("_first")).alias("_later")))
+    copies = written(joined_to_facts(hashed, same, "_hash", "_copies").select("_uid", "_copies", F.when(F.col("_uid") != F.col("_first"), F.col("_first")).alias("_later")))
     longs = "_key long not null, _piece long not null, _uid long not null, _loc long not null"
     heavy = _heavy(base, units, longs)
     texts = base.repartition("_uid").join(copies, "_uid", "left")

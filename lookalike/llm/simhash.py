@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from lookalike.llm.common import components, keyed, table, written
+from lookalike.llm.common import components, joined_to_facts, keyed, table, written
 
 SEED = 42
 RADIUS = 2
@@ -96,8 +96,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     roots = components(links(each.select("fp")), "a", "b")
     joined = each.join(roots, each.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     whole = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    per_fp = joined.select("fp", "root").join(whole, "root").drop("root")
-    return marks.join(per_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+    per_fp = joined.select("fp", "root", "n").join(whole, "root").drop("root")
+    return joined_to_facts(marks, per_fp, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,18 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     kept = remove_repeats(docs, with_text=True, carry=rest).where("length(kept_text) > 0 or n_removed = 0")
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"_rest.{c}").alias(c) for c in docs.columns])
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+p AS (SELECT r, k, md5_number(substring(t, 2 * k - 1, 200)) AS h FROM (SELECT r, t, unnest(range(1, len(t) // 2 - 98)) AS k FROM d WHERE len(t) >= 200)),
+b AS (SELECT r, k FROM (SELECT r, k, row_number() OVER (PARTITION BY h ORDER BY r, k) AS i FROM p) WHERE i > 1),
+e AS (SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + 100 THEN 0 ELSE 1 END AS new FROM b),
+n AS (SELECT r, k, sum(new) OVER (PARTITION BY r ORDER BY k) AS i FROM e),
+g AS (SELECT r, i, min(k) AS lo, max(k) + 100 AS hi FROM n GROUP BY r, i),
+f AS (SELECT r, i, hi AS lo2, coalesce(lead(lo) OVER (PARTITION BY r ORDER BY lo), 1000000000000) AS hi2, lo, hi FROM g),
+s AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans,
+             substring(any_value(t), 1, 2 * (min(lo) - 1)) || string_agg(substring(t, 2 * lo2 - 1, 2 * (least(hi2, len(t) // 2 + 1) - lo2)), '' ORDER BY lo) AS kept
+      FROM f JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(t) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, t))) AS kept_sha256
+FROM d LEFT JOIN s USING (r)"""

@@ -94,3 +94,12 @@ def test_quality_edges(spark):
     one = quality_scores(docs, spark.createDataFrame([(2, 1), (1, None)], "doc_id long, quality int")).collect()
     assert len(one) == 4
     assert quality_scores(docs.limit(0), none).count() == 0
+
+
+def test_heavy_keys_are_not_shuffled_but_joined(spark):
+    from lookalike.llm.common import joined_to_facts
+
+    rows = spark.range(6000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id") % 700).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 2")
+    got = joined_to_facts(rows, facts, "k", "n")
+    assert sorted(map(tuple, got.select("k", "id", "n", "low").collect())) == sorted(map(tuple, rows.join(facts, "k").select("k", "id", "n", "low").collect()))
