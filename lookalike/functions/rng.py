@@ -24,6 +24,17 @@ def uniform_sql(lane: str, key: str, seed: int = SEED) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{lane}', cast({key} as varchar))), 1, 13))::bigint / {_SCALE})"
 
 
+def big(lane: str, *keys: Column | str, seed: int = SEED) -> Column:
+    """A number of 60 random bits as a decimal string, from the digest that uniform reads."""
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(lane), *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10)
+
+
+def big_sql(lane: str, key: str, seed: int = SEED) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{lane}', cast({key} as varchar))), 1, 15))::bigint)::varchar"
+
+
 def normal(lane: str, *keys: Column | str, seed: int = SEED) -> Column:
     """Standard normal by Box and Muller on two lanes."""
     a, b = uniform(f"{lane}:a", *keys, seed=seed), uniform(f"{lane}:b", *keys, seed=seed)

@@ -1,5 +1,5 @@
 """How alike two tables are (H-20..H-38).  Values are counted before they are compared, so the
-windows run over distinct values or bands, never over rows."""
+windows run over distinct values or bands, cut at ranges where there may be many (KS)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lookalike.operators.models import all_nmi, discretize, grid, quartile_edges
 from lookalike.operators.profile import category_frequencies, correlations, numeric_columns, to_long, unpivoted
+from lookalike.sources.io import running_sums
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -26,10 +27,8 @@ def _sides(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
 def ks(src: DataFrame, syn: DataFrame, columns: list[str], least: int = 5) -> DataFrame:
     """(column_name, similarity): one less the Kolmogorov-Smirnov distance (H-20)."""
     c = _sides(src, syn, columns).select("column_name", F.col("value").cast("double").alias("v"), "a", "b")
-    per = Window.partitionBy("column_name")
-    upto = per.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(per) - F.sum("b").over(upto) / F.sum("b").over(per))
-    g = c.withColumn("gap", gap).groupBy("column_name").agg(F.max("gap").alias("d"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))
+    g = running_sums(c, ["column_name"], "v", ["a", "b"]).withColumn("gap", gap).groupBy("column_name").agg(F.max("gap").alias("d"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     return g.where((F.col("na") >= least) & (F.col("nb") >= least)).select("column_name", F.round(1 - F.col("d"), 6).alias("similarity"))
 
 

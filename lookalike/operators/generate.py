@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.functions.checks import iban_digits, luhn_digit, mod97, verhoeff_digit
-from lookalike.functions.rng import SEED, normal, pick, uniform, weighted
+from lookalike.functions.rng import SEED, big, normal, pick, uniform, weighted
 from lookalike.operators.privacy import CITY, COMPANY, FIRST, LAST
 
 
@@ -263,11 +263,14 @@ def unique_int(lo: int, hi: int, key: str = "row_id", seed: int = SEED) -> Colum
 
 
 def _digits(lane: str, n: int, key: str, first: str = "") -> Column:
-    return F.concat(F.lit(first), *[F.floor(uniform(f"{lane}:{i}", key) * 10).cast("string") for i in range(n)])
+    """n digits, twelve from each digest: the low digits of a number of 60 bits."""
+    return F.concat(F.lit(first), *[F.right(F.lpad(big(f"{lane}:{i}", key), 18, "0"), F.lit(min(12, n - i))) for i in range(0, n, 12)])
 
 
 def _letters(lane: str, n: int, key: str) -> Column:
-    return F.concat(*[F.chr(65 + F.floor(uniform(f"{lane}:L{i}", key) * 26).cast("int")) for i in range(n)])
+    """n letters from one digest of 60 bits."""
+    drawn = big(f"{lane}:L", key).cast("long")
+    return F.concat(*[F.chr(65 + F.shiftright(drawn, 8 * i) % 26) for i in range(n)])
 
 
 def gen_typed_id(kind: str, key: str = "row_id") -> Column:

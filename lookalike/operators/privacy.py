@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.rng import SEED, pick, uniform
 from lookalike.operators.profile import RARE, unpivoted
+from lookalike.sources.io import running_sums
 
 # Masking kind by column name, the first match wins (F-01).
 KIND_NAMES = [("email", "(?i)e_?mail"), ("phone", "(?i)phone|mobile|fax"), ("first_name", "(?i)first_?name|given_?name"), ("last_name", "(?i)last_?name|surname|family_?name"), ("company", "(?i)company|employer|supplier|s_name"), ("city", "(?i)city|town"), ("street", "(?i)street|address"), ("full_name", "(?i)(^|_)(full_?|customer_?|c_)?name$"), ("identifier", "(?i)(^|_)(id|key|uuid)$|key$")]
@@ -72,17 +73,30 @@ def assert_masked(src: DataFrame, masked: DataFrame, key: list[str], columns: li
         raise ValueError(f"columns are not masked: {', '.join(bad)}")
 
 
-def leak_scan(texts: DataFrame, text_col: str, id_col: str, forbidden: DataFrame, value_col: str, least: int = 3) -> DataFrame:
-    """(id, value) of forbidden strings that occur in texts, on word borders (F-06).
+def leak_scan(texts: DataFrame, text_col: str, id_col: str, forbidden: DataFrame, value_col: str, least: int = 3, head: int = 8) -> DataFrame:
+    """(id, value) of forbidden strings of ``least`` characters or more that occur anywhere in texts,
+    white space squeezed (F-06).
 
-    Both sides are cut at white space; a text meets only the strings that begin with one of
-    its words, so nothing is compared all with all."""
-    first = lambda c: F.split(F.trim(c), r"\s+")[0]
-    f = forbidden.select(F.trim(F.col(value_col).cast("string")).alias("value")).where(F.char_length("value") >= least).distinct().withColumn("w", first(F.col("value")))
-    squeezed = F.concat(F.lit(" "), F.regexp_replace(F.trim(text_col), r"\s+", " "), F.lit(" "))
-    said = texts.select(F.col(id_col).alias("id"), squeezed.alias("body"))
-    words = said.select("id", F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("w"))
-    hits = words.join(f, "w").join(said, "id").where(F.contains("body", F.concat(F.lit(" "), F.regexp_replace("value", r"\s+", " "), F.lit(" "))))
+    A text meets only the strings whose first ``head`` characters (or all, if it has fewer) occur
+    in it, so nothing is compared all with all."""
+    import pyarrow as pa
+
+    squeeze = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+    f = forbidden.select(F.trim(F.col(value_col).cast("string")).alias("value")).where(F.char_length("value") >= least).distinct()
+    f = f.withColumns({"want": squeeze(F.col("value")), "start": F.substring(squeeze(F.col("value")), 1, head)}).withColumn("size", F.char_length("start"))
+    said = texts.select(F.col(id_col).alias("id"), squeeze(F.col(text_col)).alias("body"))
+    sizes = [r[0] for r in f.select("size").distinct().collect()]  # head - least + 1 numbers at most
+    if not sizes:
+        return said.select("id", F.lit(None).cast("string").alias("value")).limit(0)
+
+    def run(batches):
+        for batch in batches:
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                starts = {body[k : k + n] for n in sizes for k in range(len(body or "") - n + 1)}
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(starts), pa.int64())), pa.array(starts, pa.string())], ["id", "start"])
+
+    pieces = said.mapInArrow(run, f"id {said.schema['id'].dataType.simpleString()}, start string")
+    hits = pieces.join(f, "start").join(said, "id").where(F.contains("body", "want"))
     return hits.select("id", "value").distinct()
 
 
@@ -191,9 +205,10 @@ def fit_dp_copula(df: DataFrame, columns: list[str], bounds: dict[str, tuple[flo
     return Copula(columns, grids, nulls, dp_correlation(df, columns, bounds, epsilon / 2, delta))
 
 
-def ledger(spends: DataFrame, epsilon: float, delta: float) -> DataFrame:
-    """spends: (step, epsilon, delta, purpose).  Adds running sums and whether each was allowed (F-16)."""
-    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+def ledger(spends: DataFrame, epsilon: float, delta: float, by: list[str] = ()) -> DataFrame:
+    """spends: (step, epsilon, delta, purpose), and ``by``, whose budget it is.  Adds running sums and
+    whether each was allowed (F-16)."""
+    upto = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     e, d = F.sum("epsilon").over(upto), F.sum("delta").over(upto)
     return spends.withColumns({"spent_epsilon": F.round(e, 9), "spent_delta": F.round(d, 12), "allowed": (F.round(e, 9) <= epsilon) & (F.round(d, 12) <= delta)})
 
@@ -205,8 +220,9 @@ def k_anonymity(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def row_digest(columns: list[str]) -> Column:
-    """Digest of a row trimmed and lower-cased, null as ''."""
-    return F.md5(F.concat_ws("|", *[F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns]))
+    """Digest of a row trimmed and lower-cased, null as ''; lengths keep fields apart."""
+    tidy = [F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns]
+    return F.md5(F.concat_ws("|", *[x for t in tidy for x in (F.char_length(t).cast("string"), t)]))
 
 
 def exact_match_rate(src: DataFrame, syn: DataFrame, columns: list[str]) -> DataFrame:
@@ -245,26 +261,62 @@ def uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
     return identifier_report(df, columns)
 
 
-def nearest(queries: DataFrame, base: DataFrame, vector: str, key: str, blocks: int = 8) -> DataFrame:
-    """(key, distance) to the closest base vector, exactly (F-23): the stated query rows against all
-    base rows, in blocks: each task holds one block of packed base vectors and streams queries."""
+#: Centres at most, base vectors of a block, queries of a packet.
+CENTRES, BLOCK, PACKET = 256, 4096, 512
+
+
+def nearest(queries: DataFrame, base: DataFrame, vector: str, key: str) -> DataFrame:
+    """(key, distance) to the closest base vector, exactly (F-23).
+
+    Distinct base vectors are dealt to the nearest of some centres, which are base vectors
+    themselves.  The distance to the nearest centre bounds a query's answer from above; a centre
+    whose distance less its radius is beyond that bound has no nearer vector, so its blocks are never
+    met.  Blocks and packets have a fixed size, whatever their number.  Rows without a vector have no
+    answer and are none."""
+    import math
+
     import numpy as np
     import pyarrow as pa
 
-    b = base.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.col(vector).cast("array<double>").alias("v"))
-    packed = b.groupBy("_b").agg(F.collect_list("v").alias("vs"))
-    q = queries.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("q"), F.pmod(F.xxhash64(key), F.lit(64)).alias("_p")).groupBy("_p").agg(F.collect_list(F.struct("_k", "q")).alias("qs"))
-    pairs = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(packed, "_b").select("qs", "vs")
+    def apart(a, m):
+        return np.concatenate([np.sqrt(((a[i : i + 64, None, :] - m[None, :, :]) ** 2).sum(-1)) for i in range(0, len(a), 64)]) if len(a) else np.zeros((0, len(m)))
+
+    b = base.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").distinct()
+    q = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("q")).where("q is not null")
+    size, packets = b.count(), max(1, math.ceil(q.count() / PACKET))
+    if not size:
+        return q.select("key", F.lit(None).cast("double").alias("distance")).limit(0)
+    centres = np.array([r.v for r in b.orderBy(F.xxhash64("v"), "v").limit(max(1, min(CENTRES, size * 2 // BLOCK))).collect()])
+
+    def deal(batches):
+        for batch in batches:
+            d = apart(np.array(batch.column(0).to_pylist()).reshape(-1, centres.shape[1]), centres)
+            at = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(d)), at]), batch.column(0)], ["centre", "far", "v"])
+
+    dealt = b.mapInArrow(deal, "centre int, far double, v array<double>")
+    radius, chunks = np.full(len(centres), -np.inf), [1] * len(centres)
+    for r in dealt.groupBy("centre").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row for each centre
+        radius[r.centre], chunks[r.centre] = r.far, math.ceil(r.n / BLOCK)
+
+    def ask(batches):
+        for batch in batches:
+            vectors = batch.column(1).to_pylist()
+            d = apart(np.array(vectors).reshape(-1, centres.shape[1]), centres)
+            who, where = np.nonzero(d - radius <= d.min(axis=1, keepdims=True) + 1e-9) if len(d) else (np.zeros(0, int), np.zeros(0, int))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array(where.astype(np.int32))], ["key", "q", "centre"])
 
     def run(batches):
         for batch in batches:
-            for qs, vs in zip(batch.column(0), batch.column(1), strict=True):
-                keys = [x["_k"] for x in qs.as_py()]
-                a, m = np.array([x["q"] for x in qs.as_py()]), np.array(vs.as_py())
-                best = np.concatenate([np.sqrt(((a[i : i + 64, None, :] - m[None, :, :]) ** 2).sum(-1)).min(1) for i in range(0, len(a), 64)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(best)], ["key", "distance"])
+            for qs, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                least = apart(np.array([x["q"] for x in qs]), np.array(vs)).min(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in qs], pa.int64()), pa.array(least)], ["key", "distance"])
 
-    return pairs.mapInArrow(run, "key long, distance double").groupBy("key").agg(F.min("distance").alias("distance"))
+    many = F.array(*[F.lit(n) for n in chunks])[F.col("centre")]
+    blocks = dealt.groupBy("centre", F.pmod(F.xxhash64("v"), many).cast("int").alias("chunk")).agg(F.collect_list("v").alias("vs"))
+    asked = q.mapInArrow(ask, "key long, q array<double>, centre int").groupBy("centre", F.pmod(F.xxhash64("key"), F.lit(packets)).alias("packet")).agg(F.collect_list(F.struct("key", "q")).alias("qs"))
+    pairs = asked.select("centre", "qs", F.explode(F.sequence(F.lit(0), many - 1)).alias("chunk")).join(blocks, ["centre", "chunk"])
+    return pairs.select("qs", "vs").mapInArrow(run, "key long, distance double").groupBy("key").agg(F.min("distance").alias("distance"))
 
 
 def dcr(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, key: str) -> DataFrame:
@@ -279,12 +331,11 @@ def dcr(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, key:
 def mia_auc(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, key: str) -> DataFrame:
     """AUC of telling members by their distance to synthetic rows, ties averaged (F-24).
 
-    Ranks come from counts per distance, so no task sees all rows but only distinct distances."""
+    Ranks come from counts per distance, added up over ranges of distances."""
     a = nearest(train, syn, vector, key).select(F.round("distance", 6).alias("d"), F.lit(1).alias("m"))
     b = nearest(holdout, syn, vector, key).select(F.round("distance", 6).alias("d"), F.lit(0).alias("m"))
     g = a.unionByName(b).groupBy("d").agg(F.sum("m").alias("members"), F.sum(1 - F.col("m")).alias("others"))
-    upto = F.sum("others").over(Window.orderBy("d"))
-    r = g.withColumn("above", F.sum("others").over(Window.partitionBy()) - upto)
+    r = running_sums(g, [], "d", ["others"]).withColumn("above", F.col("all_others") - F.col("upto_others"))
     pairs = F.sum(F.col("members") * (F.col("above") + F.col("others") / 2))
     return r.agg(F.round(pairs / (F.sum("members") * F.sum("others")), 6).alias("auc"))
 

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.functions.rng import uniform
-
-#: Rows beyond which exact quantiles and distinct counts give way to sketches where exact=None.
-EXACT_ROWS = 50_000_000
-
+from lookalike.sources.io import running_sums
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -85,15 +82,12 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
 def datetime_bounds(df: DataFrame, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """Order statistics at floor(p * (n - 1)) of time columns (B-05).
 
-    percentile_disc at (k + 1) / n is the k-th order statistic; counting values, not rows, per
-    task keeps the state as small as the column's distinct values."""
+    Values are counted, and the counts added up over ranges of values."""
     parts = []
     for c in time_columns(df):
         n = df.groupBy(F.col(c).alias("v")).count().where("v is not null")
-        total = n.agg(F.sum("count").alias("n"))
-        upto = n.withColumn("upto", F.sum("count").over(Window.orderBy("v")))
-        k = {name: F.floor(F.lit(p) * (F.col("n") - 1)) for name, p in (("lo", lower), ("hi", upper))}
-        row = upto.crossJoin(F.broadcast(total)).agg(F.min(F.when(F.col("upto") > k["lo"], F.col("v"))).alias("lower_bound"), F.min(F.when(F.col("upto") > k["hi"], F.col("v"))).alias("upper_bound"))
+        at = lambda p: F.min(F.when(F.col("upto_count") > F.floor(F.lit(p) * (F.col("all_count") - 1)), F.col("v")))
+        row = running_sums(n, [], "v", ["count"]).agg(at(lower).alias("lower_bound"), at(upper).alias("upper_bound"))
         parts.append(row.select(F.lit(c).alias("column_name"), "lower_bound", "upper_bound"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -178,12 +172,36 @@ def mask_examples(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson's r of each pair of numeric columns, undefined ones left out (B-12)."""
+    """Pearson's r of each pair of numeric columns, undefined ones left out (B-12): sums of products
+    of all pairs from one pass, over values less their column's mean."""
     cols = columns or numeric_columns(df)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"`{a}|{b}`").alias("correlation")) for a, b in pairs])
-    return wide.select(F.explode(rows).alias("r")).select("r.*").where("correlation is not null and not isnan(correlation)").withColumn("correlation", F.round("correlation", 6))
+    import numpy as np
+    import pyarrow as pa
+
+    doubles = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    means = doubles.agg(F.count(F.lit(1)), *[F.avg(c) for c in doubles.columns]).first()[1:]
+    centre = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+    names = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
+
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            live = np.column_stack([batch.column(k).is_valid().to_numpy(zero_copy_only=False) for k in range(len(cols))]).astype(np.float64)
+            v = np.column_stack([batch.column(k).fill_null(0.0).to_numpy(zero_copy_only=False) for k in range(len(cols))])
+            v = np.where(live > 0, v - centre, 0.0)
+            total = total + np.stack([live.T @ live, v.T @ live, (v * v).T @ live, v.T @ v])
+        if not np.isscalar(total):
+            i, j = np.triu_indices(len(cols), 1)
+            n, s, q, p = total
+            arrays = [i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32) if k < 2 else a) for k, a in enumerate(arrays)], names)
+
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    sums = doubles.mapInArrow(run, "i int, j int, n double, x double, y double, xx double, yy double, xy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    c = sums.withColumns({"vx": F.expr("xx - x * x / n"), "vy": F.expr("yy - y * y / n")}).where("n > 1 and vx > 1e-10 * xx and vy > 1e-10 * yy")
+    named = F.array(*[F.lit(x) for x in cols])
+    return c.select(named[F.col("i")].alias("column_a"), named[F.col("j")].alias("column_b"), F.round(F.expr("(xy - x * y / n) / sqrt(vx * vy)"), 6).alias("correlation")).where("not isnan(correlation)")
 
 
 def top_correlations(df: DataFrame, columns: int = 12, most: int = 20) -> DataFrame:
@@ -355,8 +373,9 @@ def infer_fks(tables: dict[str, DataFrame], candidates: list[tuple[str, str, str
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-insensitive fingerprint of a table: summed leading digits of row digests (B-32)."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
+    """Order-insensitive fingerprint of a table: summed leading digits of row digests, fields
+    led by their lengths so that none runs into the next (B-32)."""
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~")) for c in columns]))
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 

@@ -168,18 +168,30 @@ def classify_docs(df: DataFrame, text: str, key: str) -> DataFrame:
     return j.select(key, F.when(top.score > 0, top.kind).otherwise("unknown").alias("doc_type"), F.round(top.score, 4).alias("confidence"), ((top.score - second.score) < 0.2).alias("ambiguous"))
 
 
-def trigrams(c: Column) -> Column:
-    """All runs of three characters of the normalised text; linear in its length."""
-    chars = F.split(normalised(c), "")
-    shifted = lambda k: F.slice(chars, k, F.greatest(F.size(chars), F.lit(1)))
-    joined = lambda a, b: F.concat(a, b)
-    return F.filter(F.zip_with(F.zip_with(chars, shifted(2), joined), shifted(3), joined), lambda x: x.isNotNull())
+def _counted_grams(said: str):
+    from collections import Counter
+
+    return Counter(said[i : i + 3] for i in range(len(said) - 2))
 
 
 def language_profiles(df: DataFrame, text: str, label: str, most: int = 300) -> DataFrame:
-    """(lang, gram, weight): log share of the commonest character trigrams of each language (I-09)."""
-    grams = F.explode(trigrams(F.col(text)))
-    n = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), grams.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    """(lang, gram, weight): log share of the commonest character trigrams of each language (I-09).
+
+    Trigrams are counted batch by batch before they are shuffled."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            seen: dict = {}
+            for lang, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(_counted_grams(said))
+            rows = [(lang, g, n) for lang, c in seen.items() for g, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
+
+    labelled = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), normalised(F.col(text)).alias("said"))
+    n = labelled.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     per = Window.partitionBy("lang")
     top = n.withColumns({"p": F.row_number().over(per.orderBy(F.desc("n"), "gram")), "t": F.sum("n").over(per)}).where(F.col("p") <= most)
     return top.select("lang", "gram", F.round(F.log(F.col("n") / F.col("t")), 6).alias("weight"))
@@ -187,16 +199,33 @@ def language_profiles(df: DataFrame, text: str, label: str, most: int = 300) ->
 
 def detect_language(df: DataFrame, text: str, key: str, profiles: DataFrame, floor: float = -12.0) -> DataFrame:
     """(key, language, confidence, status): best profile by mean log share of trigrams; short texts
-    are for review (I-09)."""
-    norm = normalised(F.col(text))
-    g = df.select(key, F.char_length(norm).alias("chars"), F.explode_outer(trigrams(F.col(text))).alias("gram")).groupBy(key, "chars", "gram").agg(F.count("*").alias("n"))
-    langs = [r.lang for r in profiles.select("lang").distinct().orderBy("lang").collect()]
-    wide = profiles.groupBy("gram").pivot("lang", langs).agg(F.max("weight"))  # a few hundred grams a language
-    s = g.join(F.broadcast(wide), "gram", "left").groupBy(key, "chars").agg(*[F.round(F.sum(F.col("n") * F.coalesce(F.col(f"`{x}`"), F.lit(floor))) / F.sum("n"), 6).alias(x) for x in langs])
-    best = F.greatest(*[F.col(f"`{x}`") for x in langs])
-    lang = F.coalesce(*[F.when(F.col(f"`{x}`") == best, F.lit(x)) for x in langs])
-    conf = 1 / sum((F.exp((F.col(f"`{x}`") - best) * 4) for x in langs), F.lit(0.0))
-    return s.select(key, lang.alias("language"), F.round(conf, 4).alias("confidence"), F.when((F.col("chars") < 20) | (conf < 0.6), "review").otherwise("ok").alias("status"))
+    are for review (I-09).  Texts are scored where they lie: the profiles, a few hundred trigrams a
+    language, go to the tasks."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = profiles.collect()
+    langs = sorted({r.lang for r in known})
+    weights: dict = {}
+    for r in known:
+        weights.setdefault(r.gram, np.full(len(langs), floor))[langs.index(r.lang)] = r.weight
+    none = np.full(len(langs), floor)
+
+    def run(batches):
+        for batch in batches:
+            best, sure = [], []
+            for said in batch.column(1).to_pylist():
+                grams = _counted_grams(said)
+                total = sum(grams.values())
+                s = np.round(sum((n * weights.get(g, none) for g, n in grams.items()), 0 * none) / total, 6) if total else none
+                at = int(s.argmax()) if len(s) else None
+                best.append(None if at is None else langs[at])
+                sure.append(None if at is None else float(1 / np.exp((s - s[at]) * 4).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int32()), pa.array(best, pa.string()), pa.array(sure, pa.float64())], [key, "chars", "language", "sure"])
+
+    kind = df.schema[key].dataType.simpleString()
+    s = df.select(key, normalised(F.col(text)).alias("said")).mapInArrow(run, f"`{key}` {kind}, chars int, language string, sure double")
+    return s.select(key, "language", F.round("sure", 4).alias("confidence"), F.when((F.col("chars") < 20) | (F.col("sure") < 0.6), "review").otherwise("ok").alias("status"))
 
 
 def shape(c: Column) -> Column:

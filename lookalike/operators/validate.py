@@ -155,8 +155,8 @@ def type_adherence(df: DataFrame, kinds: dict[str, str], target: float = 0.999)
     return a.select(F.round("s", 6).alias("score"), (F.col("s") >= target).alias("passed"))
 
 
-# Plausible ranges by column name (H-13).
-RANGES = [("(?i)(^|_)age$", 0, 120), ("(?i)discount|tax", 0, 1), ("(?i)percent|pct", 0, 100), ("(?i)rating", 0, 10), ("(?i)quantity|qty", 0, 10000), ("(?i)price|amount|cost", 0, 10000000), ("(?i)latitude", -90, 90), ("(?i)longitude", -180, 180), ("(?i)year", 1900, 2100), ("(?i)month", 1, 12), ("(?i)hour", 0, 23), ("(?i)size", 0, 100000), ("(?i)score", 0, 1000), ("(?i)linenumber", 1, 10000)]
+#: Plausible ranges by column name, the first match counts (H-13).
+RANGES = [("(?i)(^|_)age$", 0, 120), ("(?i)discount|tax", 0, 1), ("(?i)percent|pct", 0, 100), ("(?i)rating", 1, 5), ("(?i)quantity|qty", 0, 10000), ("(?i)price|amount|cost", 0, 1000000), ("(?i)latitude", -90, 90), ("(?i)longitude", -180, 180), ("(?i)year", 1900, 2100), ("(?i)month", 1, 12), ("(?i)hour", 0, 23), ("(?i)size", 0, 100000), ("(?i)credit_?score", 300, 850), ("(?i)score", 0, 100), ("(?i)(^|_)day(_of_month)?$", 1, 31), ("(?i)minute", 0, 59), ("(?i)(^|_)count$", 0, 1000000), ("(?i)duration", 0, 100000), ("(?i)linenumber", 1, 10000)]
 
 
 def plausibility(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from lookalike.functions.checks import valid
-from lookalike.functions.rng import normal_sql, pick_sql, uniform, uniform_sql, weighted_sql
+from lookalike.functions.rng import big_sql, normal_sql, pick_sql, uniform, uniform_sql, weighted_sql
 from lookalike.operators import generate as G
 from lookalike.operators import models as M
 from lookalike.operators import privacy as V
@@ -193,7 +193,7 @@ def g21(s, d):
     return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("n"), F.col(k).alias("ok")) for k in _KINDS])).alias("r")).select("r.*")
 
 
-@query("g21_card_numbers", f"with b as (select row_id, '4' || {' || '.join(f'floor({U(f'card:{i}')} * 10)::int' for i in range(14))} as b from {_IDS}), g as (select *, list_sum(list_transform(range(15), lambda i: case when i % 2 = 0 then (case when b[15 - i]::int * 2 > 9 then b[15 - i]::int * 2 - 9 else b[15 - i]::int * 2 end) else b[15 - i]::int end)) as l from b) select row_id, b || cast((10 - l % 10) % 10 as int) as card from g")
+@query("g21_card_numbers", f"with b as (select row_id, '4' || right(lpad({big_sql('card:0', 'row_id')}, 18, '0'), 12) || right(lpad({big_sql('card:12', 'row_id')}, 18, '0'), 2) as b from {_IDS}), g as (select *, list_sum(list_transform(range(15), lambda i: case when i % 2 = 0 then (case when b[15 - i]::int * 2 > 9 then b[15 - i]::int * 2 - 9 else b[15 - i]::int * 2 end) else b[15 - i]::int end)) as l from b) select row_id, b || cast((10 - l % 10) % 10 as int) as card from g")
 def g21c(s, d):
     return ids(s, d).select("row_id", G.gen_typed_id("credit_card").alias("card"))
 

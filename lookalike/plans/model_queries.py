@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lookalike.functions.rng import normal_sql, uniform, uniform_sql
@@ -85,13 +87,17 @@ def e09(s, d):
 # --- C
 
 _RULES = "(values " + ", ".join(f"('{a}', '{p.replace(chr(39), chr(39) * 2)}', {w}::double)" for a, p, w in C.NAME_EVIDENCE) + ") r(semantic, pattern, weight)"
-_NAMES = ["user_id", "event_id", "ts", "event_type", "email", "first_name", "created_at", "is_open", "status_code", "note"]
+_OF = ("customer", "supplier", "part", "orders", "lineitem", "nation", "region", "events", "documents", "conversations", "pages")
 
 
-@query("c01_score_names", f"select column_name, semantic, weight from (values {', '.join(f'({chr(39)}{n}{chr(39)})' for n in _NAMES)}) c(column_name), {_RULES} where regexp_matches(column_name, pattern) and (select count(*) from events) > 0")
+@query("c01_score_names", f"select table_name, column_name, semantic, weight from ({' union all '.join(f'select {chr(39)}{n}{chr(39)} as table_name, column_name from (describe {n}) where (select count(*) from {n}) > 0' for n in _OF)}) c, {_RULES} where regexp_matches(column_name, pattern)")
 def c01(s, d):
-    has = t(s, d, "events").limit(1).count()
-    return C.score_names(s, _NAMES if has else [])
+    """Evidence of the names of the columns that the tables have; tables without rows have none."""
+    parts = []
+    for n in _OF:
+        df = t(s, d, n)
+        parts.append(C.score_names(s, df.columns).crossJoin(df.agg(F.count("*").alias("n"))).where("n > 0").select(F.lit(n).alias("table_name"), "column_name", "semantic", "weight"))
+    return reduce(type(parts[0]).unionByName, parts)
 
 
 _ORDER_TYPES = {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_orderdate": "datetime", "o_orderpriority": "string"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lookalike.functions.rng import pick_sql, uniform, uniform_sql
@@ -11,12 +13,22 @@ from lookalike.operators import profile as P
 from lookalike.plans.registry import query
 from lookalike.plans.util import halves, halves_sql, t, thirds
 
-_NAMES = [("c_name", "x"), ("contact_email", "x"), ("c_custkey", "identifier"), ("c_mktsegment", "category"), ("who", "person_name"), ("s_name", "x")]
+_OF = ("customer", "supplier", "part", "orders", "nation")
+
+
+def _case(rules, name: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({name}, '{p}') then '{k}'" for k, p in rules) + " else 'none' end"
 
 
-@query("f01_context_kind", "select * from (values ('c_name', 'full_name'), ('contact_email', 'email'), ('c_custkey', 'identifier'), ('c_mktsegment', 'none'), ('who', 'full_name'), ('s_name', 'company')) v(column_name, kind) where (select count(*) from customer) > 0")
+@query("f01_context_kind", " union all ".join(f"select '{n}' as table_name, column_name, {_case(V.KIND_NAMES, 'column_name')} as kind, (select count(*) from {n}) as values from (describe {n})" for n in _OF))
 def f01(s, d):
-    return V.context_kind(s.createDataFrame(_NAMES if t(s, d, "customer").limit(1).count() else [], "column_name string, semantic_type string"))
+    """The kinds of the columns that the tables have, with the number of values each masks."""
+    parts = []
+    for n in _OF:
+        df = t(s, d, n)
+        kinds = V.context_kind(s.createDataFrame([(c, "x") for c in df.columns], "column_name string, semantic_type string"))
+        parts.append(kinds.crossJoin(df.agg(F.count("*").alias("values"))).select(F.lit(n).alias("table_name"), "column_name", "kind", "values"))
+    return reduce(type(parts[0]).unionByName, parts)
 
 
 def _m(lane: str, col: str = "c_name", c: str = "c_name") -> str:
@@ -54,7 +66,7 @@ def f05(s, d):
     return V.unchanged_share(c, V.mask_table(c, "customer", {"c_name": "full_name"}), ["c_custkey"], ["c_name", "c_mktsegment"])
 
 
-@query("f06_leak_scan", r"with f as (select distinct v from (select split_part(replace(text, chr(10), ' '), '.', 1) as v from benchmark) where length(trim(v)) >= 3), d as (select doc_id, ' ' || regexp_replace(trim(text), '\s+', ' ', 'g') || ' ' as body from documents) select doc_id as id, trim(v) as value from d, f where contains(body, ' ' || regexp_replace(trim(v), '\s+', ' ', 'g') || ' ')")
+@query("f06_leak_scan", r"with f as (select distinct v from (select split_part(replace(text, chr(10), ' '), '.', 1) as v from benchmark) where length(trim(v)) >= 3), d as (select doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') as body from documents) select doc_id as id, trim(v) as value from d, f where contains(body, regexp_replace(trim(v), '\s+', ' ', 'g'))")
 def f06(s, d):
     items = t(s, d, "benchmark").select(F.split_part(F.regexp_replace("text", "\n", " "), F.lit("."), F.lit(1)).alias("v"))
     return V.leak_scan(t(s, d, "documents"), "text", "doc_id", items, "v")
@@ -122,10 +134,10 @@ def f15(s, d):
     return s.createDataFrame([(a, b, m[i][j]) for i, a in enumerate(_BOUNDS) for j, b in enumerate(_BOUNDS)], "column_a string, column_b string, correlation double")
 
 
-@query("f16_ledger", "with l as (select o_orderkey as step, 0.1::double * (1 + o_orderkey % 3) as epsilon from orders where o_orderkey <= 40), r as (select *, round(sum(epsilon) over (order by step), 9) as spent from l) select step, spent as spent_epsilon, spent <= 2.0 as allowed from r")
+@query("f16_ledger", "with l as (select user_id, event_id as step, 0.001::double * (1 + event_id % 3) as epsilon from events), r as (select *, round(sum(epsilon) over (partition by user_id order by step), 9) as spent from l) select user_id, step, spent as spent_epsilon, spent <= 0.05 as allowed from r")
 def f16(s, d):
-    spends = t(s, d, "orders").where("o_orderkey <= 40").select(F.col("o_orderkey").alias("step"), (F.lit(0.1) * (1 + F.col("o_orderkey") % 3)).alias("epsilon"), F.lit(0.0).alias("delta"), F.lit("count").alias("purpose"))
-    return V.ledger(spends, 2.0, 1e-6).select("step", "spent_epsilon", "allowed")
+    spends = t(s, d, "events").select("user_id", F.col("event_id").alias("step"), (F.lit(0.001) * (1 + F.col("event_id") % 3)).alias("epsilon"), F.lit(0.0).alias("delta"), F.lit("count").alias("purpose"))
+    return V.ledger(spends, 0.05, 1e-6, ["user_id"]).select("user_id", "step", "spent_epsilon", "allowed")
 
 
 @query("f17_fit_dp_copula")

@@ -263,7 +263,7 @@ def b30(s, d):
     return P.infer_fks({x: t(s, d, x) for x in {y for f in FKS for y in (f[0], f[2])}}, FKS)
 
 
-@query("b32_fingerprint", "select count(*) as row_count, cast(sum(('0x' || substr(md5(concat_ws('|', o_orderkey::varchar, o_custkey::varchar, o_orderstatus, o_orderpriority)), 1, 12))::hugeint) as varchar) as fingerprint from orders")
+@query("b32_fingerprint", "select count(*) as row_count, cast(sum(('0x' || substr(md5(concat_ws('|', length(o_orderkey::varchar) || ':' || o_orderkey::varchar, length(o_custkey::varchar) || ':' || o_custkey::varchar, length(o_orderstatus::varchar) || ':' || o_orderstatus::varchar, length(o_orderpriority::varchar) || ':' || o_orderpriority::varchar)), 1, 12))::hugeint) as varchar) as fingerprint from orders")
 def b32(s, d):
     return P.fingerprint(t(s, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 

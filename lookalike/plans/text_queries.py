@@ -102,12 +102,18 @@ def i08(s, d):
     return X.classify_docs(t(s, d, "documents"), "text", "doc_id")
 
 
-@query("i09_language_profiles")
+_N09 = r"n as (select doc_id, lang, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\f\x0B]+', ' ', 'g')), '') as c from documents)"
+_G09 = "g as (select doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda k: c[k] || c[k + 1] || c[k + 2])) as gram from n where len(c) > 2)"
+_P09 = "p as (select lang, gram, round(ln(n / t), 6) as weight from (select *, sum(n) over (partition by lang) as t, row_number() over (partition by lang order by n desc, gram) as i from (select lang, gram, count(*) as n from g where lang is not null group by all)) where i <= 300)"
+_S09 = "s as (select doc_id, lang, round(sum(n * coalesce(weight, -12.0)) / sum(n), 6) as s from (select doc_id, gram, count(*) as n from g group by all) d cross join (select distinct lang from p) l left join p using (lang, gram) group by all)"
+
+
+@query("i09_language_profiles", f"with {_N09}, {_G09}, {_P09} select * from p")
 def i09p(s, d):
     return X.language_profiles(t(s, d, "documents"), "text", "lang")
 
 
-@query("i09_detect_language")
+@query("i09_detect_language", f"with {_N09}, {_G09}, {_P09}, {_S09}, a as (select n.doc_id, len(if(c = [''], [], c)) as chars, l.lang, coalesce(s.s, -12.0) as s from n cross join (select distinct lang from p) l left join s on s.doc_id = n.doc_id and s.lang = l.lang), b as (select *, max(s) over (partition by doc_id) as m from a), r as (select doc_id, chars, min(lang) filter (where s = m) as language, 1 / sum(exp((s - m) * 4)) as sure from b group by all) select doc_id, language, round(sure, 4) as confidence, case when chars < 20 or sure < 0.6 then 'review' else 'ok' end as status from r")
 def i09(s, d):
     docs = t(s, d, "documents")
     return X.detect_language(docs, "text", "doc_id", X.language_profiles(docs, "text", "lang"))

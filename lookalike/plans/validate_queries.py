@@ -30,12 +30,7 @@ def tables(s, d):
 
 
 def _shared(s, name):
-    from_conf = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir()
-    if not from_conf:
-        import tempfile
-
-        from_conf = "file://" + tempfile.mkdtemp(prefix="lookalike-")
-    return f"{from_conf}/{name}-{uuid.uuid4().hex}"
+    return f"{io.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- A
@@ -139,9 +134,15 @@ def a15(s, d):
 # --- H
 
 
-@query("h01_tables_present", "select * from (values ('orders', true), ('payments', false)) v(table_name, present) where (select count(*) from orders) > 0")
+_HAVE = ("customer", "lineitem", "nation", "region", "orders")
+
+
+@query("h01_tables_present", " union all ".join(f"select '{n}' as table_name, true as present, count(*) as row_count from {n}" for n in _HAVE) + " union all select 'payments', false, 0")
 def h01(s, d):
-    return V.tables_present(s, tables(s, d), ["orders", "payments"]).where(F.lit(t(s, d, "orders").limit(1).count() > 0))
+    """Required tables, whether they are there, and their rows."""
+    have = tables(s, d)
+    counts = io.row_counts(have)
+    return V.tables_present(s, have, [*_HAVE, "payments"]).join(counts, "table_name", "left").select("table_name", "present", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
 @query("h02_pk_integrity", "\nunion all\n".join(f"select '{n}' as table_name, count(*) as row_count, 0::bigint as null_keys, count(*) - (select count(*) from (select distinct {', '.join(k)} from {n})) as duplicate_keys, count(*) = (select count(*) from (select distinct {', '.join(k)} from {n})) as unique from {n}" for n, k in KEYS.items()))
@@ -279,11 +280,13 @@ def h18(s, d):
     return V.curve_check(o, period, "o_totalprice", real.withColumn("target", F.when(F.month("period") % 2 == 0, F.col("target")).otherwise(1.0)))
 
 
-@query("h19_quality_score", "select greatest(0, 100 - 10 * (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) limit 1) * 0 - 3 * (select (count(*) > 0)::int from customer where c_acctbal < 0) - (select (count(*) > 0)::int from orders where o_totalprice > 100000))::bigint as score")
+@query("h19_quality_score", "select greatest(0, 100 - 10 * (select (count(*) > 0)::int from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)) - 3 * (select (count(*) > 0)::int from customer where c_acctbal < 0) - (select (count(*) > 0)::int from orders where o_totalprice > 100000))::bigint as score")
 def h19(s, d):
-    a = t(s, d, "customer").where("c_acctbal < 0").limit(1).agg(F.lit("warning").alias("severity"), F.count("*").alias("n"))
-    b = t(s, d, "orders").where("o_totalprice > 100000").limit(1).agg(F.lit("info").alias("severity"), F.count("*").alias("n"))
-    return K.quality_score(a.unionByName(b))
+    """One issue for each check that any row of the whole tables fails."""
+    twice = t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
+    checks = {"error": twice, "warning": t(s, d, "customer").where("c_acctbal < 0"), "info": t(s, d, "orders").where("o_totalprice > 100000")}
+    issues = [df.agg(F.lit(k).alias("severity"), (F.count("*") > 0).cast("long").alias("n")) for k, df in checks.items()]
+    return K.quality_score(issues[0].unionByName(issues[1]).unionByName(issues[2]))
 
 
 _HL = halves_sql("lineitem", "l_orderkey")

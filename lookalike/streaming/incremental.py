@@ -5,7 +5,6 @@ form.  A stream that never ends keeps its query; state is bounded by groups, not
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +13,11 @@ from pyspark.sql import functions as F
 from lookalike.functions.rng import SEED, uniform
 from lookalike.operators import profile as P
 from lookalike.operators.repair import PercentRule, apply_percent_rule, chunk_target
+from lookalike.sources.io import shared_dir
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lookalike-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
