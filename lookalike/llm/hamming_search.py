@@ -6,8 +6,8 @@ fetches is verified by its complete distance.  After radius r every code within
 segments * (r + 1) - 1 bits is known, so a query is done once its k-th distance is no larger.
 Blocks answer by themselves and their lists are merged.
 
-Queries go to the blocks in packets of bounded size.  Null vectors are neither indexed nor
-searched; a query never finds itself, but finds its copies; ties go to the smaller id; shorter
+Queries go to the blocks in packets of bounded size.  Null vectors and rows of null id are neither
+indexed nor searched; NaN counts as not above zero; rows of one id are codes of their own; a query never finds itself, but finds its copies; ties go to the smaller id; shorter
 vectors count as padded by zeros; an empty table gives no rows; other columns are not looked at.
 """
 
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from lookalike.llm.common import table, written
 
 SEGMENT = 16
+#: Tasks of a search at most.
+TASKS = 10_000
 #: Codes of a block, queries of a packet, keys that are probed at once.
-BLOCK, PACKET, KEYS = 16_384, 1024, 1 << 20
+BLOCK, PACKET, KEYS = 16_384, 256, 1 << 20
 
 
 @cache
@@ -150,7 +152,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 q, found, apart = tables.search(q_ids, np.frombuffer(q_codes, np.uint16).reshape(len(q_ids), -1), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(found), pa.array(apart)], ["query_id", "neighbor_id", "distance"])
 
-    pairs = index.join(packet, "block").sortWithinPartitions("block")
+    # A number of partitions of its own: small tables would else end in one task.
+    pairs = index.join(packet, "block").repartition(min(blocks * packets, TASKS), "block", "packet").sortWithinPartitions("block")
     near = pairs.select("block", "block_ids", "block_codes", "packet_ids", "packet_codes").mapInArrow(run, "query_id long, neighbor_id long, distance long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
