@@ -21,6 +21,7 @@ class Thresholds:
     tvd: float = 0.15
     quantile_rmse: float = 0.10
     near_duplicate: float = 0.05
+    dcr_ratio: float = 0.90
     mia_auc: float = 0.60
     tstr: float = 0.80
     retention: float = 0.70

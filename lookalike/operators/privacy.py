@@ -142,36 +142,40 @@ def verify_source_free(profile: DataFrame, raw: DataFrame, columns: list[str]) -
 
 
 def laplace(u: Column, scale: float) -> Column:
-    """Inverse distribution function of Laplace noise.  Draws of a hash seed are for tests; give
-    a column of secure random numbers for a release."""
+    """Inverse distribution function of Laplace noise."""
     p = F.least(F.greatest(u, F.lit(1e-12)), F.lit(1 - 1e-12)) - 0.5
     return -scale * F.signum(p) * F.log(1 - 2 * F.abs(p))
 
 
-def dp_histogram(df: DataFrame, column: str, epsilon: float, threshold: float = 0.0, domain: list[str] | None = None, draw: Column | None = None) -> DataFrame:
-    """Noisy counts per value of a public domain; small ones are left out (F-13)."""
+def dp_histogram(df: DataFrame, column: str, epsilon: float, threshold: float = 0.0, domain: list[str] | None = None, *, secret: int) -> DataFrame:
+    """Noisy counts per value of a public domain; small ones are left out (F-13).
+
+    secret: the seed of the noise, new for each release and told to nobody; who knows it can take
+    the noise off again.  A fixed one is for tests."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
     if domain is not None:
         public = df.sparkSession.createDataFrame([(v,) for v in domain], "value string")
         counts = public.join(counts, "value", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    noisy = F.round(F.col("n") + laplace(uniform(f"dp:{column}", "value") if draw is None else draw, 1 / epsilon), 6)
+    noisy = F.round(F.col("n") + laplace(uniform(f"dp:{column}", "value", seed=secret), 1 / epsilon), 6)
     return counts.select("value", noisy.alias("noisy")).where(F.col("noisy") >= threshold)
 
 
-def dp_mean_var(df: DataFrame, column: str, lower: float, upper: float, epsilon: float) -> DataFrame:
-    """Mean and variance with values clipped to public bounds, half the budget each (F-14)."""
+def dp_mean_var(df: DataFrame, column: str, lower: float, upper: float, epsilon: float, *, secret: int) -> DataFrame:
+    """Mean and variance with values clipped to public bounds, half the budget each (F-14); secret as
+    in dp_histogram."""
     c = F.least(F.greatest(F.col(column), F.lit(lower)), F.lit(upper))
     s = df.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v"))
     width = upper - lower
-    mean = F.col("m") + laplace(uniform(f"dp:{column}", F.lit("mean")), 1.0) * (width / (epsilon / 2)) / F.col("n")
-    var = F.col("v") + laplace(uniform(f"dp:{column}", F.lit("var")), 1.0) * (width**2 / (epsilon / 2)) / F.col("n")
+    mean = F.col("m") + laplace(uniform(f"dp:{column}", F.lit("mean"), seed=secret), 1.0) * (width / (epsilon / 2)) / F.col("n")
+    var = F.col("v") + laplace(uniform(f"dp:{column}", F.lit("var"), seed=secret), 1.0) * (width**2 / (epsilon / 2)) / F.col("n")
     return s.select(F.round(mean, 6).alias("dp_mean"), F.round(F.greatest(var, F.lit(0.0)), 4).alias("dp_variance"))
 
 
-def dp_correlation(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]], epsilon: float, delta: float = 1e-6) -> list[list[float]]:
+def dp_correlation(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]], epsilon: float, delta: float = 1e-6, *, secret: int) -> list[list[float]]:
     """Noised second moment of rows clipped to norm 3, made a correlation matrix (F-15).
 
-    Standardised by public bounds, not by the data.  The driver holds k x k numbers."""
+    Standardised by public bounds, not by the data.  The driver holds k x k numbers; secret
+    as in dp_histogram."""
     import numpy as np
 
     k, clip = len(columns), 3.0
@@ -180,7 +184,7 @@ def dp_correlation(df: DataFrame, columns: list[str], bounds: dict[str, tuple[fl
     scale = F.least(F.lit(1.0), clip / F.greatest(norm, F.lit(1e-9)))
     sums = df.dropna(subset=columns).agg(F.count("*").alias("n"), *[F.sum(z[i] * z[j] * scale * scale).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
     sigma = clip**2 * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
-    noise = np.random.default_rng(SEED).normal(0, sigma, (k, k))
+    noise = np.random.default_rng(secret).normal(0, sigma, (k, k))
     m = np.array([[(sums[f"s{max(i, j)}_{min(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]) + np.tril(noise) + np.tril(noise, -1).T
     w, v = np.linalg.eigh(m / max(1, sums["n"]))
     m = v @ np.diag(np.maximum(w, 1e-6)) @ v.T
@@ -188,7 +192,7 @@ def dp_correlation(df: DataFrame, columns: list[str], bounds: dict[str, tuple[fl
     return np.clip(m / np.outer(d, d), -1, 1).tolist()
 
 
-def fit_dp_copula(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]], epsilon: float, delta: float = 1e-6):
+def fit_dp_copula(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]], epsilon: float, delta: float = 1e-6, *, secret: int):
     """Copula with half the budget on noisy marginal histograms, half on the correlation (F-17)."""
     import numpy as np
 
@@ -198,11 +202,11 @@ def fit_dp_copula(df: DataFrame, columns: list[str], bounds: dict[str, tuple[flo
     for c in columns:
         lo, hi = bounds[c]
         slot = F.least(F.greatest(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("string")
-        h = {r.value: max(r.noisy, 0.0) for r in dp_histogram(df.withColumn("_s", F.coalesce(slot, F.lit("null"))), "_s", epsilon / 2 / len(columns), domain=[*map(str, range(bins)), "null"], threshold=-1e18).collect()}
+        h = {r.value: max(r.noisy, 0.0) for r in dp_histogram(df.withColumn("_s", F.coalesce(slot, F.lit("null"))), "_s", epsilon / 2 / len(columns), domain=[*map(str, range(bins)), "null"], threshold=-1e18, secret=f"{secret}:{c}").collect()}
         w = np.array([h[str(i)] for i in range(bins)]) + 1e-9
         nulls[c] = h["null"] / (h["null"] + w.sum())
         grids[c] = np.interp(np.linspace(0, 1, 21), np.concatenate([[0], np.cumsum(w) / w.sum()]), np.linspace(lo, hi, bins + 1)).tolist()
-    return Copula(columns, grids, nulls, dp_correlation(df, columns, bounds, epsilon / 2, delta))
+    return Copula(columns, grids, nulls, dp_correlation(df, columns, bounds, epsilon / 2, delta, secret=secret))
 
 
 def ledger(spends: DataFrame, epsilon: float, delta: float, by: list[str] = ()) -> DataFrame:

@@ -16,17 +16,19 @@ class Pii:
     checked: str | None = None  # identifier kind whose check digits raise the confidence
 
 
-# Kinds in order of priority; an earlier kind keeps its span.
+#: A number from 0 to 255.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Kinds in order of priority; an earlier kind keeps its span.
 PII = (
     Pii("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+", 0.98),
     Pii("URL", r"https?://[^\s<>\"']+", 0.95),
-    Pii("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.95),
-    Pii("IBAN", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.7, "iban"),
-    Pii("CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", 0.6, "credit_card"),
-    Pii("IP", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.9),
+    Pii("SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.95),
+    Pii("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b", 0.7, "iban"),
+    Pii("CARD", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.6, "credit_card"),
+    Pii("IP", rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\b", 0.9),
     Pii("PHONE", r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-]?[0-9]{4}", 0.8),
-    Pii("ROUTING", r"[0-9]{9}", 0.4, "routing_number"),
-    Pii("STREET", r"[0-9]{1,5} [A-Z][a-z]+ (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln)", 0.7),
+    Pii("ROUTING", r"\b[0-9]{9}\b", 0.4, "routing_number"),
+    Pii("STREET", r"\b[0-9]{1,5} [A-Za-z]+ (?i:street|st|avenue|ave|road|rd|lane|ln|boulevard|blvd|drive|dr|court|ct|place|pl|square|sq|terrace|way|parkway|highway)\b", 0.7),
 )
 MARK = "␟"
 
@@ -98,7 +100,7 @@ def pii_summary(df: DataFrame, text: str, key: str, by: list[str]) -> DataFrame:
     return rows.join(df.select(key, *by), key).groupBy(*by, "kind").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("findings"))
 
 
-# From which confidence a kind is redacted; under it the finding is flagged.
+#: From which confidence a kind is redacted; under it the finding is flagged.
 REDACT_FROM = {"EMAIL": 0.5, "URL": 0.99, "SSN": 0.5, "IBAN": 0.9, "CARD": 0.9, "IP": 0.8, "PHONE": 0.7, "ROUTING": 0.9, "STREET": 0.8}
 
 
@@ -154,7 +156,7 @@ def duplicate_docs(df: DataFrame, text: str, key: str) -> DataFrame:
     return h.join(first, "h").select(key, F.when(F.col("first") < F.col(key), F.col("first")).alias("duplicate_of"))
 
 
-# Words that speak for a document type.
+#: Words that speak for a document type.
 TYPES = {"invoice": ["invoice", "amount due", "bill to", "total"], "contract": ["agreement", "party", "hereby", "term"], "log": ["error", "token", "warn", "exception"], "article": ["the", "and", "that", "with"], "form": ["name:", "date:", "address:", "signature"]}
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from lookalike.functions.rng import pick_sql, uniform, uniform_sql
+from lookalike.functions.rng import SEED, pick_sql, uniform, uniform_sql
 from lookalike.operators import models as M
 from lookalike.operators import privacy as V
 from lookalike.operators import profile as P
@@ -114,7 +114,7 @@ def _lap(u: str, scale) -> str:
 
 @query("f13_dp_histogram", f"select value, round(n + {_lap(uniform_sql('dp:l_returnflag', 'value'), 2.0)}, 6) as noisy from (select l_returnflag as value, count(*) as n from lineitem group by 1 union all select 'Z', 0) where n + {_lap(uniform_sql('dp:l_returnflag', 'value'), 2.0)} >= 5")
 def f13(s, d):
-    return V.dp_histogram(t(s, d, "lineitem"), "l_returnflag", 0.5, 5, domain=["A", "N", "R", "Z"])
+    return V.dp_histogram(t(s, d, "lineitem"), "l_returnflag", 0.5, 5, domain=["A", "N", "R", "Z"], secret=SEED)
 
 
 _DM, _DV = _lap(uniform_sql("dp:o_totalprice", "'mean'"), 1.0), _lap(uniform_sql("dp:o_totalprice", "'var'"), 1.0)
@@ -122,7 +122,7 @@ _DM, _DV = _lap(uniform_sql("dp:o_totalprice", "'mean'"), 1.0), _lap(uniform_sql
 
 @query("f14_dp_mean_var", f"with c as (select least(greatest(o_totalprice, 0.0::double), 500000.0::double) as v from orders), s as (select count(*) as n, avg(v) as m, var_pop(v) as v from c) select round(m + {_DM} * (500000.0::double / 0.5) / n, 6) as dp_mean, round(greatest(v + {_DV} * (500000.0::double * 500000 / 0.5) / n, 0.0), 4) as dp_variance from s")
 def f14(s, d):
-    return V.dp_mean_var(t(s, d, "orders"), "o_totalprice", 0.0, 500000.0, 1.0)
+    return V.dp_mean_var(t(s, d, "orders"), "o_totalprice", 0.0, 500000.0, 1.0, secret=SEED)
 
 
 _BOUNDS = {"l_quantity": (0.0, 50.0), "l_extendedprice": (0.0, 100000.0), "l_discount": (0.0, 0.1)}
@@ -130,7 +130,7 @@ _BOUNDS = {"l_quantity": (0.0, 50.0), "l_extendedprice": (0.0, 100000.0), "l_dis
 
 @query("f15_dp_correlation")
 def f15(s, d):
-    m = V.dp_correlation(t(s, d, "lineitem"), list(_BOUNDS), _BOUNDS, 1.0)
+    m = V.dp_correlation(t(s, d, "lineitem"), list(_BOUNDS), _BOUNDS, 1.0, secret=SEED)
     return s.createDataFrame([(a, b, m[i][j]) for i, a in enumerate(_BOUNDS) for j, b in enumerate(_BOUNDS)], "column_a string, column_b string, correlation double")
 
 
@@ -143,7 +143,7 @@ def f16(s, d):
 @query("f17_fit_dp_copula")
 def f17(s, d):
     df = t(s, d, "lineitem")
-    return M.sample_copula(s, V.fit_dp_copula(df, list(_BOUNDS), _BOUNDS, 2.0), df.count(), "dp")
+    return M.sample_copula(s, V.fit_dp_copula(df, list(_BOUNDS), _BOUNDS, 2.0, secret=SEED), df.count(), "dp")
 
 
 @query("f18_k_anonymity", "with g as (select c_nationkey, c_mktsegment, count(*) as n from customer group by all) select min(n) as k, round(sum((n = 1)::int)::double / sum(n), 6) as singled_out, count(*) as groups from g")

@@ -131,6 +131,15 @@ def a15(s, d):
     return io.validate_write(s, path, io.row_counts({"orders": o}))
 
 
+@query("a14_schema_compat", "select column_name, count(*) as rows_refused from orders, (values ('note'), ('channel')) v(column_name) group by column_name")
+def a14(s, d):
+    """Columns of incoming rows that the target lacks, and how many rows they hold back."""
+    o = t(s, d, "orders")
+    incoming = o.withColumns({"note": F.lit(""), "channel": F.lit("web")})
+    lacking = s.createDataFrame([(c,) for c in io.schema_compat(incoming, o)], "column_name string")
+    return lacking.crossJoin(incoming.agg(F.count("*").alias("rows_refused")))
+
+
 # --- H
 
 
@@ -489,3 +498,22 @@ def h47(s, d):
     return K.validation_contract(_qa(s, d))
 
 
+
+
+@query("h42_thresholds", f"with {halves_sql('orders', 'o_orderkey')}, f as (select o_orderstatus as v, sum(a)::double / (select count(*) from src) as x, sum(1 - a)::double / (select count(*) from syn) as y from (select o_orderstatus, 1 as a from src union all select o_orderstatus, 0 from syn) group by v) select round(sum(abs(x - y)) / 2, 6) as tvd, sum(abs(x - y)) / 2 <= 0.15 as passed from f")
+def h42(s, d):
+    """A figure of two tables held against the default threshold."""
+    found = D.tvd(*halves(t(s, d, "orders"), "o_orderkey"), ["o_orderstatus"])
+    return found.select("tvd", (F.col("tvd") <= K.Thresholds().tvd).alias("passed"))
+
+
+@query("h44_validate_spec", "select 'orders.o_gone' as subject, 'unknown relation' as issue, count(*) as row_count from orders union all select 'orders.o_orderstatus', 'probabilities', count(*) from orders union all select 'lineitem.l_orderkey', 'no relationship', count(*) from lineitem")
+def h44(s, d):
+    """Issues of a spec whose tables and columns are the real ones, with the rows that they concern."""
+    have = {n: t(s, d, n) for n in ("orders", "customer", "lineitem")}
+    spec: dict = {n: {c: {} for c in df.columns} for n, df in have.items()}
+    spec["orders"]["o_orderstatus"] = {"choices": ["F", "O"], "probabilities": [0.5, 0.4]}
+    spec["lineitem"]["l_orderkey"] = {"type": "foreign_key"}
+    issues = V.validate_spec(spec, [("orders", "o_custkey", "customer", "c_custkey"), ("orders", "o_gone", "customer", "c_custkey")])
+    found = s.createDataFrame(issues, "subject string, issue string").withColumn("table_name", F.split("subject", "[.]")[0])
+    return found.join(io.row_counts(have), "table_name").select("subject", "issue", "row_count")
