@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that this session wrote, in order.
+_WRITTEN: list[str] = []
 #: Bytes of a side that may be broadcast once its size was measured.
 BROADCAST_BYTES = 8 << 20
 
@@ -31,9 +34,22 @@ def written(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read from there: the cut survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lookalike-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written; the tables that were written on the way are deleted, as nothing
+    reads them any more."""
+    before = len(_WRITTEN)
+    out = written(make())
+    for path in _WRITTEN[before:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[before:-1]
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns _uid (long), _id, _text and, with carry, _rest (a struct of those columns): _uid is
     unique and orders as (id, text) does.

@@ -78,3 +78,18 @@ def test_stages_judge_rows(spark):
     assert packed.where(F.col("doc_id").isNull()).count() == 4
     for stage in (stage_quality, stage_simhash, stage_suffix_dedup, stage_decontaminate, stage_packing):
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from lookalike.llm import common
+
+    made = []
+
+    def make():
+        made.append(common.written(spark.range(5).toDF("x")))
+        return made[0].where("x > 1")
+
+    assert common.settled(spark, make).count() == 3
+    folder = made[0].inputFiles()[0].rsplit("/", 1)[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
