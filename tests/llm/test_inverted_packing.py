@@ -141,3 +141,23 @@ def test_best_fit_is_tightest():
     assert [b.put(7, 0, 0), b.put(5, 1, 1), b.put(4, 1, 2), b.put(3, 0, 3)] == [0, 1, 2, 1]
     assert b.put(3, 2, 3) == 0  # residual 3 fits exactly
     assert b.put(2, 3, 1) == 2  # bin 1 (residual 2) holds that cluster
+
+
+def test_every_piece_went_to_the_tightest_bin(spark, monkeypatch):
+    """Replays the packing: brute-force search for the tightest compatible bin at each step."""
+    from lookalike.llm import packing
+
+    r = random.Random(9)
+    docs = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(r.choice([1, 5, 30, 70, 99, 130]))), r.choice(["hot", "hot", "hot", "a", "b", None]), None) for i in range(300)]
+    docs += [(1000 + i, docs[i % 7][1].upper(), "copies", None) for i in range(40)]
+    capacity, per_source = 100, 2
+    got = {r.doc_id: r.bin_id for r in packing.pack(spark.createDataFrame(docs, SCHEMA), capacity, per_source).where("n_words < 100").collect()}
+    rests = [(len(t.split()) % capacity, d, s or "", " ".join(t.lower().split())) for d, t, s, _ in docs if len(t.split()) % capacity]
+    bins: dict = {}
+    for size, doc, source, cluster in sorted(rests, key=lambda x: (-x[0], x[1])):
+        fits = {b: left for b, (left, held) in bins.items() if left >= size and sum(x == source for x, _ in held) < per_source and all(c != cluster for _, c in held)}
+        name = got[doc]
+        assert (name in fits and fits[name] == min(fits.values())) if fits else name not in bins
+        left, held = bins.get(name, (capacity, []))
+        bins[name] = (left - size, [*held, (source, cluster)])
+    assert len(got) == len(rests)

@@ -103,3 +103,42 @@ def test_heavy_keys_are_not_shuffled_but_joined(spark):
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 2")
     got = joined_to_facts(rows, facts, "k", "n")
     assert sorted(map(tuple, got.select("k", "id", "n", "low").collect())) == sorted(map(tuple, rows.join(facts, "k").select("k", "id", "n", "low").collect()))
+
+
+def test_quality_against_a_plain_fit(spark, sf):
+    """Kernel features, ridge and isotonic curve fitted on all rows at once."""
+    import math
+    import zlib
+
+    import numpy as np
+
+    from lookalike.llm import quality as Q
+    from lookalike.llm.calibrate import HIGH, LOW, STEP
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    given = [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x = {d: np.array(Q.statistics(t.encode()), np.float32).astype(float) for d, t in texts.items()}
+    a = np.array([x[d] for d, _ in given])
+    y = np.array([q for _, q in given], float)
+    mean, scale = a.mean(0), a.std(0)
+    scale[scale <= 1e-9] = 1
+    rng = np.random.default_rng(Q.SEED)
+    w = rng.standard_normal((a.shape[1], Q.COMPONENTS)) / (Q.WIDTH * math.sqrt(a.shape[1]))
+    shift = rng.uniform(0, 2 * math.pi, Q.COMPONENTS)
+    z = lambda m: np.column_stack([np.cos((m - mean) / scale @ w + shift) * math.sqrt(2 / Q.COMPONENTS), np.ones(len(m))])
+    beta = np.linalg.solve(z(a).T @ z(a) + Q.RIDGE * np.eye(Q.COMPONENTS + 1), z(a).T @ y)
+    at = np.floor((np.clip(z(a) @ beta, LOW, HIGH) - LOW) / STEP)
+    pools = [[y[at == b].sum(), (at == b).sum(), (at == b).sum() * (LOW + (b + 0.5) * STEP)] for b in np.unique(at)]
+    k = 1
+    while k < len(pools):  # pool adjacent violators, from the left
+        if pools[k - 1][0] / pools[k - 1][1] >= pools[k][0] / pools[k][1]:
+            pools[k - 1 : k + 1] = [[u + v for u, v in zip(pools[k - 1], pools[k])]]
+            k = max(1, k - 1)
+        else:
+            k += 1
+    ids = sorted(texts)
+    want = np.interp(z(np.array([x[d] for d in ids])) @ beta, [p[2] / p[1] for p in pools], [p[0] / p[1] for p in pools])
+    got = {r.doc_id: r.score for r in Q.quality_scores(docs, labels).collect()}
+    apart = np.abs(np.array([got[d] for d in ids]) - want)
+    assert np.quantile(apart, 0.95) < 1e-3 and apart.max() < 0.1  # a score on the border of a bin may fall to either side
