@@ -99,3 +99,65 @@ def test_few_labels_part_the_texts(spark, n):
     labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
     got = toxicity_scores(spark.createDataFrame(rows, DOCS), labels).collect()
     assert all(x.predicted == x.doc_id % 2 for x in got) and max(len(x.evidence) for x in got) > 5
+
+
+def test_scores_and_evidence_against_brute_force(spark):
+    """Terms, cosines, votes and calibration computed plainly over dense vectors."""
+    import zlib
+    from collections import Counter
+
+    from lookalike.llm import toxicity as t
+    from lookalike.llm.calibrate import HIGH, LOW, STEP
+
+    r = random.Random(4)
+    bad, good = ["nasty", "vile", "foul"], ["kindly", "warm", "gentle"]
+    say = lambda own, other: " ".join([r.choice(own) for _ in range(r.randint(0, 3))] + [r.choice(other) for _ in range(r.random() < 0.2)] + [r.choice("abcdef") + r.choice("gh") for _ in range(8)])
+    rows = [(i, say(bad, good) if i % 2 else say(good, bad), None) for i in range(500)]
+    marks = {i: i % 2 for i in range(400)}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {x.doc_id: x for x in t.toxicity_scores(docs, spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")).collect()}
+    learned = [i for i in marks if zlib.crc32(str(i).encode()) % 5]
+    split = {x.doc_id: x.s for x in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) == 0).alias("s")).collect()}
+    terms = {i: t._terms(text.encode()) for i, text, _ in rows}
+    n1 = sum(marks[i] for i in learned)
+    n0, n = len(learned) - n1, len(learned)
+    a, b = Counter(), Counter()
+    for i in learned:
+        (b if marks[i] else a).update(terms[i].keys())
+    chi = {w: n * (b[w] * n0 - a[w] * n1) ** 2 / (n0 * n1 * (a[w] + b[w]) * (n - a[w] - b[w])) for w in a.keys() | b.keys() if 3 <= a[w] + b[w] < n}
+    chosen = [w for w, x in chi.items() if x > t.STRICT * np.log(len(chi))]
+    assert {b"nasty", b"kindly"} <= set(chosen)
+    m = np.array([[terms[i][w] for w in chosen] for i, _, _ in rows], float)
+    m = np.log1p(m) * (np.log((1 + len(rows)) / (1 + (m > 0).sum(0))) + 1)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+    examples = [i for i in learned if not split[i]]
+    base = np.mean([marks[i] for i in examples])
+    blank = np.mean([marks[i] for i in examples if not m[i].any()] or [base])
+    live = np.array([i for i in examples if m[i].any()])
+    raw, least = {}, {}
+    for i, *_ in rows:
+        c = m[live] @ m[i]
+        top = np.sort(c[c > 0])[::-1][: t.K]
+        least[i] = top[-1] if len(top) else 2
+        weight = lambda x: 1 / (0.1 + max(1 - x, 0))
+        assert all(m[i] @ m[j] >= least[i] - 1e-9 for j in got[i].evidence) and len(got[i].evidence) == len(top)
+        # the evidence is the k nearest (ties at the last place go to any); it gives the vote
+        w = np.array([weight(m[i] @ m[j]) for j in got[i].evidence])
+        raw[i] = ((w * [marks[j] for j in got[i].evidence]).sum() + t.PRIOR * blank) / (w.sum() + t.PRIOR) if len(w) else blank
+    tests = [i for i in learned if split[i]]
+    pools = []
+    bins = {}
+    for i in tests:
+        k = int(np.floor((min(max(raw[i], LOW), HIGH) - LOW) / STEP + 1e-9))
+        p = bins.setdefault(k, [0, 0])
+        p[0] += marks[i]
+        p[1] += 1
+    for k in sorted(bins):
+        pools.append([bins[k][0], bins[k][1], bins[k][1] * (LOW + (k + 0.5) * STEP)])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last)]
+    want = np.interp([raw[i] for i, *_ in rows], [p[2] / p[1] for p in pools], [p[0] / p[1] for p in pools])
+    apart = np.abs(want - [got[i].score for i, *_ in rows])
+    assert np.quantile(apart, 0.95) < 1e-2 and apart.max() < 0.1
