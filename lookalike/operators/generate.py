@@ -105,7 +105,7 @@ def gen_timestamp(start: str, end: str, lane: str, key: str = "row_id", recent:
     return F.timestamp_seconds(second)
 
 
-# Relative weight of each hour of the day (G-06).
+#: Relative weight of each hour of the day (G-06).
 HOURS = {"retail": [1, 1, 1, 1, 1, 2, 4, 8, 12, 16, 20, 22, 24, 22, 20, 20, 22, 24, 22, 18, 12, 8, 4, 2], "flat": [1] * 24}
 
 
@@ -302,7 +302,7 @@ def gen_typed_id(kind: str, key: str = "row_id") -> Column:
     raise ValueError(f"unknown kind {kind}")
 
 
-# Word lists of generated texts (G-22).
+#: Word lists of generated texts (G-22).
 PRODUCT = ["lamp", "chair", "table", "kettle", "jacket", "tent", "drill", "phone"]
 QUALITY = ["sturdy", "light", "compact", "classic", "bright", "quiet", "warm", "plain"]
 
@@ -530,7 +530,7 @@ def customize(df: DataFrame, key: str, overrides: dict[str, dict]) -> DataFrame:
     return out
 
 
-# Named column profiles (G-45).
+#: Named column profiles (G-45).
 PROFILES = {
     "age": {"distribution": "normal", "mean": 38, "std": 14, "min": 18, "max": 90, "decimals": 0},
     "salary": {"distribution": "lognormal", "mean": 60000, "std": 30000, "min": 15000, "max": 500000},

@@ -298,15 +298,16 @@ def is_text_heavy(df: DataFrame) -> DataFrame:
     return j.select("column_name", (named | long).alias("text_heavy"))
 
 
-#: What a personal value looks like, in order of preference (B-24).
+#: What a personal value looks like, in order of preference (B-24).
 PII_VALUES = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
     "aadhaar": r"^[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}$",
     "cpf": r"^[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}$",
+    "nin": r"^[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]$",
     "phone": r"^\+?[0-9][0-9 ().-]{7,18}[0-9]$",
 }
-PII_NAMES = {"email": "(?i)e_?mail", "ssn": "(?i)ssn|social_security", "aadhaar": "(?i)aadhaar", "cpf": "(?i)(^|_)cpf$", "national_id": "(?i)national_id", "phone": "(?i)phone|mobile", "name": "(?i)(^|_)(name|full_?name|first_?name|last_?name)$"}
+PII_NAMES = {"email": "(?i)e_?mail", "ssn": "(?i)ssn|social_security", "aadhaar": "(?i)aadhaar", "cpf": "(?i)(^|_)cpf$", "nin": "(?i)(^|_)(nin|nino|national_insurance(_number|_no)?)$", "national_id": "(?i)national_id|passport|driving_licen[cs]e", "phone": "(?i)phone|mobile", "name": "(?i)(^|_)(name|full_?name|first_?name|last_?name)$"}
 
 
 def pii_semantic(df: DataFrame, share: float = 0.8) -> DataFrame:
@@ -318,7 +319,7 @@ def pii_semantic(df: DataFrame, share: float = 0.8) -> DataFrame:
     return long.select("column_name", by_name.alias("by_name"), by_value.alias("by_value"), F.coalesce(by_name, by_value).alias("semantic"))
 
 
-#: Text roles by name, in order of preference (B-25).
+#: Text roles by name, in order of preference (B-25).
 TEXT_ROLES = [("email", "e_?mail"), ("phone", "phone|mobile"), ("url", "url|website|link"), ("first_name", "first_?name"), ("last_name", "last_?name|surname"), ("company", "company|organi[sz]ation"), ("product", "product|part|brand"), ("address", "address|street"), ("city", "city|town"), ("state", "state|province"), ("country", "country|nation"), ("job_title", "job|title"), ("description", "description|comment|summary|note|text"), ("name", "name"), ("status", "status|flag|segment|type|priority")]
 
 
@@ -340,7 +341,7 @@ def quantile_grid(df: DataFrame, columns: list[str], points: int = 21) -> DataFr
     return to_long(df, aggs).select("column_name", F.posexplode("g").alias("step", "value")).withColumn("value", F.round("value", 6))
 
 
-#: Names of quasi-identifiers.
+#: Names of quasi-identifiers.
 QUASI = "(?i)(age|gender|birth|zip|postal|city|state|nation|region|segment)"
 
 

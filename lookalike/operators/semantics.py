@@ -132,7 +132,7 @@ def merge_contract(candidates: DataFrame, prior: DataFrame, decisions: DataFrame
     return j.select("column_name", F.coalesce("d", approved, "c", "p").alias("semantic_type"), status.alias("status"), (F.coalesce("revision", F.lit(0)) + 1).alias("revision"))
 
 
-# Table roles by name (C-10).
+#: Table roles by name (C-10).
 ROLES = [("reference", r"(?i)^(region|nation|country|currency|category|status)s?$"), ("line_item", r"(?i)line_?item|_items?$"), ("activity", r"(?i)event|log|activity|session"), ("transaction", r"(?i)order|payment|transaction|invoice")]
 
 
