@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["profile_queries", "model_queries", "privacy_queries", "generate_queries", "repair_queries", "validate_queries", "text_queries"]
+_MODULES = ["profile_queries", "model_queries", "privacy_queries", "generate_queries", "repair_queries", "validate_queries", "text_queries", "catalog_queries"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

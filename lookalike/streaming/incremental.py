@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.rng import SEED, uniform
 from lookalike.operators import profile as P
+from lookalike.operators.generate import assign_fk
 from lookalike.operators.repair import PercentRule, apply_percent_rule, chunk_target
 from lookalike.sources.io import shared_dir
 
@@ -139,3 +140,9 @@ def clean_stream(sdf: DataFrame, column: str) -> DataFrame:
         return df.agg(F.count("*").alias("row_count"), F.count_if(F.col(column).isNull()).alias("null_count"), F.count_if(F.col(column).isNotNull() & number.isNull()).alias("failed"))
 
     return _kept(sdf, "clean", part).agg(*[F.sum(c).alias(c) for c in ("row_count", "null_count", "failed")]).select(F.lit(column).alias("column_name"), "*")
+
+
+def assign_fk_stream(sdf: DataFrame, child_key: str, parent: DataFrame, parent_key: str, out: str) -> DataFrame:
+    """Parent keys for a stream of child rows: each micro-batch draws from the keys that are there
+    when it runs; while they do not change, the result is assign_fk's over all rows (J-07)."""
+    return _kept(sdf, "keys", lambda df: assign_fk(df, child_key, parent, parent_key, out))
