@@ -221,7 +221,13 @@ def g26(s, d):
     return G.null_if(t(s, d, "orders"), "o_orderpriority", "o_orderstatus", ["F"]).select("o_orderkey", "o_orderpriority")
 
 
-@query("g27_impose_correlation")
+_G27 = f"""with a as (select o_orderkey, o_totalprice, o_custkey::double as weight, row_number() over (order by o_totalprice, o_orderkey) as ra, count(*) over () as n from orders),
+s as (select *, 0.8::double * sqrt(12.0::double) * (ra::double / n - 0.5::double) + {math.sqrt(1 - 0.8 * 0.8)!r}::double * {normal_sql('corr:o_totalprice:weight', 'o_orderkey')} as s from a),
+r as (select *, row_number() over (order by s, o_orderkey) as r from s), v as (select weight as w, row_number() over (order by weight, o_orderkey) as r from a)
+select o_orderkey, o_totalprice, w as weight from r join v using (r)"""
+
+
+@query("g27_impose_correlation", _G27)
 def g27(s, d):
     o = t(s, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("weight"))
     return G.impose_correlation(o, "o_totalprice", "weight", 0.8, "o_orderkey")

@@ -262,9 +262,41 @@ def d08(s, d):
     return df.select("o_orderkey", M.encode_number("o_orderdate", df).alias("day"), M.encode_number("o_totalprice", df).alias("price"), M.encode_number("f", df).alias("done"))
 
 
-@query("d09_fit_copula")
+_COPULA = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _horner(cs, x: str) -> str:
+    out = repr(cs[0])
+    for c in cs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _place_sql(c: str) -> str:
+    """The place in (0, 1) of a value among 21 quantiles of its column."""
+    below, upto = f"len(list_filter(g_{c}, lambda e: e < {c}))", f"len(list_filter(g_{c}, lambda e: e <= {c}))"
+    lo, hi = f"g_{c}[greatest({below}, 1)]", f"g_{c}[least({below} + 1, 21)]"
+    return f"least(greatest(case when {upto} - {below} > 1 then ({below} + {upto} - 1) / 40.0::double else ({below} - 1 + case when {hi} > {lo} then ({c} - {lo}) / ({hi} - {lo}) else 0 end) / 20.0::double end, 0.0005::double), 0.9995::double)"
+
+
+def _score_sql(p: str) -> str:
+    """The normal score of a place."""
+    tail = lambda z: f"({_horner(M._C, z)} / ({_horner((*M._D, 1.0), z)}))"
+    low, high, q = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    mid = f"({_horner(M._A, f'({q} * {q})')} * {q} / {_horner((*M._B, 1.0), f'({q} * {q})')})"
+    return f"case when {p} < 0.02425 then {tail(low)} when {p} > 1 - 0.02425 then -{tail(high)} else {mid} end"
+
+
+_D09 = (
+    f"with g as (select {', '.join(f'{c}::double as {c}, (select quantile_cont({c}::double, {[i / 20 for i in range(21)]}) from lineitem) as g_{c}' for c in _COPULA)} from lineitem),"
+    f" p as (select {', '.join(f'{_place_sql(c)} as p{i}' for i, c in enumerate(_COPULA))} from g), z as (select {', '.join(f'{_score_sql(f"p{i}")} as z{i}' for i in range(3))} from p) "
+    + " union all ".join(f"select '{a}' as column_a, '{b}' as column_b, {'1.0::double' if a == b else f'round(corr(z{i}, z{j}), 4)'} as correlation from z having count(*) > 0" for i, a in enumerate(_COPULA) for j, b in enumerate(_COPULA))
+)
+
+
+@query("d09_fit_copula", _D09)
 def d09(s, d):
-    m = M.fit_copula(t(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    m = M.fit_copula(t(s, d, "lineitem"), _COPULA)
     return s.createDataFrame([(a, b, round(m.correlation[i][j], 4)) for i, a in enumerate(m.columns) for j, b in enumerate(m.columns)], "column_a string, column_b string, correlation double")
 
 
