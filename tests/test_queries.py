@@ -1,4 +1,4 @@
-"""Every registered query of the library against its SQL, on the smallest tables."""
+"""One registered query of each family against its SQL, on the smallest tables."""
 
 import datetime
 import decimal
