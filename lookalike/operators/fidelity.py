@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookalike.operators.models import all_nmi, discretize, grid, quartile_edges
-from lookalike.operators.profile import category_frequencies, correlations, numeric_columns, to_long, unpivoted
+from lookalike.operators.models import all_nmi, discretize, quartile_edges
+from lookalike.operators.profile import category_frequencies, correlations, exact_quantiles, numeric_columns, to_long, unpivoted
 from lookalike.sources.io import running_sums
 
 
@@ -69,8 +69,9 @@ def compare_distributions(src: DataFrame, syn: DataFrame, numbers: list[str], ca
 
 def quantile_rmse(src: DataFrame, syn: DataFrame, columns: list[str]) -> DataFrame:
     """Root mean square difference of 21 quantiles over the source's range (H-25)."""
-    g = lambda df, n: to_long(df, {c: {n: grid(F.col(c))} for c in columns})
-    j = g(src, "a").join(g(syn, "b"), "column_name")
+    g = lambda df, n: exact_quantiles(df, {c: F.col(c) for c in columns}, [i / 20 for i in range(21)]).withColumnRenamed("q", n)
+    names = src.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    j = names.join(g(src, "a"), "column_name", "left").join(g(syn, "b"), "column_name", "left")
     square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("a")
     width = F.element_at("a", -1) - F.element_at("a", 1)
     return j.select("column_name", F.round(F.coalesce(F.try_divide(F.sqrt(square), width), F.lit(0.0)), 6).alias("rmse"))
@@ -79,7 +80,7 @@ def quantile_rmse(src: DataFrame, syn: DataFrame, columns: list[str]) -> DataFra
 def correlation_retention(src: DataFrame, syn: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:
     """(parent, child, source, synthetic, retention): mutual information kept by each pair, in the
     source's bands (H-26)."""
-    edges = {c: quartile_edges(src, c) for c in columns if c in numeric_columns(src)}
+    edges = quartile_edges(src, [c for c in columns if c in numeric_columns(src)])
     a = all_nmi(discretize(src, columns, edges), columns).select("parent", "child", F.col("nmi").alias("source"))
     b = all_nmi(discretize(syn, columns, edges), columns).select("parent", "child", F.col("nmi").alias("synthetic"))
     j = a.where(F.col("source") > least).join(b, ["parent", "child"])
@@ -88,8 +89,9 @@ def correlation_retention(src: DataFrame, syn: DataFrame, columns: list[str], le
 
 def range_fidelity(src: DataFrame, syn: DataFrame, columns: list[str]) -> DataFrame:
     """Share of synthetic values within the source's 1 % and 99 % quantiles (H-27)."""
-    q = src.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in columns]).first()
-    return to_long(syn, {c: {"share": F.round(F.avg(F.col(c).cast("double").between(F.lit(q[c][0]), F.lit(q[c][1])).cast("double")), 6)} for c in columns})
+    q = {r.column_name: r.q for r in exact_quantiles(src, {c: F.col(c) for c in columns}, [0.01, 0.99]).collect()}
+    none = [None, None]
+    return to_long(syn, {c: {"share": F.round(F.avg(F.col(c).cast("double").between(F.lit(q.get(c, none)[0]), F.lit(q.get(c, none)[1])).cast("double")), 6)} for c in columns})
 
 
 def vocabulary_fidelity(src: DataFrame, syn: DataFrame, columns: list[str]) -> DataFrame:

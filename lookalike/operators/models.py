@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.functions.rng import normal, uniform
-from lookalike.operators.profile import numeric_columns, suppress_rare
+from lookalike.operators.profile import exact_quantiles, numeric_columns, suppress_rare
 
 NULL_BAND = "∅"
 
 
-def quartile_edges(df: DataFrame, column: str) -> list[float]:
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))).first()[0]
-    return sorted(set(q or []))
+def quartile_edges(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+    """Quartiles of each column, equal ones once; all columns in one job."""
+    if not columns:
+        return {}
+    q = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    return {r.column_name: sorted(set(r.q)) for r in q.collect()}
 
 
 def discretize(df: DataFrame, columns: list[str], edges: dict[str, list[float]] | None = None) -> DataFrame:
     """Numbers with over four values to right-closed quartile bands, all else to strings (D-01)."""
     numbers = [c for c in columns if c in numeric_columns(df)]
     many = df.agg(*[F.count_distinct(c).alias(c) for c in numbers]).first() if numbers else {}
+    bands = [c for c in numbers if many[c] > 4]
+    edges = quartile_edges(df, [c for c in bands if not (edges or {}).get(c)]) | {c: e for c, e in (edges or {}).items() if e}
     out = {}
     for c in columns:
-        if c in numbers and many[c] > 4:
-            e = (edges or {}).get(c) or quartile_edges(df, c)
+        if c in bands:
+            e = edges[c]
             band: Column = F.lit(f"q{len(e)}")
             for i in range(len(e) - 1, -1, -1):
                 band = F.when(F.col(c).cast("double") <= e[i], f"q{i}").otherwise(band)
@@ -236,10 +241,11 @@ class Copula:
 
 
 def fit_copula(df: DataFrame, columns: list[str]) -> Copula:
-    """Gaussian copula: grids as marginals, correlation of normal scores (D-09).  Two passes; the
-    driver holds columns x columns numbers."""
-    first = df.agg(*[grid(encode_number(c, df)).alias(f"g{i}") for i, c in enumerate(columns)], *[F.avg(F.col(c).isNull().cast("double")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    grids = {c: list(first[f"g{i}"] or [0.0] * 21) for i, c in enumerate(columns)}
+    """Gaussian copula: grids as marginals, correlation of normal scores (D-09).  The driver holds
+    columns x columns numbers."""
+    held = {r.column_name: r.q for r in exact_quantiles(df, {c: encode_number(c, df) for c in columns}, [i / 20 for i in range(21)]).collect()}
+    first = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    grids = {c: list(held.get(c) or [0.0] * 21) for c in columns}
     z = df.select(*[normal_quantile(_position(F.coalesce(encode_number(c, df), F.lit(grids[c][10])), grids[c])).alias(f"z{i}") for i, c in enumerate(columns)])
     k = len(columns)
     r = z.agg(*[F.corr(f"z{i}", f"z{j}").alias(f"r{i}_{j}") for i in range(k) for j in range(i)]).first() if k > 1 else {}

@@ -66,15 +66,37 @@ def physical_types(df: DataFrame) -> DataFrame:
     return to_long(df, aggs)
 
 
-def quantiles(c: str, at: list[float], exact: bool = True) -> Column:
+def exact_quantiles(df: DataFrame, values: dict[str, Column], at: list[float]) -> DataFrame:
+    """(column_name, q): exact quantiles of doubles, linear between neighbours; none without values.
+
+    Values are counted, the counts added up over ranges of values, and only the rows that hold a
+    wanted place go on: no task keeps the distinct values of a column."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("column_name"), v.cast("double").alias("v")) for n, v in values.items()])
+    counted = df.select(F.explode(pairs).alias("p")).select("p.*").where("v is not null").groupBy("column_name", "v").count()
+    placed = running_sums(counted, ["column_name"], "v", ["count"])
+    place = lambda p: F.lit(float(p)) * (F.sum("count") - 1)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), place(p).alias("at"), (F.ceil(place(p)) if up else F.floor(place(p))).alias("k")) for i, p in enumerate(at) for up in (False, True)])
+    wanted = counted.groupBy("column_name").agg(wanted.alias("w")).select("column_name", F.explode("w").alias("w"))
+    here = (F.col("w.k") < F.col("upto_count")) & (F.col("w.k") >= F.col("upto_count") - F.col("count"))
+    held = placed.join(F.broadcast(wanted.withColumnRenamed("column_name", "_of")), (F.col("column_name") == F.col("_of")) & here)
+    found = held.groupBy("column_name", F.col("w.i").alias("i"), F.col("w.at").alias("at")).agg(F.max(F.when(~F.col("w.up"), F.col("v"))).alias("lo"), F.max(F.when(F.col("w.up"), F.col("v"))).alias("hi"))
+    between = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+    return found.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", between.alias("x")))), lambda r: r.x).alias("q"))
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], at: list[float], exact: bool = True) -> DataFrame:
+    """(column_name, q) by counts and ranges, or by sketches in one pass."""
+    if exact:
+        return exact_quantiles(df, values, at)
     points = F.array(*[F.lit(float(p)) for p in at])
-    return F.percentile(F.col(c).cast("double"), points) if exact else F.percentile_approx(F.col(c).cast("double"), points, F.lit(10000))
+    return to_long(df, {n: {"q": F.percentile_approx(v.cast("double"), points, F.lit(10000))} for n, v in values.items()})
 
 
 def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     """Minimum, maximum, mean, median, quartiles (B-03) and the p01/p99 bounds (B-04)."""
-    at = [0.01, 0.25, 0.5, 0.75, 0.99]
-    long = to_long(df, {c: {"minimum": F.min(c).cast("double"), "maximum": F.max(c).cast("double"), "mean": F.round(F.avg(c), 6), "q": quantiles(c, at, exact)} for c in numeric_columns(df)})
+    cols = numeric_columns(df)
+    long = to_long(df, {c: {"minimum": F.min(c).cast("double"), "maximum": F.max(c).cast("double"), "mean": F.round(F.avg(c), 6)} for c in cols})
+    long = long.join(F.broadcast(quantiles(df, {c: F.col(c) for c in cols}, [0.01, 0.25, 0.5, 0.75, 0.99], exact)), "column_name", "left")
     named = {n: F.round(F.col("q")[i], 6) for i, n in enumerate(["lower_bound", "p25", "median", "p75", "upper_bound"])}
     return long.withColumns(named).drop("q")
 
@@ -334,11 +356,9 @@ def text_semantic(df: DataFrame) -> DataFrame:
 def quantile_grid(df: DataFrame, columns: list[str], points: int = 21) -> DataFrame:
     """Quantiles at equal steps of numeric and time columns (B-26): (column_name, step, value)."""
     seconds = set(time_columns(df))
-    aggs = {}
-    for c in columns:
-        v = F.unix_timestamp(F.col(c).cast("timestamp")) if c in seconds else F.col(c)
-        aggs[c] = {"g": F.percentile(v.cast("double"), F.array(*[F.lit(i / (points - 1)) for i in range(points)]))}
-    return to_long(df, aggs).select("column_name", F.posexplode("g").alias("step", "value")).withColumn("value", F.round("value", 6))
+    values = {c: F.unix_timestamp(F.col(c).cast("timestamp")) if c in seconds else F.col(c) for c in columns}
+    grids = exact_quantiles(df, values, [i / (points - 1) for i in range(points)])
+    return grids.select("column_name", F.posexplode("q").alias("step", "value")).withColumn("value", F.round("value", 6))
 
 
 #: Names of quasi-identifiers.

@@ -61,3 +61,24 @@ def test_row_digest_keeps_fields_apart(spark):
 
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c")], "x string, y string")
     assert df.select(row_digest(["x", "y"]).alias("h")).distinct().count() == 2
+
+
+def test_exact_quantiles(spark):
+    from lookalike.operators.fidelity import quantile_rmse, range_fidelity
+    from lookalike.operators.profile import exact_quantiles, profile_numeric
+
+    rng = np.random.default_rng(7)
+    cols = {"even": rng.standard_normal(501), "ties": np.repeat([1.0, 2.0, 2.0, 9.0], 126)[:501], "one": np.full(501, 4.0)}
+    data = [(*(float(v[i]) for v in cols.values()), None, None if i % 3 else i) for i in range(501)]
+    df = spark.createDataFrame(data, "even double, ties double, one double, none double, some long").repartition(5)
+    at = [0.0, 0.013, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r.column_name: r.q for r in exact_quantiles(df, {c: F.col(c) for c in df.columns}, at).collect()}
+    want = cols | {"some": np.arange(0, 501, 3)}
+    assert got.keys() == want.keys()
+    for c, v in want.items():
+        assert np.allclose(got[c], np.quantile(v, at), rtol=0, atol=1e-9)
+    assert exact_quantiles(df.limit(0), {"even": F.col("even")}, at).count() == 0
+    nulls = {r.column_name: r.median for r in profile_numeric(df).collect()}
+    assert nulls["none"] is None and nulls["one"] == 4.0 and len(nulls) == 5
+    assert {r.column_name: r.rmse for r in quantile_rmse(df, df, ["even", "none"]).collect()} == {"even": 0.0, "none": 0.0}
+    assert {r.column_name: r.share for r in range_fidelity(df, df, ["one", "none"]).collect()} == {"one": 1.0, "none": None}
