@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lookalike.operators.models import all_nmi, discretize, quartile_edges
 from lookalike.operators.profile import category_frequencies, correlations, exact_quantiles, numeric_columns, to_long, unpivoted
-from lookalike.sources.io import running_sums
+from lookalike.sources.ranges import running_sums
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

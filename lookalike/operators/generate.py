@@ -119,7 +119,7 @@ def time_of_day(df: DataFrame, column: str, key: str, domain: str = "retail") ->
 
 def indexed(parent: DataFrame, key: str) -> DataFrame:
     """(_i, key): parent keys numbered from 0 in key order, without one task seeing all."""
-    from lookalike.sources.io import ranked
+    from lookalike.sources.ranges import ranked
 
     return ranked(parent.select(key).where(F.col(key).isNotNull()).distinct(), [key], "_r").select((F.col("_r") - 1).cast("long").alias("_i"), F.col(key).alias("_parent"))
 
@@ -331,7 +331,7 @@ def null_if(df: DataFrame, column: str, on: str, values: list) -> DataFrame:
 
 def impose_correlation(df: DataFrame, a: str, b: str, rho: float, key: str) -> DataFrame:
     """b dealt anew so that its ranks follow a's with about rho; both marginals stay (G-27)."""
-    from lookalike.sources.io import ranked
+    from lookalike.sources.ranges import ranked
 
     if not -1 < rho < 1:
         return df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.rng import SEED, pick, uniform
 from lookalike.operators.profile import RARE, unpivoted
-from lookalike.sources.io import running_sums
+from lookalike.sources.ranges import running_sums
 
 #: Masking kind by column name, the first match wins (F-01).
 KIND_NAMES = [("email", "(?i)e_?mail"), ("phone", "(?i)phone|mobile|fax"), ("first_name", "(?i)first_?name|given_?name"), ("last_name", "(?i)last_?name|surname|family_?name"), ("company", "(?i)company|employer|supplier|s_name"), ("city", "(?i)city|town"), ("street", "(?i)street|address"), ("full_name", "(?i)(^|_)(full_?|customer_?|c_)?name$"), ("identifier", "(?i)(^|_)(id|key|uuid)$|key$")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.functions.rng import uniform
-from lookalike.sources.io import running_sums
+from lookalike.sources.ranges import running_sums
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.rng import pick, uniform
 from lookalike.operators.generate import safe_expression
-from lookalike.sources.io import ranked
+from lookalike.sources.ranges import ranked
 
 
 def clip_range(df: DataFrame, c: str, lo=None, hi=None) -> DataFrame:

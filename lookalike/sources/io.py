@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookalike.functions.rng import SEED, uniform
+from lookalike.sources.ranges import ranked
 
 
 def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -71,33 +72,6 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Global row number by range partitions and their offsets: no task sees all rows.
-
-    Equal keys must not occur in ``order``, or ranks among them are arbitrary."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__line": F.monotonically_increasing_id()})
-    placed = parts.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy("__line")))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__row") + F.col("__before")).drop("__part", "__line", "__row", "__size", "__before")
-
-
-def running_sums(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
-    """Adds upto_<value>, the sum of the group's values up to this row in order, and all_<value>, the
-    group's total.  Groups are cut at ranges of ``order`` and get the sums of the ranges before, so
-    no task sees a whole group.  ``order`` is unique in a group."""
-    parts = df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id())
-    placed = parts.withColumns({f"__{v}": F.sum(v).over(Window.partitionBy("__part", *by).orderBy(order)) for v in values})
-    sizes = placed.groupBy("__part", *by).agg(*[F.sum(v).alias(v) for v in values])
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    keys = [F.col("__part").alias("__p"), *[F.col(c).alias(f"__by_{c}") for c in by]]
-    before = sizes.select(*keys, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__before_{v}") for v in values], *[F.sum(v).over(group).alias(f"all_{v}") for v in values])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("__part") == F.col("__p"))
-    joined = placed.join(F.broadcast(before), same)  # a row for each range of each group
-    return joined.select(*df.columns, *[(F.col(f"__{v}") + F.col(f"__before_{v}")).alias(f"upto_{v}") for v in values], *[f"all_{v}" for v in values])
-
-
 def holdout_split(df: DataFrame, fraction: float, key: list[str], seed: int = SEED) -> DataFrame:
     """Adds is_train: a seeded permutation cut at 1 - fraction, a row on both sides at least;
     under four rows all train (A-08)."""

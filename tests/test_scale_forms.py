@@ -24,7 +24,7 @@ def test_nearest_prunes_and_is_exact(spark, monkeypatch):
 
 
 def test_running_sums(spark):
-    from lookalike.sources.io import running_sums
+    from lookalike.sources.ranges import running_sums
 
     r = random.Random(1)
     data = [(g, float(v), r.randrange(9), 1) for g in ("a", "b", None) for v in r.sample(range(1000), 200)]
