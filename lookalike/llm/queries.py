@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lookalike.llm.chat import SQL as OP7_SQL
 from lookalike.llm.chat import op7_chat_format
+from lookalike.llm.collocations import SQL as OP13_SQL
+from lookalike.llm.collocations import op13_collocations
 from lookalike.llm.hamming_search import SQL as OP2_SQL
 from lookalike.llm.hamming_search import op2_hamming_topk
 from lookalike.llm.html_extract import op1_html_text
@@ -35,6 +37,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_url_filters": op11_url_filters,
     "op12_ranked_search": op12_ranked_search,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE = {"op2_hamming_topk": OP2_SQL, "op3_phrase_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_chat_format": OP7_SQL, "op10_suffix_dedup": OP10_SQL, "op11_url_filters": OP11_SQL, "op12_ranked_search": OP12_SQL}
+ORACLE = {"op2_hamming_topk": OP2_SQL, "op3_phrase_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_chat_format": OP7_SQL, "op10_suffix_dedup": OP10_SQL, "op11_url_filters": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_collocations": OP13_SQL}
