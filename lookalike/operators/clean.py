@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lookalike.operators.profile import parsed_time, profile_base, string_columns
+from lookalike.operators.profile import exact_quantiles, parsed_time, profile_base, string_columns
 
 
 def approved_columns(df: DataFrame, approved: list[str]) -> DataFrame:
@@ -40,17 +40,28 @@ def _scalar(df: DataFrame, c: Column):
     return df.agg(c.alias("v")).first()[0]
 
 
+def quantiles_of(df: DataFrame, c: Column, at: list[float]) -> list[float] | None:
+    """Exact quantiles of one column, by counts and ranges of values."""
+    row = exact_quantiles(df, {"c": c}, at).first()
+    return row.q if row else None
+
+
+def median_of(df: DataFrame, c: Column) -> float | None:
+    q = quantiles_of(df, c, [0.5])
+    return q[0] if q else None
+
+
 def clean_numeric(df: DataFrame, column: str, how: str = "median") -> DataFrame:
     """Text or numbers to double, what does not read and nulls to the median or mean (E-05).
 
     Adds <column>_failed: the value was there and did not read."""
     number = F.expr(f"try_cast(trim(cast(`{column}` as string)) as double)")
-    fill = _scalar(df, F.percentile(number, F.lit(0.5)) if how == "median" else F.avg(number))
+    fill = median_of(df, number) if how == "median" else _scalar(df, F.avg(number))
     return df.withColumn(f"{column}_failed", F.col(column).isNotNull() & number.isNull()).withColumn(column, F.coalesce(number, F.lit(fill)))
 
 
 def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> tuple[float | None, float | None]:
-    q = _scalar(df, F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75))))
+    q = quantiles_of(df, F.col(column), [0.25, 0.75])
     if not q:
         return None, None
     return q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.functions.rng import normal, uniform
-from lookalike.operators.profile import exact_quantiles, numeric_columns, suppress_rare
+from lookalike.operators.profile import exact_quantiles, group_quantiles, numeric_columns, suppress_rare
 
 NULL_BAND = "∅"
 
@@ -88,14 +88,12 @@ def conditional_categorical(df: DataFrame, child: str, parents: list[str], least
     return out.select("context", "value", F.round(F.col("n") / F.col("t"), 6).alias("probability"))
 
 
-def grid(column: Column, points: int = 21) -> Column:
-    return F.percentile(column.cast("double"), F.array(*[F.lit(i / (points - 1)) for i in range(points)]))
-
-
-def conditional_numeric(df: DataFrame, child: str, parents: list[str], least: int = 8) -> DataFrame:
+def conditional_numeric(df: DataFrame, child: str, parents: list[str], least: int = 8, points: int = 21) -> DataFrame:
     """Quantile grid per context (D-05): (context, n, grid)."""
     ctx = F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit(NULL_BAND)) for p in parents])
-    return df.where(F.col(child).isNotNull()).groupBy(ctx.alias("context")).agg(F.count("*").alias("n"), F.transform(grid(F.col(child)), lambda x: F.round(x, 6)).alias("grid")).where(F.col("n") >= least)
+    counted = df.where(F.col(child).isNotNull()).groupBy(ctx.alias("context"), F.col(child).cast("double").alias("v")).count()
+    found = group_quantiles(counted, ["context"], [i / (points - 1) for i in range(points)])
+    return found.where(F.col("n") >= least).select("context", "n", F.transform("q", lambda x: F.round(x, 6)).alias("grid"))
 
 
 def cross_table_conditionals(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, parent_cols: list[str], child_cols: list[str], least: float = 0.2, rows: int = 8) -> DataFrame:

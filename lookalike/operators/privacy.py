@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.functions.rng import SEED, pick, uniform
-from lookalike.operators.profile import RARE, unpivoted
+from lookalike.operators.profile import RARE, exact_quantiles, unpivoted
 from lookalike.sources.ranges import running_sums
 
 #: Masking kind by column name, the first match wins (F-01).
@@ -327,9 +327,10 @@ def dcr(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, key:
     """Share of synthetic rows closer to training rows than 1 % of holdout rows are, and the ratio
     of median distances (F-23)."""
     s, h = nearest(syn, train, vector, key), nearest(holdout, train, vector, key)
-    floor = h.agg(F.percentile("distance", F.lit(0.01)).alias("floor"), F.percentile("distance", F.lit(0.5)).alias("mh"))
-    j = s.crossJoin(F.broadcast(floor))  # one row of two numbers
-    return j.agg(F.round(F.avg((F.col("distance") < F.col("floor")).cast("double")), 6).alias("near_duplicate_share"), F.round(F.percentile("distance", F.lit(0.5)) / F.max("mh"), 4).alias("median_ratio"))
+    at = lambda d, p: exact_quantiles(d, {"d": F.col("distance")}, p).select(*[F.col("q")[i].alias(f"q{i}") for i in range(len(p))])
+    held = at(h, [0.01, 0.5]).select(F.col("q0").alias("floor"), F.col("q1").alias("mh"))
+    share = s.crossJoin(F.broadcast(held)).agg(F.round(F.avg((F.col("distance") < F.col("floor")).cast("double")), 6).alias("near_duplicate_share"), F.max("mh").alias("mh"))  # one row of two numbers
+    return share.crossJoin(F.broadcast(at(s, [0.5]))).select("near_duplicate_share", F.round(F.col("q0") / F.col("mh"), 4).alias("median_ratio"))
 
 
 def mia_auc(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lookalike.functions.rng import uniform
+from lookalike.sources.distinct import distinct_counts
 from lookalike.sources.ranges import running_sums
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -43,13 +44,12 @@ def physical_type(field: T.StructField) -> str:
     return "float" if isinstance(kind, T.NumericType) else "string"
 
 
-def _distinct(c: str, exact: bool) -> Column:
-    return F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(c, 0.01)
-
-
 def profile_base(df: DataFrame, exact: bool = True) -> DataFrame:
     """Rows, nulls, null percentage, distinct values and their ratio to all rows (B-01)."""
-    long = to_long(df, {c: {"row_count": F.count(F.lit(1)), "null_count": F.count_if(F.col(c).isNull()), "distinct_count": _distinct(c, exact)} for c in df.columns})
+    aggs = {c: {"row_count": F.count(F.lit(1)), "null_count": F.count_if(F.col(c).isNull())} | ({} if exact else {"distinct_count": F.approx_count_distinct(c, 0.01)}) for c in df.columns}
+    long = to_long(df, aggs)
+    if exact:
+        long = long.join(F.broadcast(distinct_counts(df)), "column_name")  # a row a column
     return long.withColumns({
         "null_percentage": F.coalesce(F.round(F.try_divide(F.col("null_count") * 100.0, "row_count"), 6), F.lit(0.0)),
         "distinct_ratio": F.coalesce(F.round(F.try_divide(F.col("distinct_count").cast("double"), "row_count"), 6), F.lit(0.0)),
@@ -66,22 +66,28 @@ def physical_types(df: DataFrame) -> DataFrame:
     return to_long(df, aggs)
 
 
-def exact_quantiles(df: DataFrame, values: dict[str, Column], at: list[float]) -> DataFrame:
-    """(column_name, q): exact quantiles of doubles, linear between neighbours; none without values.
+def group_quantiles(counted: DataFrame, by: list[str], at: list[float]) -> DataFrame:
+    """(by, n, q): exact quantiles of each group's doubles ``v``, each there ``count`` times, linear
+    between neighbours.
 
-    Values are counted, the counts added up over ranges of values, and only the rows that hold a
-    wanted place go on: no task keeps the distinct values of a column."""
+    Counts are added up over ranges of (group, value), so many small groups share a task and a large
+    one is cut; only the rows that hold a wanted place go on."""
+    placed = running_sums(counted, by, "v", ["count"])
+    place = lambda i: F.get(F.lit([float(p) for p in at]), i) * (F.col("all_count") - 1)
+    held = lambda k: (k < F.col("upto_count")) & (k >= F.col("upto_count") - F.col("count"))
+    numbers = F.array(*[F.lit(i) for i in range(len(at))])
+    here = F.filter(numbers, lambda i: held(F.floor(place(i))) | held(F.ceil(place(i))))
+    found = placed.where(F.size(here) > 0).select(*by, "v", "count", "upto_count", "all_count", F.explode(here).alias("i")).withColumn("at", place(F.col("i")))
+    ends = found.groupBy(*by, "i", "at", "all_count").agg(F.max(F.when(held(F.floor("at")), F.col("v"))).alias("lo"), F.max(F.when(held(F.ceil("at")), F.col("v"))).alias("hi"))
+    between = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+    return ends.groupBy(*by).agg(F.max("all_count").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", between.alias("x")))), lambda r: r.x).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, values: dict[str, Column], at: list[float]) -> DataFrame:
+    """(column_name, q): exact quantiles of doubles; none without values."""
     pairs = F.array(*[F.struct(F.lit(n).alias("column_name"), v.cast("double").alias("v")) for n, v in values.items()])
     counted = df.select(F.explode(pairs).alias("p")).select("p.*").where("v is not null").groupBy("column_name", "v").count()
-    placed = running_sums(counted, ["column_name"], "v", ["count"])
-    place = lambda p: F.lit(float(p)) * (F.sum("count") - 1)
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), place(p).alias("at"), (F.ceil(place(p)) if up else F.floor(place(p))).alias("k")) for i, p in enumerate(at) for up in (False, True)])
-    wanted = counted.groupBy("column_name").agg(wanted.alias("w")).select("column_name", F.explode("w").alias("w"))
-    here = (F.col("w.k") < F.col("upto_count")) & (F.col("w.k") >= F.col("upto_count") - F.col("count"))
-    held = placed.join(F.broadcast(wanted.withColumnRenamed("column_name", "_of")), (F.col("column_name") == F.col("_of")) & here)
-    found = held.groupBy("column_name", F.col("w.i").alias("i"), F.col("w.at").alias("at")).agg(F.max(F.when(~F.col("w.up"), F.col("v"))).alias("lo"), F.max(F.when(F.col("w.up"), F.col("v"))).alias("hi"))
-    between = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
-    return found.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", between.alias("x")))), lambda r: r.x).alias("q"))
+    return group_quantiles(counted, ["column_name"], at).select("column_name", "q")
 
 
 def quantiles(df: DataFrame, values: dict[str, Column], at: list[float], exact: bool = True) -> DataFrame:
@@ -275,7 +281,8 @@ def infer_decimals(df: DataFrame, columns: list[str], key: list[str], n: int = 1
 
     s = seeded_sample(df, key, n)
     digits = lambda c: F.char_length(F.regexp_replace(F.split_part(F.format_string("%.6f", F.col(c).cast("double")), F.lit("."), F.lit(2)), "0+$", ""))
-    return to_long(s, {c: {"decimals": F.percentile(digits(c), F.lit(0.5)).cast("int")} for c in columns})
+    found = exact_quantiles(s, {c: digits(c) for c in columns}, [0.5])
+    return to_long(s, {c: {"n": F.count(F.lit(1))} for c in columns}).join(found, "column_name", "left").select("column_name", F.col("q")[0].cast("int").alias("decimals"))
 
 
 def fit_categorical(df: DataFrame, columns: list[str], most: int = 50) -> DataFrame:
@@ -289,7 +296,9 @@ def fit_categorical(df: DataFrame, columns: list[str], most: int = 50) -> DataFr
 def fit_date(df: DataFrame) -> DataFrame:
     """First, last and median time of time columns, as epoch seconds (B-20)."""
     second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
-    return to_long(df, {c: {"first": F.min(second(c)), "last": F.max(second(c)), "median": F.percentile(second(c), F.lit(0.5))} for c in time_columns(df)})
+    ends = to_long(df, {c: {"first": F.min(second(c)), "last": F.max(second(c))} for c in time_columns(df)})
+    middle = exact_quantiles(df, {c: second(c) for c in time_columns(df)}, [0.5])
+    return ends.join(F.broadcast(middle), "column_name", "left").select("column_name", "first", "last", F.col("q")[0].alias("median"))  # a row a column
 
 
 def column_kind(df: DataFrame) -> DataFrame:

@@ -181,6 +181,10 @@ class PercentRule:
     def target(self, n: int) -> int:
         return int(self.percent * n / 100 + 0.5)
 
+    def alternate(self, key: str) -> Column:
+        """A value for rows that the rule is not to hold for."""
+        return pick(list(self.alternates), uniform(f"rule:alt:{self.column}", key)) if self.alternates else F.lit(None)
+
     def meet(self) -> Column:
         """A value for which the rule holds."""
         return F.lit({">": lambda v: v + 1, "<": lambda v: v - 1}.get(self.op, lambda v: v)(self.value)) if self.op != "<>" else F.lit(self.alternates[0])
@@ -196,9 +200,8 @@ def apply_percent_rule(df: DataFrame, rule: PercentRule, key: str, exact: bool =
     want = rule.target(n) if exact else max(have, rule.target(n))
     r = ranked(j.where("_in").select(F.col(key).alias("_k"), (~F.col("_ok")).cast("int").alias("_late"), "_u"), ["_late", "_u", "_k"], "_rank").select("_k", "_rank")
     j = j.join(r, j[key] == F.col("_k"), "left")
-    other = pick(list(rule.alternates), uniform(f"rule:alt:{rule.column}", key)) if rule.alternates else F.lit(None)
     hit = F.col("_rank") <= want
-    new = F.when(~F.col("_in"), F.col(rule.column)).when(hit & ~F.col("_ok"), rule.meet()).when(~hit & F.col("_ok"), other).otherwise(F.col(rule.column))
+    new = F.when(~F.col("_in"), F.col(rule.column)).when(hit & ~F.col("_ok"), rule.meet()).when(~hit & F.col("_ok"), rule.alternate(key)).otherwise(F.col(rule.column))
     return j.withColumn(rule.column, new).select(*df.columns)
 
 

@@ -247,6 +247,21 @@ def j05(s, d):
     return J.apply_rule_chunks(t(s, d, "events"), F.weekofyear("ts"), _RULE, "event_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("hits"))
 
 
+_DAYS = "select date_trunc('hour', ts) as chunk, count(*) as n, sum(count(*)) over (order by date_trunc('hour', ts)) as upto from events group by 1"
+
+
+@query("j05_rule_targets", f"select chunk, n, floor(30.0::double * upto / 100 + 0.5)::bigint - floor(30.0::double * (upto - n) / 100 + 0.5)::bigint as want from ({_DAYS})")
+def j05_targets(s, d):
+    return J.rule_targets(t(s, d, "events"), F.date_trunc("hour", "ts").cast("timestamp_ntz"), 30.0)
+
+
+@query("j05_rows_of_chunks", f"select chunk, n, floor(30.0::double * upto / 100 + 0.5)::bigint - floor(30.0::double * (upto - n) / 100 + 0.5)::bigint as hits from ({_DAYS})")
+def j05_rows(s, d):
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    done = J.apply_rule_chunks(t(s, d, "events"), hour, _RULE, "event_id")
+    return done.groupBy(hour.alias("chunk")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("hits"))
+
+
 @query("j06_aggregate_evidence", "with e as (select count(*) filter (where event_type = 'click') as h, count(*) as n from events) select 'event_type = click' as rule, 30.0::double as target, round(h * 100.0::double / n, 4) as actual, h = floor(n * 30.0::double / 100 + 0.5) or abs(round(h * 100.0::double / n, 4) - 30) <= 0.25 as passed from e")
 def j06(s, d):
     return J.aggregate_evidence(J.chunk_evidence(t(s, d, "events"), F.to_date("ts"), [_RULE]), [_RULE])

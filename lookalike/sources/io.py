@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookalike.functions.rng import SEED, uniform
+from lookalike.sources.distinct import distinct_counts
 from lookalike.sources.ranges import ranked
 
 
@@ -30,9 +31,10 @@ def discover(tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = N
     """(table_name, position, column_name, data_type, nullable, candidate_key, declared_key) (A-02)."""
     parts = []
     for t, df in tables.items():
-        n = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.col(c)).alias(c) for c in df.columns])
-        rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), (F.col("n") == F.col(f.name)).alias("candidate_key"), F.lit(f.name in (keys or {}).get(t, ())).alias("declared_key")) for i, f in enumerate(df.schema)])
-        parts.append(n.select(F.lit(t).alias("table_name"), F.explode(rows).alias("r")).select("table_name", "r.*"))
+        about = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.lit(f.name in (keys or {}).get(t, ())).alias("declared_key")) for i, f in enumerate(df.schema)]
+        named = df.agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(F.array(*about)).alias("r")).select("n", "r.*")
+        key = F.col("n") == F.col("distinct_count")
+        parts.append(named.join(F.broadcast(distinct_counts(df)), "column_name").select(F.lit(t).alias("table_name"), "position", "column_name", "data_type", key.alias("candidate_key"), "declared_key"))  # a row a column
     return reduce(DataFrame.unionByName, parts)
 
 

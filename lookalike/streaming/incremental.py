@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lookalike.functions.rng import SEED, uniform
 from lookalike.operators import profile as P
 from lookalike.operators.generate import assign_fk
-from lookalike.operators.repair import PercentRule, apply_percent_rule, chunk_target
+from lookalike.operators.repair import PercentRule
 from lookalike.sources.io import shared_dir
+from lookalike.sources.ranges import ranked_in, running_sums
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -101,21 +102,27 @@ def reservoir_stream(sdf: DataFrame, n: int, key: list[str], columns: list[str],
     return _kept(sdf, "reservoir", part).orderBy("priority", *key).limit(n)
 
 
+def rule_targets(df: DataFrame, chunk: Column, percent: float) -> DataFrame:
+    """(chunk, n, want): rows of each chunk that a rule is to hold for, as differences of rounded
+    running targets, so that all chunks together are exact (J-05)."""
+    sizes = df.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    upto = lambda n: F.floor(F.lit(float(percent)) * n / 100 + 0.5).cast("long")
+    return running_sums(sizes, [], "chunk", ["n"]).select("chunk", "n", (upto(F.col("upto_n")) - upto(F.col("upto_n") - F.col("n"))).alias("want"))
+
+
 def apply_rule_chunks(df: DataFrame, chunk: Column, rule: PercentRule, key: str) -> DataFrame:
-    """A percent rule that is exact over all chunks: each chunk's target is the difference of rounded
-    running targets (J-05).  Chunks are few (days, batches), their rows may be many."""
-    d = df.withColumn("_chunk", chunk)
-    sizes = d.groupBy("_chunk").count().orderBy("_chunk").collect()
-    total, at, out = sum(r["count"] for r in sizes), 0, None
-    want = {}
-    for r in sizes:
-        want[r["_chunk"]] = chunk_target(rule.percent, total, at, at + r["count"])
-        at += r["count"]
-    for r in sizes:
-        exact = PercentRule(rule.column, rule.op, rule.value, 100.0 * want[r["_chunk"]] / r["count"], rule.alternates)
-        part = apply_percent_rule(d.where(F.col("_chunk") == r["_chunk"]), exact, key)
-        out = part if out is None else out.unionByName(part)
-    return d.drop("_chunk") if out is None else out.drop("_chunk")
+    """A percent rule that is exact over all chunks (J-05).
+
+    One pass whatever the number of chunks: rows are ranked within all chunks at once, those that
+    hold already first, and compared with a table of the chunks' targets."""
+    rule.check(df, (key,))
+    kept = df.withColumns({"_chunk": chunk, "_late": (~rule.holds()).cast("int"), "_u": uniform(f"rule:{rule.column}", key)})
+    placed = ranked_in(kept, ["_chunk"], ["_late", "_u", key], "_rank")
+    goals = rule_targets(df, chunk, rule.percent).select(F.col("chunk").alias("_of"), "want")
+    j = placed.join(goals, F.col("_chunk").eqNullSafe(F.col("_of")))
+    hit, late = F.col("_rank") <= F.col("want"), F.col("_late") == 1
+    new = F.when(hit & late, rule.meet()).when(~hit & ~late, rule.alternate(key)).otherwise(F.col(rule.column))
+    return j.withColumn(rule.column, new).select(*df.columns)
 
 
 def chunk_evidence(df: DataFrame, chunk: Column, rules: list[PercentRule]) -> DataFrame:
