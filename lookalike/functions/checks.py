@@ -53,22 +53,28 @@ def iban_digits(c: Column) -> Column:
     return F.array_join(F.transform(F.split(moved, ""), lambda x: F.when(x.rlike("^[A-Z]$"), (F.ascii(x) - 55).cast("string")).otherwise(x)), "")
 
 
-# Shapes of typed identifiers.
+# Shapes of typed identifiers; of some only the digits count, however they are set.
 SHAPES = {
     "credit_card": "^[0-9]{13,19}$",
     "routing_number": "^[0-9]{9}$",
     "aadhaar": "^[2-9][0-9]{11}$",
-    "ssn": "^(00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])-(0[1-9]|[1-9][0-9])-([0-9]{3}[1-9]|[0-9]{2}[1-9]0|[0-9][1-9]00|[1-9]000)$",
+    "ssn": "^(00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])(0[1-9]|[1-9][0-9])([0-9]{3}[1-9]|[0-9]{2}[1-9]0|[0-9][1-9]00|[1-9]000)$",
     "ifsc_code": "^[A-Z]{4}0[A-Z0-9]{6}$",
     "swift_bic": "^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$",
-    "iban": "^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$",
-    "account_number": "^[0-9]{8,17}$",
+    "iban": "^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$",
+    "account_number": "^[0-9]{6,18}$",
 }
+DIGITS_ONLY = ("ssn", "account_number")
+
+
+def shaped(c: Column, kind: str) -> Column:
+    """Whether a value has the shape of its kind."""
+    return (F.regexp_replace(c, "[^0-9]", "") if kind in DIGITS_ONLY else c).rlike(SHAPES[kind])
 
 
 def valid(c: Column, kind: str) -> Column:
     """Whether a value has the shape and check digits of its kind; null for null."""
-    shape = c.rlike(SHAPES[kind])
+    shape = shaped(c, kind)
     extra = {
         "credit_card": F.call_function("luhn_check", c),
         "routing_number": aba_sum(c) % 10 == 0,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ class Pii:
     kind: str
     pattern: str
     confidence: float
-    checked: str | None = None  # identifier kind whose check digits raise the confidence
+    checked: str | None = None  # check digits that raise the confidence
+    gated: bool = False  # what fails the check is no finding
 
 
 #: A number from 0 to 255.
@@ -23,57 +25,83 @@ PII = (
     Pii("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+", 0.98),
     Pii("URL", r"https?://[^\s<>\"']+", 0.95),
     Pii("SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.95),
-    Pii("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b", 0.7, "iban"),
+    Pii("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.7, "iban"),
     Pii("CARD", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.6, "credit_card"),
     Pii("IP", rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\b", 0.9),
-    Pii("PHONE", r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-]?[0-9]{4}", 0.8),
-    Pii("ROUTING", r"\b[0-9]{9}\b", 0.4, "routing_number"),
-    Pii("STREET", r"\b[0-9]{1,5} [A-Za-z]+ (?i:street|st|avenue|ave|road|rd|lane|ln|boulevard|blvd|drive|dr|court|ct|place|pl|square|sq|terrace|way|parkway|highway)\b", 0.7),
+    Pii("PHONE", r"(?:(?:\+[0-9]{1,2}|\b1)[ .-]?\(?[0-9]{3}\)?|\([0-9]{3}\)|\b[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}\b", 0.8),
+    Pii("STREET", r"\b[0-9]{1,6} +[A-Za-z]+(?: +[A-Za-z]+){0,3} +(?i:street|st|avenue|ave|road|rd|lane|ln|boulevard|blvd|drive|dr|court|ct|circle|cir|place|pl|square|sq|terrace|ter|way|parkway|highway|hwy)\b", 0.7),
+    Pii("ROUTING", r"\b[0-9]{9}\b", 0.4, "routing_number", gated=True),
 )
 MARK = "␟"
 
 
-def _spans():
-    """A function from a text to its findings (kind, start, string), kinds in order of priority: a
-    kind's findings are blanked to their length before the next kind is looked for."""
+def _luhn(said: str) -> bool:
+    digits = [int(x) for x in said if x.isdigit()][::-1]
+    return sum(digits[::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2]) in range(0, 10 * len(digits), 10)
+
+
+def _mod97(said: str) -> bool:
+    return int("".join(str(int(x, 36)) for x in said[4:] + said[:4])) % 97 == 1
+
+
+def _aba(said: str) -> bool:
+    return sum(int(x) * (3, 7, 1)[i % 3] for i, x in enumerate(said)) % 10 == 0
+
+
+_CHECKS = {"credit_card": _luhn, "iban": _mod97, "routing_number": _aba}
+
+
+def spliced(body: str, parts: list[tuple[int, str, str]]) -> str:
+    """The text with each (start, string) of rising, disjoint parts replaced by the third entry."""
+    if not parts:
+        return body
+    out, upto = [], 0
+    for at, hit, new in parts:
+        out += [body[upto:at], new]
+        upto = at + len(hit)
+    return "".join([*out, body[upto:]])
+
+
+def resolver():
+    """A function from a text to its findings (start, string, kind, passed), of which no two overlap.
+
+    Kinds are looked for in order of priority; a finding is blanked to its length before the next
+    kind.  ``passed`` says whether the check digits are right (null for kinds without); a gated kind
+    is only found if they are.  Counts, policies and redaction are all cut from these findings."""
     import re
 
-    kinds = [(p.kind, re.compile(p.pattern)) for p in PII]
+    kinds = [(p, re.compile(p.pattern)) for p in PII]
 
-    def find(body: str):
-        for kind, pattern in kinds:
-            hits = [(m.start(), m[0]) for m in pattern.finditer(body)]
-            if hits:
-                yield from ((kind, at, hit) for at, hit in hits)
-                body = pattern.sub(lambda m: MARK * len(m[0]), body)
+    def find(body: str) -> list[tuple[int, str, str, bool | None]]:
+        out = []
+        for p, pattern in kinds:
+            hits = [(m.start(), m[0], p.kind, _CHECKS[p.checked](m[0]) if p.checked else None) for m in pattern.finditer(body)]
+            hits = [h for h in hits if not p.gated or h[3]]
+            out += hits
+            body = spliced(body, [(at, hit, MARK * len(hit)) for at, hit, _, _ in hits])
+        return out
 
     return find
 
 
 def detect_pii(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, kind, start, end, confidence, preview) of each finding (I-01).
+    """(key, kind, start, end, confidence, passed, preview) of each finding (I-01).
 
-    Spans are resolved in Arrow batches; check digits are column expressions again."""
+    Spans are resolved in Arrow batches; confidences are column expressions again."""
     import pyarrow as pa
 
-    from lookalike.functions.checks import valid
-
-    find = _spans()
+    find = resolver()
 
     def run(batches):
         for batch in batches:
             found = [(i, *f) for i, body in enumerate(batch.column(1).to_pylist()) for f in find(body or "")]
-            at, names, starts, hits = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(hits, pa.string())], [key, "kind", "start", "hit"])
-
-    hits = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("body")).mapInArrow(run, f"`{key}` long, kind string, start int, hit string")
-    tight = F.regexp_replace("hit", "[ -]", "")
-    sure = F.lit(0.0)
-    for p in PII:
-        base = F.lit(p.confidence) if p.checked is None else F.when(F.coalesce(valid(tight, p.checked), F.lit(False)), 0.99).otherwise(p.confidence)
-        sure = F.when(F.col("kind") == p.kind, base).otherwise(sure)
+            at, starts, hits, names, passed = zip(*found, strict=True) if found else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(hits, pa.string()), pa.array(passed, pa.bool_())], [key, "kind", "start", "hit", "passed"])
+
+    hits = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("body")).mapInArrow(run, f"`{key}` long, kind string, start int, hit string, passed boolean")
+    base = F.coalesce(*[F.when(F.col("kind") == p.kind, F.lit(p.confidence)) for p in PII])
     preview = F.concat(F.substring("hit", 1, 1), F.lit("***"), F.right("hit", F.lit(1)))
-    return hits.select(key, "kind", "start", (F.col("start") + F.char_length("hit")).alias("end"), sure.alias("confidence"), preview.alias("preview"))
+    return hits.select(key, "kind", "start", (F.col("start") + F.char_length("hit")).alias("end"), F.when(F.col("passed"), 0.99).otherwise(base).alias("confidence"), "passed", preview.alias("preview"))
 
 
 def pii_counts(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -82,11 +110,11 @@ def pii_counts(df: DataFrame, text: str, key: str) -> DataFrame:
 
     import pyarrow as pa
 
-    find, names = _spans(), [p.kind for p in PII]
+    find, names = resolver(), [p.kind for p in PII]
 
     def run(batches):
         for batch in batches:
-            n = [Counter(k for k, _, _ in find(body or "")) for body in batch.column(1).to_pylist()]
+            n = [Counter(k for _, _, k, _ in find(body or "")) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([c[k] for c in n], pa.int32()) for k in names]], [key, *[k.lower() for k in names]])
 
     schema = ", ".join([f"`{key}` long", *[f"{k.lower()} int" for k in names]])
@@ -110,12 +138,29 @@ def pii_policy(findings: DataFrame) -> DataFrame:
     return findings.withColumn("action", F.when(F.col("confidence") >= limit, "redact").otherwise("flag"))
 
 
+#: What follows these words is personal although it has no shape of its own: kind, pattern with the words as group 1.
+SAID = (("CARD", r"(?i)(ending in|last four|last 4)((?: digits)?:? )[0-9]{4}"), ("NAME", r"(?i)(my name is)( )[A-Za-z][A-Za-z'-]*(?: [A-Z][A-Za-z'-]*)?"))
+
+
 def redact(c: Column) -> Column:
-    """Findings become [REDACTED_KIND]; card endings and "my name is X" too (I-04)."""
-    for p in PII:
-        c = F.regexp_replace(c, p.pattern, f"[REDACTED_{p.kind}]")
-    c = F.regexp_replace(c, r"(?i)(ending in|last four|last 4)( digits)?:? [0-9]{4}", "$1 [REDACTED_CARD]")
-    return F.regexp_replace(c, r"(?i)(my name is) [A-Za-z][A-Za-z'-]*( [A-Z][A-Za-z'-]*)?", "$1 [REDACTED_NAME]")
+    """The findings of I-01 become [REDACTED_KIND]; card endings and "my name is X" too (I-04)."""
+    import re
+
+    find, said = resolver(), [(f"\\1 [REDACTED_{k}]", re.compile(p)) for k, p in SAID]
+
+    def one(body: str | None) -> str | None:
+        if body is None:
+            return None
+        body = spliced(body, [(at, hit, f"[REDACTED_{kind}]") for at, hit, kind, _ in sorted(find(body))])
+        for new, pattern in said:
+            body = pattern.sub(new, body)
+        return body
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(c.cast("string"))
 
 
 ENTITIES = {

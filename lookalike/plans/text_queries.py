@@ -15,12 +15,17 @@ from lookalike.plans.util import t, union_all
 from lookalike.streaming import incremental as J
 
 
+def _aba_sql(x: str) -> str:
+    return "(" + " + ".join(f"{(3, 7, 1)[i % 3]} * substr({x}, {i + 1}, 1)::int" for i in range(9)) + ") % 10 = 0"
+
+
 def _counts_sql(text: str) -> tuple[str, list[str]]:
-    """Nested replacements, kind by kind, as the operator does."""
+    """Nested replacements, kind by kind, as the operator does; the gated kind is the last."""
     cols, now = [], text
     for p in X.PII:
         pat = p.pattern.replace("'", "''")
-        cols.append(f"len(regexp_extract_all({now}, '{pat}'))")
+        found = f"regexp_extract_all({now}, '{pat}')"
+        cols.append(f"len(list_filter({found}, lambda x: {_aba_sql('x')}))" if p.gated else f"len({found})")
         now = f"regexp_replace({now}, '{pat}', '{X.MARK}', 'g')"
     return now, cols
 
@@ -55,17 +60,22 @@ def i03(s, d):
 
 def _redact_sql(c: str) -> str:
     for p in X.PII:
-        c = f"regexp_replace({c}, '{p.pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED_{p.kind}]', 'g')"
+        pat = p.pattern.replace("'", "''")
+        if p.gated:
+            parts, hits = f"string_split_regex({c}, '{pat}')", f"regexp_extract_all({c}, '{pat}')"
+            c = f"array_to_string(list_transform(list_zip({parts}, {hits}), lambda z: z[1] || coalesce(case when {_aba_sql('z[2]')} then '[REDACTED_{p.kind}]' else z[2] end, '')), '')"
+        else:
+            c = f"regexp_replace({c}, '{pat}', '[REDACTED_{p.kind}]', 'g')"
     c = f"regexp_replace({c}, '(?i)(ending in|last four|last 4)( digits)?:? [0-9]{{4}}', '\\1 [REDACTED_CARD]', 'g')"
     return f"regexp_replace({c}, '(?i)(my name is) [A-Za-z][A-Za-z''-]*( [A-Z][A-Za-z''-]*)?', '\\1 [REDACTED_NAME]', 'g')"
 
 
-_SAID = "(select conv_id, turn, case when turn = 0 then 'my name is Ada Lovelace, mail a.b@c.org, card ending in 4242. ' else '' end || text as text from conversations)"
+_SAID = "(select conv_id, turn, case when turn = 0 then 'my name is Ada Lovelace, mail a.b@c.org, card ending in 4242, routing 021000021, order 123456789, call (555) 123-4567. ' else '' end || text as text from conversations)"
 
 
 @query("i04_redact", f"select conv_id, turn, md5({_redact_sql('text')}) as digest from {_SAID}")
 def i04(s, d):
-    c = t(s, d, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") == 0, "my name is Ada Lovelace, mail a.b@c.org, card ending in 4242. ").otherwise(""), "text").alias("text"))
+    c = t(s, d, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") == 0, "my name is Ada Lovelace, mail a.b@c.org, card ending in 4242, routing 021000021, order 123456789, call (555) 123-4567. ").otherwise(""), "text").alias("text"))
     return c.select("conv_id", "turn", F.md5(X.redact(F.col("text"))).alias("digest"))
 
 
