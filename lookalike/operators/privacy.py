@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lookalike.functions.noise import Bits, discrete_gaussian, geometric_noise
 from lookalike.functions.rng import SEED, pick, uniform
 from lookalike.operators.profile import RARE, exact_quantiles, unpivoted
 from lookalike.sources.ranges import running_sums
@@ -141,52 +143,59 @@ def verify_source_free(profile: DataFrame, raw: DataFrame, columns: list[str]) -
     return profile.where(F.col("column_name").isin(columns)).join(unpivoted(raw, columns).distinct(), ["column_name", "value"], "left_semi").select("column_name", "value")
 
 
-def laplace(u: Column, scale: float) -> Column:
-    """Inverse distribution function of Laplace noise."""
-    p = F.least(F.greatest(u, F.lit(1e-12)), F.lit(1 - 1e-12)) - 0.5
-    return -scale * F.signum(p) * F.log(1 - 2 * F.abs(p))
-
-
-def dp_histogram(df: DataFrame, column: str, epsilon: float, threshold: float = 0.0, domain: list[str] | None = None, *, secret: int) -> DataFrame:
-    """Noisy counts per value of a public domain; small ones are left out (F-13).
+def dp_histogram(df: DataFrame, column: str, epsilon: float, threshold: int = 0, domain: list[str] | None = None, *, secret: int) -> DataFrame:
+    """Counts per value of a public domain with discrete Laplace noise; small ones are left out (F-13).
 
     secret: the seed of the noise, new for each release and told to nobody; who knows it can take
-    the noise off again.  A fixed one is for tests."""
+    the noise off again.  A fixed one is for tests.  ``functions.noise.release`` books the spend."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
     if domain is not None:
         public = df.sparkSession.createDataFrame([(v,) for v in domain], "value string")
         counts = public.join(counts, "value", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    noisy = F.round(F.col("n") + laplace(uniform(f"dp:{column}", "value", seed=secret), 1 / epsilon), 6)
+    noisy = F.col("n") + geometric_noise(f"dp:{column}", "value", scale=1 / epsilon, secret=secret)
     return counts.select("value", noisy.alias("noisy")).where(F.col("noisy") >= threshold)
 
 
+#: Units that the width of a column's public bounds is cut in.
+UNITS = 1 << 20
+
+
 def dp_mean_var(df: DataFrame, column: str, lower: float, upper: float, epsilon: float, *, secret: int) -> DataFrame:
-    """Mean and variance with values clipped to public bounds, half the budget each (F-14); secret as
-    in dp_histogram."""
+    """Mean and variance with values clipped to public bounds, half the budget each (F-14).
+
+    Values become whole units of the bounds' width; the sums of units and of their squares are
+    integers and get integer noise.  The number of rows counts as public; secret as in dp_histogram."""
+    unit = (upper - lower) / UNITS
     c = F.least(F.greatest(F.col(column), F.lit(lower)), F.lit(upper))
-    s = df.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v"))
-    width = upper - lower
-    mean = F.col("m") + laplace(uniform(f"dp:{column}", F.lit("mean"), seed=secret), 1.0) * (width / (epsilon / 2)) / F.col("n")
-    var = F.col("v") + laplace(uniform(f"dp:{column}", F.lit("var"), seed=secret), 1.0) * (width**2 / (epsilon / 2)) / F.col("n")
-    return s.select(F.round(mean, 6).alias("dp_mean"), F.round(F.greatest(var, F.lit(0.0)), 4).alias("dp_variance"))
+    whole = F.floor((c - F.lit(lower)) / F.lit(unit) + 0.5).cast("decimal(20,0)")
+    s = df.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.sum(whole).alias("s"), F.sum(whole * whole).alias("q"))
+    noise = lambda name, width: geometric_noise(f"dp:{column}", F.lit(name), scale=2 * width / epsilon, secret=secret)
+    mean = (F.col("s") + noise("mean", UNITS)).cast("double") / F.col("n")
+    square = (F.col("q") + noise("var", UNITS * UNITS)).cast("double") / F.col("n")
+    return s.select(F.round(F.lit(lower) + mean * unit, 6).alias("dp_mean"), F.round(F.greatest(square - mean * mean, F.lit(0.0)) * (unit * unit), 4).alias("dp_variance"))
 
 
 def dp_correlation(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]], epsilon: float, delta: float = 1e-6, *, secret: int) -> list[list[float]]:
     """Noised second moment of rows clipped to norm 3, made a correlation matrix (F-15).
 
-    Standardised by public bounds, not by the data.  The driver holds k x k numbers; secret
-    as in dp_histogram."""
+    Standardised by public bounds, not by the data.  Rows are rounded to whole units, so moments are
+    integers; the driver holds k x k of them and adds exact discrete Gaussian draws; secret as in
+    dp_histogram."""
     import numpy as np
 
-    k, clip = len(columns), 3.0
+    k, clip, one = len(columns), 3.0, 1 << 24
     z = [(F.col(c) - (bounds[c][0] + bounds[c][1]) / 2) / ((bounds[c][1] - bounds[c][0]) / math.sqrt(12)) for c in columns]
     norm = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
-    scale = F.least(F.lit(1.0), clip / F.greatest(norm, F.lit(1e-9)))
-    sums = df.dropna(subset=columns).agg(F.count("*").alias("n"), *[F.sum(z[i] * z[j] * scale * scale).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
-    sigma = clip**2 * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
-    noise = np.random.default_rng(secret).normal(0, sigma, (k, k))
-    m = np.array([[(sums[f"s{max(i, j)}_{min(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]) + np.tril(noise) + np.tril(noise, -1).T
-    w, v = np.linalg.eigh(m / max(1, sums["n"]))
+    whole = df.dropna(subset=columns).select(*[F.floor(x * F.least(F.lit(1.0), clip / F.greatest(norm, F.lit(1e-9))) * one + 0.5).cast("decimal(10,0)").alias(f"z{i}") for i, x in enumerate(z)])
+    sums = whole.agg(F.count("*").alias("n"), *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
+    reach = clip + math.sqrt(k) / one  # rounding may carry a row's norm so far
+    variance = Fraction(reach**2 * one * one * math.sqrt(2 * math.log(1.25 / delta)) / epsilon) ** 2
+    m = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i + 1):
+            noisy = int(sums[f"s{i}_{j}"] or 0) + discrete_gaussian(Bits(secret, f"dp:moment:{i}:{j}"), variance)
+            m[i, j] = m[j, i] = noisy / (one * one) / max(1, sums["n"])
+    w, v = np.linalg.eigh(m)
     m = v @ np.diag(np.maximum(w, 1e-6)) @ v.T
     d = np.sqrt(np.diag(m))
     return np.clip(m / np.outer(d, d), -1, 1).tolist()
@@ -202,7 +211,7 @@ def fit_dp_copula(df: DataFrame, columns: list[str], bounds: dict[str, tuple[flo
     for c in columns:
         lo, hi = bounds[c]
         slot = F.least(F.greatest(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("string")
-        h = {r.value: max(r.noisy, 0.0) for r in dp_histogram(df.withColumn("_s", F.coalesce(slot, F.lit("null"))), "_s", epsilon / 2 / len(columns), domain=[*map(str, range(bins)), "null"], threshold=-1e18, secret=f"{secret}:{c}").collect()}
+        h = {r.value: max(r.noisy, 0.0) for r in dp_histogram(df.withColumn("_s", F.coalesce(slot, F.lit("null"))), "_s", epsilon / 2 / len(columns), domain=[*map(str, range(bins)), "null"], threshold=-(1 << 62), secret=f"{secret}:{c}").collect()}
         w = np.array([h[str(i)] for i in range(bins)]) + 1e-9
         nulls[c] = h["null"] / (h["null"] + w.sum())
         grids[c] = np.interp(np.linspace(0, 1, 21), np.concatenate([[0], np.cumsum(w) / w.sum()]), np.linspace(lo, hi, bins + 1)).tolist()

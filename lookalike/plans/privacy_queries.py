@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from lookalike.functions.noise import geometric_noise_sql
 from lookalike.functions.rng import SEED, pick_sql, uniform, uniform_sql
 from lookalike.operators import models as M
 from lookalike.operators import privacy as V
@@ -107,20 +108,18 @@ def f12(s, d):
     return V.verify_source_free(done, p, ["p_brand", "p_type"])
 
 
-def _lap(u: str, scale) -> str:
-    p = f"(least(greatest({u}, 1e-12), 1 - 1e-12) - 0.5)"
-    return f"(-{scale} * sign({p}) * ln(1 - 2 * abs({p})))"
+_HN = geometric_noise_sql("dp:l_returnflag", "value", 2.0, SEED)
 
 
-@query("f13_dp_histogram", f"select value, round(n + {_lap(uniform_sql('dp:l_returnflag', 'value'), 2.0)}, 6) as noisy from (select l_returnflag as value, count(*) as n from lineitem group by 1 union all select 'Z', 0) where n + {_lap(uniform_sql('dp:l_returnflag', 'value'), 2.0)} >= 5")
+@query("f13_dp_histogram", f"select value, n + {_HN} as noisy from (select l_returnflag as value, count(*) as n from lineitem group by 1 union all select 'Z', 0) where n + {_HN} >= 5")
 def f13(s, d):
     return V.dp_histogram(t(s, d, "lineitem"), "l_returnflag", 0.5, 5, domain=["A", "N", "R", "Z"], secret=SEED)
 
 
-_DM, _DV = _lap(uniform_sql("dp:o_totalprice", "'mean'"), 1.0), _lap(uniform_sql("dp:o_totalprice", "'var'"), 1.0)
+_DM, _DV = (geometric_noise_sql("dp:o_totalprice", f"'{n}'", 2.0 * w, SEED) for n, w in (("mean", V.UNITS), ("var", V.UNITS**2)))
 
 
-@query("f14_dp_mean_var", f"with c as (select least(greatest(o_totalprice, 0.0::double), 500000.0::double) as v from orders), s as (select count(*) as n, avg(v) as m, var_pop(v) as v from c) select round(m + {_DM} * (500000.0::double / 0.5) / n, 6) as dp_mean, round(greatest(v + {_DV} * (500000.0::double * 500000 / 0.5) / n, 0.0), 4) as dp_variance from s")
+@query("f14_dp_mean_var", f"with c as (select floor((least(greatest(o_totalprice, 0.0::double), 500000.0::double)) / {500000 / V.UNITS!r}::double + 0.5)::hugeint as v from orders), s as (select count(*) as n, sum(v) as s, sum(v * v) as q from c), m as (select (s + {_DM})::double / n as m, (q + {_DV})::double / n as q from s) select round(m * {500000 / V.UNITS!r}::double, 6) as dp_mean, round(greatest(q - m * m, 0.0) * {(500000 / V.UNITS) ** 2!r}::double, 4) as dp_variance from m")
 def f14(s, d):
     return V.dp_mean_var(t(s, d, "orders"), "o_totalprice", 0.0, 500000.0, 1.0, secret=SEED)
 
