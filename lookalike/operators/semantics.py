@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookalike.operators.profile import category_frequencies, column_warnings, physical_types, profile_base, profile_strings, string_columns, to_long
+from lookalike.operators.profile import category_frequencies, column_warnings, physical_type, physical_types, profile_base, profile_strings, string_columns, to_long
 
 
 def _ending(words: str) -> str:
@@ -49,6 +49,9 @@ PATTERN_EVIDENCE = [
 ]
 NEAR_UNIQUE, MAX_DISTINCT, MAX_RATIO, MAX_LENGTH, MATCH = 0.98, 20, 0.5, 30.0, 0.8
 MIN_CONFIDENCE, MARGIN = 0.5, 0.15
+#: Weights of near-unique values, few values, one-sided or constant columns, declared keys; distinct values and share that make a column one-sided.
+W_UNIQUE, W_FEW, W_QUALITY, W_KEY = 0.8, 2.0, 0.5, 3.0
+FREQUENT, ONE_SIDED = 50, 0.95
 
 
 def score_names(spark, columns: list[str]) -> DataFrame:
@@ -73,7 +76,7 @@ def score_cardinality(df: DataFrame) -> DataFrame:
     long = F.coalesce((F.col("inferred_dtype") == "string") & (F.col("mean_length") > MAX_LENGTH), F.lit(False))
     unique = (F.col("distinct_count") > 1) & (F.col("distinct_ratio") >= NEAR_UNIQUE) & (F.col("inferred_dtype") != "float") & ~long
     few = F.col("inferred_dtype").isin("string", "boolean") & (F.col("distinct_count") <= MAX_DISTINCT) & (F.col("distinct_ratio") <= MAX_RATIO)
-    said = F.array(F.when(unique, F.struct(F.lit("identifier").alias("semantic"), F.lit(0.8).alias("weight"))), F.when(few, F.struct(F.lit("category").alias("semantic"), F.lit(2.0).alias("weight"))))
+    said = F.array(F.when(unique, F.struct(F.lit("identifier").alias("semantic"), F.lit(W_UNIQUE).alias("weight"))), F.when(few, F.struct(F.lit("category").alias("semantic"), F.lit(W_FEW).alias("weight"))))
     return j.where("row_count > 0").select("column_name", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("r")).select("column_name", "r.semantic", "r.weight")
 
 
@@ -89,9 +92,9 @@ def score_patterns(df: DataFrame) -> DataFrame:
 def score_quality(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Imbalanced or constant columns lean to category; declared keys are identifiers (C-05)."""
     w = column_warnings(profile_base(df), category_frequencies(df, df.columns)).where("warnings like '%severe_category_imbalance%' or warnings like '%constant_column%'")
-    out = w.select("column_name", F.lit("category").alias("semantic"), F.lit(0.5).alias("weight"))
+    out = w.select("column_name", F.lit("category").alias("semantic"), F.lit(W_QUALITY).alias("weight"))
     if key:
-        keys = df.sparkSession.createDataFrame([(k, "identifier", 3.0) for k in key], "column_name string, semantic string, weight double")
+        keys = df.sparkSession.createDataFrame([(k, "identifier", W_KEY) for k in key], "column_name string, semantic string, weight double")
         out = out.unionByName(keys)
     return out
 
@@ -121,6 +124,45 @@ def infer(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     return resolve_semantics(evidence(df, key))
 
 
+def counters(df: DataFrame) -> DataFrame:
+    """What a part of a table says about each column but for its values: rows, values, whether all
+    fractions are 0, letters, and hits of each value shape.  Counters of parts add up (J-02)."""
+    aggs, shaped = {}, string_columns(df)
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), physical_type(f)
+        hits = [F.count_if(F.trim(c).rlike(p)) for _, p, _ in PATTERN_EVIDENCE] if f.name in shaped else [F.lit(0).cast("long")] * len(PATTERN_EVIDENCE)
+        fraction = F.count_if(c != F.round(c)) if kind == "float" else F.lit(0).cast("long")
+        letters = F.sum(F.char_length(c)) if f.name in shaped else F.lit(None).cast("long")
+        aggs[f.name] = {"physical": F.first(F.lit(kind)), "rows": F.count(F.lit(1)), "values": F.count(c), "fractions": fraction, "letters": letters, "hits": F.array(*hits)}
+    return to_long(df, aggs)
+
+
+def merged_counters(parts: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("rows", "values", "fractions", "letters")]
+    return parts.groupBy("column_name").agg(F.max("physical").alias("physical"), *sums, F.array(*[F.sum(F.col("hits")[i]) for i in range(len(PATTERN_EVIDENCE))]).alias("hits"))
+
+
+def evidence_of(counted: DataFrame, values: DataFrame, columns: list[str], key: list[str] | None = None) -> DataFrame:
+    """The evidence of C-01 to C-05 from merged counters and merged counts of hashed values."""
+    v = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("top"))
+    j = counted.join(v, "column_name", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    kind = F.when(F.col("values") == 0, "unknown").when((F.col("physical") == "float") & (F.col("fractions") == 0), "integer").otherwise(F.col("physical"))
+    ratio = F.round(F.try_divide(F.col("distinct").cast("double"), "rows"), 6)
+    long = F.coalesce((kind == "string") & (F.round(F.try_divide("letters", "values"), 6) > MAX_LENGTH), F.lit(False))
+    some = F.col("rows") > 0
+    unique = some & (F.col("distinct") > 1) & (ratio >= NEAR_UNIQUE) & (kind != "float") & ~long
+    few = some & kind.isin("string", "boolean") & (F.col("distinct") <= MAX_DISTINCT) & (ratio <= MAX_RATIO)
+    constant = (F.col("values") > 0) & (F.col("distinct") <= 1)
+    one_sided = (F.col("distinct") > 1) & (F.col("distinct") <= FREQUENT) & (F.col("top") / F.col("rows") >= ONE_SIDED)
+    said = [(kind == k, t, w) for k, t, w in DTYPE_EVIDENCE]
+    said += [(unique, "identifier", W_UNIQUE), (few, "category", W_FEW), (constant | one_sided, "category", W_QUALITY)]
+    said += [((F.col("values") > 0) & (F.col("hits")[i] >= MATCH * F.col("values")), t, w) for i, (t, _, w) in enumerate(PATTERN_EVIDENCE)]
+    rows = F.filter(F.array(*[F.when(c, F.struct(F.lit(t).alias("semantic"), F.lit(w).alias("weight"))) for c, t, w in said]), lambda x: x.isNotNull())
+    spark = counted.sparkSession
+    out = score_names(spark, columns).unionByName(j.select("column_name", F.explode(rows).alias("r")).select("column_name", "r.*"))
+    return out.unionByName(spark.createDataFrame([(k, "identifier", W_KEY) for k in key], "column_name string, semantic string, weight double")) if key else out
+
+
 def merge_contract(candidates: DataFrame, prior: DataFrame, decisions: DataFrame) -> DataFrame:
     """decision, else approved prior, else candidate, else prior, else review (C-08)."""
     c = candidates.select("column_name", F.col("semantic_type").alias("c"), F.col("status").alias("cs"))

@@ -140,15 +140,15 @@ def c05(s, d):
 _EV = f"select column_name, semantic, weight from (values {', '.join(f'({chr(39)}{n}{chr(39)})' for n in COLUMNS['orders'])}) c(column_name), {_RULES} where regexp_matches(column_name, pattern) union all {_C02} union all {_C03} union all " + "\nunion all\n".join(f"select * from (select '{c}', '{k}', {w}::double from orders having count(*) filter (where regexp_matches(trim({c}), '{p.replace(chr(39), chr(39) * 2)}')) >= 0.8 * count({c}))" for c in ("o_orderstatus", "o_orderpriority") for k, p, w in C.PATTERN_EVIDENCE) + "\nunion all select 'o_orderkey', 'identifier', 3.0 union all " + "\nunion all\n".join(f"select * from (select '{c}', 'category', 0.5 from (select count(*) as n from orders group by {c}) having count(*) <= 50 and (count(*) <= 1 or max(n) >= 0.95 * sum(n)))" for c in COLUMNS["orders"])
 
 
-@query(
-    "c06_resolve_semantics",
-    f"""with e as ({_EV}), s as (select column_name, semantic, sum(weight) as score from e group by 1, 2),
+SEMANTICS_SQL = f"""with e as ({_EV}), s as (select column_name, semantic, sum(weight) as score from e group by 1, 2),
 r as (select *, round(score / sum(score) over (partition by column_name), 6) as share, row_number() over (partition by column_name order by score desc, semantic) as place from s),
 n as (select *, coalesce(lead(share) over (partition by column_name order by score desc, semantic), 0.0) as nxt from r)
 select column_name, max(semantic) filter (where place = 1) as semantic_type, max(share) filter (where place = 1) as confidence,
 case when max(share) filter (where place = 1) < 0.5 or max(share) filter (where place = 1) - max(nxt) filter (where place = 1) < 0.15 then 'REVIEW_REQUIRED' else 'proposed' end as status,
-coalesce(string_agg(semantic, ',' order by place) filter (where place between 2 and 4), '') as alternatives from n group by column_name""",
-)
+coalesce(string_agg(semantic, ',' order by place) filter (where place between 2 and 4), '') as alternatives from n group by column_name"""
+
+
+@query("c06_resolve_semantics", SEMANTICS_SQL)
 def c06(s, d):
     return C.infer(t(s, d, "orders"), ["o_orderkey"])
 

@@ -10,6 +10,7 @@ from lookalike.operators import plugins as U
 from lookalike.operators import profile as P
 from lookalike.operators import repair as R
 from lookalike.operators import text as X
+from lookalike.plans.model_queries import SEMANTICS_SQL
 from lookalike.plans.registry import query
 from lookalike.plans.util import t, union_all
 from lookalike.streaming import incremental as J
@@ -227,9 +228,9 @@ def j01(s, d):
     return J.profile_stream(J.stream(s, f"{d}/events.parquet"), _COLS).drop("distinct_estimate")
 
 
-@query("j02_infer_stream", "select 'event_id' as column_name, count(*) as row_count, 'identifier' as semantic from events union all select 'user_id', count(*), 'identifier' from events union all select 'value', count(*), case when count(distinct value) >= 0.95 * count(*) then 'near_unique' when count(distinct value) <= 20 then 'category' else 'numerical' end from events")
+@query("j02_infer_stream", SEMANTICS_SQL)
 def j02(s, d):
-    return J.infer_stream(J.stream(s, f"{d}/events.parquet"), ["event_id", "user_id", "value"])
+    return J.infer_stream(J.stream(s, f"{d}/orders.parquet"), ["o_orderkey"])
 
 
 @query("j03_validate_stream", "select 'negative' as issue, count(*) filter (where value < 0) as n from events union all select 'orphan', count(*) filter (where user_id not in (select c_custkey from customer where c_custkey % 2 = 0)) from events")
@@ -238,7 +239,7 @@ def j03(s, d):
     return J.validate_stream(J.stream(s, f"{d}/events.parquet"), parents, "user_id", "c_custkey", {"negative": F.col("value") < 0})
 
 
-@query("j03_windowed_sums", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+@query("j03_windowed_sums", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2 having date_trunc('day', ts)::timestamp + interval 1 day <= (select max(ts) - interval 2 days from events)")
 def j03w(s, d):
     sdf = J.stream(s, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return J.windowed_sums(sdf, "ts", "value", "event_type")

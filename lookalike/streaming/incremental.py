@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.rng import SEED, uniform
 from lookalike.operators import profile as P
+from lookalike.operators import semantics as S
 from lookalike.operators.generate import assign_fk
 from lookalike.operators.repair import PercentRule
+from lookalike.sources.distinct import hashed_counts
 from lookalike.sources.io import shared_dir
 from lookalike.sources.ranges import ranked_in, running_sums
 
@@ -45,15 +47,20 @@ def batches(sdf: DataFrame, handle, name: str) -> None:
     q.awaitTermination()
 
 
-def _kept(sdf: DataFrame, name: str, part) -> DataFrame:
-    """part(df) of each batch, written once per batch; the parts as one table."""
+def _kept_all(sdf: DataFrame, name: str, parts: dict) -> dict[str, DataFrame]:
+    """parts[x](df) of each batch for every x, written once per batch; each x's parts as one table."""
     path = shared(sdf.sparkSession, name)
 
     def handle(df: DataFrame, batch: int) -> None:
-        part(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        for x, part in parts.items():
+            part(df).write.mode("overwrite").parquet(f"{path}/{x}/batch={batch}")
 
     batches(sdf, handle, name)
-    return sdf.sparkSession.read.parquet(path).drop("batch")
+    return {x: sdf.sparkSession.read.parquet(f"{path}/{x}").drop("batch") for x in parts}
+
+
+def _kept(sdf: DataFrame, name: str, part) -> DataFrame:
+    return _kept_all(sdf, name, {"part": part})["part"]
 
 
 def profile_stream(sdf: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,12 +68,14 @@ def profile_stream(sdf: DataFrame, columns: list[str]) -> DataFrame:
     return P.merge_profiles(_kept(sdf, "profile", lambda df: P.partial_profiles(df, F.lit("batch"), columns)))
 
 
-def infer_stream(sdf: DataFrame, columns: list[str]) -> DataFrame:
-    """Physical type and kind of columns from merged profiles (J-02)."""
-    m = profile_stream(sdf, columns)
-    ratio = F.col("distinct_estimate") / F.col("row_count")
-    kind = F.when(F.col("column_name").rlike("(?i)(^|_)(id|key)$"), "identifier").when(ratio >= 0.95, "near_unique").when(F.col("distinct_estimate") <= 20, "category").otherwise("numerical")
-    return m.select("column_name", "row_count", kind.alias("semantic"))
+def infer_stream(sdf: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Semantic types of a stream's columns, as C-06 ranks them (J-02).
+
+    Each batch leaves counters of its columns and counts of its hashed values; both add up over
+    batches, so the result is the batch form's over all rows, whatever the batches were."""
+    kept = _kept_all(sdf, "evidence", {"counters": S.counters, "values": hashed_counts})
+    values = kept["values"].groupBy("column_name", "a", "b").agg(F.sum("n").alias("n"))
+    return S.resolve_semantics(S.evidence_of(S.merged_counters(kept["counters"]), values, sdf.columns, key))
 
 
 def validate_stream(sdf: DataFrame, parents: DataFrame, fk: str, parent_key: str, rules: dict[str, Column]) -> DataFrame:
@@ -83,15 +92,48 @@ def validate_stream(sdf: DataFrame, parents: DataFrame, fk: str, parent_key: str
     return _kept(sdf, "issues", part).groupBy("issue").agg(F.sum("n").alias("n"))
 
 
-def windowed_sums(sdf: DataFrame, when: str, value: str, by: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Event-time sums with a watermark, kept in the state store (J-03): (start, by, n, total).
+class WindowedSums:
+    """Event-time sums in append mode (J-03).
 
-    The last windows are closed by reading the sink's complete output."""
-    spark, name = sdf.sparkSession, f"sums_{uuid.uuid4().hex}"
-    agg = sdf.withWatermark(when, late).groupBy(F.window(when, width).alias("w"), by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", shared(spark, "sums-checkpoint")).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n", "total")
+    A window is written to the Parquet sink once, when the watermark (the latest time seen less
+    ``late``) has passed its end, and leaves the state; a later row of it is dropped and counted.
+    Sink and checkpoint are folders that outlive a driver: another run with the same two goes on
+    where the last one stopped."""
+
+    def __init__(self, spark: SparkSession, sink: str, checkpoint: str):
+        self.spark, self.sink, self.checkpoint = spark, sink, checkpoint
+
+    def run(self, sdf: DataFrame, when: str, value: str, by: str, width: str = "1 day", late: str = "2 days") -> WindowedSums:
+        """Takes in what the source has now."""
+        agg = sdf.withWatermark(when, late).groupBy(F.window(when, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+        rows = agg.select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n", F.round("total", 4).alias("total"))
+        q = rows.writeStream.outputMode("append").format("parquet").option("path", self.sink).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        took = [(p["batchId"], p["numInputRows"]) for p in q.recentProgress]
+        self.spark.createDataFrame(took, "batch long, n long").coalesce(1).write.mode("append").parquet(f"{self.checkpoint}-rows")
+        return self
+
+    def closed(self) -> DataFrame:
+        """(start, by, n, total) of the windows that are final."""
+        return self.spark.read.parquet(self.sink)
+
+    def open(self) -> DataFrame:
+        """(start, by, n) of the windows that still wait, from the state store."""
+        state = self.spark.read.format("statestore").load(self.checkpoint)
+        by = next(c for c in state.schema["key"].dataType.names if c != "window")
+        return state.select(F.col("key.window.start").cast("timestamp_ntz").alias("start"), F.col(f"key.{by}").alias(by), F.col("value.count").alias("n"))
+
+    def late_rows(self) -> int:
+        """Rows that came after their window was closed: those taken in less those in a window."""
+        took = self.spark.read.parquet(f"{self.checkpoint}-rows").groupBy("batch").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0]
+        held = sum(df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (self.closed(), self.open()))
+        return (took or 0) - held
+
+
+def windowed_sums(sdf: DataFrame, when: str, value: str, by: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
+    """The windows that a stream's watermark closes (J-03): (start, by, n, total)."""
+    spark = sdf.sparkSession
+    return WindowedSums(spark, shared(spark, "sums"), shared(spark, "sums-checkpoint")).run(sdf, when, value, by, width, late).closed()
 
 
 def reservoir_stream(sdf: DataFrame, n: int, key: list[str], columns: list[str], seed: int = SEED) -> DataFrame:
