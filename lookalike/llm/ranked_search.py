@@ -16,7 +16,7 @@ read to their ends if need be; no document is left out.
 
 One block of SEED answers first: the k-th scores of the best of these are a bound that all other
 blocks start from, so that they stop sooner and send on only what can still be among the k best.
-Queries go to the blocks in packets of bounded size, by broadcast if all packets are small.
+Queries go to the blocks in packets of bounded size, by broadcast if one packet holds them all.
 
 Null texts and texts without a term are not counted and never found; queries without terms find
 nothing; repeated query rows are one query per row; repeated rows and null ids are documents of
@@ -37,8 +37,8 @@ from lookalike.llm import pieces as P
 from lookalike.llm.common import BROADCAST_BYTES, keyed, table, written
 from lookalike.llm.inverted import _Codes
 
-#: Bytes of text in a block; queries in a packet; places that the first round reads of each list; one block of so many answers first.
-BLOCK_BYTES, PACKET, FIRST, SEED = 16 << 20, 64, 64, 16
+#: Bytes of text in a block; bytes of queries in a packet; places that the first round reads of each list; one block of so many answers first.
+BLOCK_BYTES, PACKET_BYTES, FIRST, SEED = 8 << 20, BROADCAST_BYTES, 64, 16
 #: Separators: all of ASCII but digits and letters, which are lower-cased.
 _SEPARATE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -55,11 +55,10 @@ def build(base: DataFrame) -> DataFrame:
         for batch in batches:
             raw, off = P.string_buffers(batch.column(1))
             uids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data = raw.tobytes()
             for i, j in P.slices(off, BLOCK_BYTES):
                 codes, post, size = _Codes(), [], np.zeros(j - i, np.int64)
                 for k in range(i, j):
-                    said = terms_of(data[off[k] : off[k + 1]])
+                    said = terms_of(raw[off[k] : off[k + 1]].tobytes())
                     size[k - i] = len(said)
                     post.append(np.unique(np.fromiter(map(codes.__getitem__, said), np.int32, len(said)), return_counts=True))
                 names = sorted(codes)
@@ -199,18 +198,18 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     df = held.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2.0 * F.col("df") + 1))).cast("long")
     weighed = written(wanted.join(df, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("w")))).alias("terms")))
-    size = weighed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr("aggregate(terms, 64L, (s, t) -> s + 24 + length(t.term))")), F.lit(0))).first()
-    small = size[1] <= BROADCAST_BYTES
+    size = weighed.agg(F.coalesce(F.sum(F.expr("aggregate(terms, 64L, (s, t) -> s + 24 + length(t.term))")), F.lit(0))).first()[0]
+    packets = max(1, -(-size // PACKET_BYTES))
 
     def packed(bounds: DataFrame | None) -> DataFrame:
         told = weighed.join(bounds, "row", "left") if bounds is not None else weighed.withColumn("bound", F.lit(0).cast("long"))
         one = F.struct("row", F.coalesce("bound", F.lit(0)).alias("bound"), "terms")
-        return told.groupBy(F.expr(f"pmod(xxhash64(row), {max(1, -(-size[0] // PACKET))})").alias("packet")).agg(F.collect_list(one).alias("queries")).select("queries")
+        return told.groupBy(F.expr(f"pmod(xxhash64(row), {packets})").alias("packet")).agg(F.collect_list(one).alias("queries")).select("queries")
 
     first = F.pmod(F.xxhash64("block"), F.lit(SEED)) == 0
-    seeds = written(best(search(blocks.where(first), packed(None), (n_docs, n_terms), k, small), k))
+    seeds = written(best(search(blocks.where(first), packed(None), (n_docs, n_terms), k, packets == 1), k))
     bounds = seeds.where(F.col("rank") == k).select("row", F.col("score").alias("bound"))
-    rest = search(blocks.where(~first), packed(bounds), (n_docs, n_terms), k, small)
+    rest = search(blocks.where(~first), packed(bounds), (n_docs, n_terms), k, packets == 1)
     top = written(best(seeds.select("row", "uid", "score").unionByName(rest), k))
     ids = keyed(docs, id_col, text_col).select(F.col("_uid").alias("uid"), F.col("_id").alias("_doc")).join(top, "uid")  # k rows a query
     names = asked.select("row", F.col("item").alias("_item"))

@@ -43,7 +43,7 @@ def test_against_brute_force(spark, monkeypatch, block_bytes):
     from lookalike.llm import ranked_search as R
 
     monkeypatch.setattr(R, "BLOCK_BYTES", block_bytes)
-    monkeypatch.setattr(R, "PACKET", 7)
+    monkeypatch.setattr(R, "PACKET_BYTES", 9000 if block_bytes == 300 else 1 << 20)
     r = random.Random(12)
     vocabulary = ["the", "The", "É", "é", "a1", "x-y", "don't", "日本", " ", *(f"w{int(r.paretovariate(0.7))}" for _ in range(400))]
     text = lambda n: r.choice([" ", "\n", ". "]).join(r.choice(vocabulary) for _ in range(n))
