@@ -4,37 +4,50 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.operators.profile import category_frequencies, column_warnings, physical_type, physical_types, profile_base, profile_strings, string_columns, to_long
 
 
-def _ending(words: str) -> str:
-    """Names whose last words, cut at underscores, are one of these."""
-    return f"(?i)(^|_)({words.replace(' ', '|')})$"
-
-
-#: Evidence of column names: semantic type, pattern, weight.
-NAME_EVIDENCE = [
-    ("identifier", _ending("id ids uuid guid key"), 3.0),
-    ("email", r"(?i)e_?mail", 3.0),
-    ("person_name", _ending("name_first name_last firstname lastname fullname surname surnames forename nickname"), 4.0),
-    ("person_name", _ending(" ".join(f"{who}_name" for who in "first last given family middle maiden full customer client patient contact manager employee".split())), 4.0),
-    ("person_name", r"(?i)^names?$", 4.0),
-    ("phone_number", _ending("phone phones mobile telephone fax cell phone_number phone_no mobile_number mobile_no fax_number"), 3.0),
-    ("postal_code", _ending("zip zipcode zip_code postcode post_code postal_code pincode"), 3.0),
-    ("address", _ending("address addresses street street_address address_line"), 3.0),
-    ("city", _ending("city town municipality"), 3.0),
-    ("state", _ending("state province region_name"), 2.5),
-    ("country", _ending("country country_name nation nationality"), 3.0),
-    ("company", _ending("company company_name employer organisation organization vendor supplier_name"), 3.0),
-    ("datetime", _ending("date dates dt time timestamp ts at datetime"), 2.5),
-    ("boolean", r"(?i)^(is|has|can|should)_|_flag$", 2.5),
-    ("category", _ending("code codes status type kind category segment priority"), 1.5),
-    ("category", _ending("branch office location department"), 1.5),
-    ("free_text", _ending("description comment comments note notes bio summary text remarks"), 2.0),
-]
+#: What the last word of a column name says: semantic type, weight, words in the singular.
+HEADS = {
+    "identifier": (3.0, "id uuid guid key"),
+    "email": (3.0, "email mail"),
+    "person_name": (4.0, "surname forename nickname firstname lastname fullname"),
+    "phone_number": (3.0, "phone telephone tel mobile cell fax"),
+    "postal_code": (3.5, "zip zipcode postal postcode pincode"),
+    "address": (4.0, "address addr street"),
+    "city": (4.0, "city town village municipality"),
+    "state": (3.5, "state province county"),
+    "country": (3.5, "country nation nationality"),
+    "company": (4.0, "company firm employer organisation organization vendor supplier"),
+    "datetime": (2.5, "date datetime time timestamp ts dt at"),
+    "boolean": (2.5, "flag indicator"),
+    "category": (1.5, "code status type kind category class segment priority branch office department"),
+    "free_text": (2.0, "text description summary comment remark note bio"),
+}
+#: Last words that leave the meaning to the word before them, and the types whose words may stand there.
+CARRIERS = "name number no code line"
+CARRIED = "phone_number postal_code address city state country company"
+#: Words that make a person's name of ``name``: parts of one, and people that have one.
+PEOPLE = "first middle last given family maiden full person customer client contact patient employee manager"
+#: First words of questions.
+ASKS = "is has can should was"
+#: Columns with one of these words name things or organisations: values that look like people's names are none.
+THINGS = "branch office location department product item company firm organisation organization business vendor supplier provider facility hospital clinic"
+
+
+def name_words(c: Column) -> Column:
+    """Lower-cased words of a name, cut at case changes and at all but letters and digits."""
+    apart = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2")
+    return F.filter(F.split(F.lower(apart), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def singular(c: Column) -> Column:
+    return F.regexp_replace(c, "^(.*.[^su])s$", "$1")
+
+
 #: Evidence of physical types: physical type, semantic type, weight.
 DTYPE_EVIDENCE = [("boolean", "boolean", 4.0), ("datetime", "datetime", 4.0), ("integer", "numerical", 2.0), ("float", "numerical", 2.0), ("string", "free_text", 0.5), ("string", "category", 0.5)]
 #: Evidence of value shapes: semantic type, pattern, weight.
@@ -43,7 +56,8 @@ PATTERN_EVIDENCE = [
     ("person_name", r"^[A-Z][A-Za-z'-]+( [A-Z][.])?( [A-Z][A-Za-z'-]+){1,3}$", 3.5),
     ("postal_code", r"^[0-9]{5}(-[0-9]{4})?$", 2.0),
     ("postal_code", r"^[A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2}$", 2.0),
-    ("phone_number", r"^([+][0-9]{1,3}[ .-]?)?([(][0-9]{2,4}[)] ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}$", 4.0),
+    # 9 to 15 digits, and a plus or something between them: no date and no bare number
+    ("phone_number", r"^([+][(]?[0-9]([ ().-]{0,2}[0-9]){8,14}|[(]?[0-9]{3,5}[) .-]{1,2}[0-9]{3,5}[ .-]?[0-9]{3,5}|[0-9]{5}[ .-][0-9]{5}|[0-9]{2}([ .-][0-9]{2}){4})$", 4.0),
     ("datetime", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+)?$", 3.0),
     ("boolean", r"(?i)^(true|false|yes|no|0|1|t|f|y|n)$", 3.0),
 ]
@@ -55,11 +69,36 @@ FREQUENT, ONE_SIDED = 50, 0.95
 
 
 def score_names(spark, columns: list[str]) -> DataFrame:
-    """Evidence of column names (C-01)."""
-    cols = spark.createDataFrame([(c,) for c in columns], "column_name string")
-    rules = F.array(*[F.struct(F.lit(t).alias("semantic"), F.lit(p).alias("pattern"), F.lit(w).alias("weight")) for t, p, w in NAME_EVIDENCE])
-    hit = cols.select("column_name", F.explode(rules).alias("r")).where(F.regexp_like("column_name", F.col("r.pattern")))
-    return hit.select("column_name", "r.semantic", "r.weight")
+    """Evidence of column names (C-01): the type of the last word, or of the one before a carrier."""
+    words = name_words(F.col("column_name"))
+    named = spark.createDataFrame([(c,) for c in columns], "column_name string").select("column_name", words.alias("w"))
+    named = named.select("column_name", F.element_at("w", 1).alias("first"), singular(F.try_element_at("w", F.lit(-1))).alias("head"), singular(F.try_element_at("w", F.lit(-2))).alias("before"))
+    of = lambda said: F.array(*[F.lit(w) for w in said.split()])
+    among = lambda c, said: F.coalesce(F.array_contains(of(said), F.col(c)), F.lit(False))
+    carried = among("head", CARRIERS)
+    hits = []
+    for semantic, (weight, said) in HEADS.items():
+        hit = among("head", said)
+        if semantic in CARRIED.split():
+            hit = hit | carried & among("before", said)
+        elif semantic == "person_name":
+            hit = hit | (F.col("head") == "name") & (F.col("before").isNull() | among("before", PEOPLE))
+        elif semantic == "boolean":
+            hit = hit | among("first", ASKS)
+        elif semantic == "category":
+            hit = hit & ~(carried & among("before", HEADS["postal_code"][1]))
+        elif semantic == "email":
+            hit = hit | F.contains("column_name", F.lit("email"))
+        hits.append(F.when(hit, F.struct(F.lit(semantic).alias("semantic"), F.lit(weight).alias("weight"))))
+    return named.select("column_name", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r")).select("column_name", "r.*")
+
+
+def names_things(column: str) -> bool:
+    """Whether a column's name speaks of things, organisations or identifiers (C-04's guard)."""
+    import re
+
+    words = re.split("[^a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1_\2", column).lower())
+    return bool({re.sub("^(.*.[^su])s$", r"\1", w) for w in words} & {*THINGS.split()}) or words[-1] in HEADS["identifier"][1].split()
 
 
 def score_dtypes(df: DataFrame) -> DataFrame:
@@ -81,12 +120,15 @@ def score_cardinality(df: DataFrame) -> DataFrame:
 
 
 def score_patterns(df: DataFrame) -> DataFrame:
-    """Value shapes that most values have, measured over all rows in one pass (C-04)."""
+    """Value shapes that most values have, measured over all rows in one pass (C-04).
+
+    People's names are not looked for in columns whose names speak of things."""
     cols = string_columns(df)
     aggs = {c: {"n": F.count(c), **{f"p{i}": F.count_if(F.trim(c).rlike(p)) for i, (_, p, _) in enumerate(PATTERN_EVIDENCE)}} for c in cols}
     rules = F.array(*[F.struct(F.lit(t).alias("semantic"), F.lit(w).alias("weight"), F.col(f"p{i}").alias("hits")) for i, (t, _, w) in enumerate(PATTERN_EVIDENCE)])
     long = to_long(df, aggs).select("column_name", "n", F.explode(rules).alias("r"))
-    return long.where(f"n > 0 and r.hits >= {MATCH} * n").select("column_name", "r.semantic", "r.weight")
+    guarded = (F.col("r.semantic") == "person_name") & F.col("column_name").isin([c for c in cols if names_things(c)])
+    return long.where(f"n > 0 and r.hits >= {MATCH} * n").where(~guarded).select("column_name", "r.semantic", "r.weight")
 
 
 def score_quality(df: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -156,7 +198,8 @@ def evidence_of(counted: DataFrame, values: DataFrame, columns: list[str], key:
     one_sided = (F.col("distinct") > 1) & (F.col("distinct") <= FREQUENT) & (F.col("top") / F.col("rows") >= ONE_SIDED)
     said = [(kind == k, t, w) for k, t, w in DTYPE_EVIDENCE]
     said += [(unique, "identifier", W_UNIQUE), (few, "category", W_FEW), (constant | one_sided, "category", W_QUALITY)]
-    said += [((F.col("values") > 0) & (F.col("hits")[i] >= MATCH * F.col("values")), t, w) for i, (t, _, w) in enumerate(PATTERN_EVIDENCE)]
+    thing = F.col("column_name").isin([c for c in columns if names_things(c)])
+    said += [((F.col("values") > 0) & (F.col("hits")[i] >= MATCH * F.col("values")) & (~thing if t == "person_name" else F.lit(True)), t, w) for i, (t, _, w) in enumerate(PATTERN_EVIDENCE)]
     rows = F.filter(F.array(*[F.when(c, F.struct(F.lit(t).alias("semantic"), F.lit(w).alias("weight"))) for c, t, w in said]), lambda x: x.isNotNull())
     spark = counted.sparkSession
     out = score_names(spark, columns).unionByName(j.select("column_name", F.explode(rows).alias("r")).select("column_name", "r.*"))

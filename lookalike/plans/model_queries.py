@@ -86,11 +86,25 @@ def e09(s, d):
 
 # --- C
 
-_RULES = "(values " + ", ".join(f"('{a}', '{p.replace(chr(39), chr(39) * 2)}', {w}::double)" for a, p, w in C.NAME_EVIDENCE) + ") r(semantic, pattern, weight)"
+def _c01_sql(source: str, keep: str) -> str:
+    """Evidence of the names in ``source``, which has column_name."""
+    words = r"list_filter(string_split_regex(lower(regexp_replace(column_name, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
+    one = r"regexp_replace({}, '^(.*.[^su])s$', '\1')".format
+    among = lambda c, said: f"coalesce({c} in ({', '.join(repr(w) for w in said.split())}), false)"
+    more = {t: f" or {among('head', C.CARRIERS)} and {among('before', C.HEADS[t][1])}" for t in C.CARRIED.split()}
+    more |= {"person_name": f" or head = 'name' and (before is null or {among('before', C.PEOPLE)})", "boolean": f" or {among('head0', C.ASKS)}", "email": " or contains(column_name, 'email')"}
+    more["category"] = f" and not ({among('head', C.CARRIERS)} and {among('before', C.HEADS['postal_code'][1])})"
+    hits = ", ".join(f"case when {among('head', said)}{more.get(t, '')} then struct_pack(semantic := '{t}', weight := {w}::double) end" for t, (w, said) in C.HEADS.items())
+    return f"select {keep}, r.semantic as semantic, r.weight as weight from (select {keep}, unnest([{hits}]) as r from (select {keep}, w[1] as head0, {one('w[-1]')} as head, {one('w[-2]')} as before from (select {keep}, {words} as w from ({source})))) where r is not null"
+
+
 _OF = ("customer", "supplier", "part", "orders", "lineitem", "nation", "region", "events", "documents", "conversations", "pages")
 
 
-@query("c01_score_names", f"select table_name, column_name, semantic, weight from ({' union all '.join(f'select {chr(39)}{n}{chr(39)} as table_name, column_name from (describe {n}) where (select count(*) from {n}) > 0' for n in _OF)}) c, {_RULES} where regexp_matches(column_name, pattern)")
+_NAMED = " union all ".join(f"select '{n}' as table_name, column_name from (describe {n}) where (select count(*) from {n}) > 0" for n in _OF)
+
+
+@query("c01_score_names", _c01_sql(_NAMED, "table_name, column_name"))
 def c01(s, d):
     """Evidence of the names of the columns that the tables have; tables without rows have none."""
     parts = []
@@ -137,7 +151,7 @@ def c05(s, d):
     return C.score_quality(t(s, d, "nation").withColumn("fixed", F.lit("x")), ["n_nationkey"])
 
 
-_EV = f"select column_name, semantic, weight from (values {', '.join(f'({chr(39)}{n}{chr(39)})' for n in COLUMNS['orders'])}) c(column_name), {_RULES} where regexp_matches(column_name, pattern) union all {_C02} union all {_C03} union all " + "\nunion all\n".join(f"select * from (select '{c}', '{k}', {w}::double from orders having count(*) filter (where regexp_matches(trim({c}), '{p.replace(chr(39), chr(39) * 2)}')) >= 0.8 * count({c}))" for c in ("o_orderstatus", "o_orderpriority") for k, p, w in C.PATTERN_EVIDENCE) + "\nunion all select 'o_orderkey', 'identifier', 3.0 union all " + "\nunion all\n".join(f"select * from (select '{c}', 'category', 0.5 from (select count(*) as n from orders group by {c}) having count(*) <= 50 and (count(*) <= 1 or max(n) >= 0.95 * sum(n)))" for c in COLUMNS["orders"])
+_EV = _c01_sql("select column_name from (values " + ", ".join(f"('{n}')" for n in COLUMNS["orders"]) + ") c(column_name)", "column_name") + f" union all {_C02} union all {_C03} union all " + "\nunion all\n".join(f"select * from (select '{c}', '{k}', {w}::double from orders having count(*) filter (where regexp_matches(trim({c}), '{p.replace(chr(39), chr(39) * 2)}')) >= 0.8 * count({c}))" for c in ("o_orderstatus", "o_orderpriority") for k, p, w in C.PATTERN_EVIDENCE) + "\nunion all select 'o_orderkey', 'identifier', 3.0 union all " + "\nunion all\n".join(f"select * from (select '{c}', 'category', 0.5 from (select count(*) as n from orders group by {c}) having count(*) <= 50 and (count(*) <= 1 or max(n) >= 0.95 * sum(n)))" for c in COLUMNS["orders"])
 
 
 SEMANTICS_SQL = f"""with e as ({_EV}), s as (select column_name, semantic, sum(weight) as score from e group by 1, 2),
