@@ -2,7 +2,7 @@
 
 ``encode`` cuts the texts of a language into blocks, each with the list of its own words and the
 text as numbers into that list (0: end of a piece).  Words are counted over all blocks by joins, and
-those that are frequent get a number in their language; the blocks are then written once more in
+those that are frequent get a number, by language and falling count; the blocks are then written once more in
 these numbers, with 0 for all other words, which no frequent phrase can hold.  No list of words is
 ever broadcast.
 
@@ -22,6 +22,7 @@ table gives no rows; other columns are not looked at.  Ties go as the contract o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 from lookalike.llm import pieces as P
 from lookalike.llm.common import table, written
 from lookalike.llm.inverted import _Codes
-from lookalike.sources.ranges import ranked_in
+from lookalike.sources.ranges import ranked
 
 #: Bytes of text in a block; phrases in a trie; bytes of tries that are broadcast at once.
 BLOCK_BYTES, TRIE, ROUND = 8 << 20, 200_000, 64 << 20
+#: Tallies that a task keeps.
+TALLY = 1 << 20
 #: Places of a double array that are tried at once.
 WINDOW = 2048
 #: A-Z are lower-cased, ends of pieces become one sign.
@@ -51,25 +54,25 @@ def encode(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     """(lang, words, n, codes): a block; words[i] occurs n[i] times; codes are places in words from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, tuple[_Codes, list, list]] = {}  # of each language: numbers of its words, parts of the text, bytes
+
+        def block(lang: str) -> pa.RecordBatch:
+            codes, parts, _ = open_.pop(lang)
+            text = np.concatenate(parts)
+            n = np.bincount(text, minlength=len(codes))[1:]
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([list(codes)[1:]], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), pa.array([text.tobytes()])], ["lang", "words", "n", "codes"])
+
         for batch in batches:
-            langs, which = (x := batch.column(0).dictionary_encode()).dictionary, x.indices.to_numpy()
             raw, off = P.string_buffers(batch.column(1))
-            data = raw.tobytes()
-            for lang in range(len(langs)):
-                codes, parts, size = _Codes(), [], 0
-                codes[b"."] = 0
-                mine = np.flatnonzero(which == lang)
-                for k in mine:
-                    said = words_of(data[off[k] : off[k + 1]])
-                    parts += [np.fromiter(map(codes.__getitem__, said), np.int32, len(said)), np.zeros(1, np.int32)]
-                    size += off[k + 1] - off[k]
-                    if size >= BLOCK_BYTES or k == mine[-1]:
-                        text = np.concatenate(parts)
-                        names = list(codes)[1:]
-                        n = np.bincount(text, minlength=len(codes))[1:]
-                        yield pa.RecordBatch.from_arrays([pa.array([langs[lang].as_py()]), pa.array([names], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), pa.array([text.tobytes()])], ["lang", "words", "n", "codes"])
-                        codes, parts, size = _Codes(), [], 0
-                        codes[b"."] = 0
+            for k, lang in enumerate(batch.column(0).to_pylist()):
+                codes, parts, size = open_.setdefault(lang, (_Codes({b".": 0}), [], [0]))
+                said = words_of(raw[off[k] : off[k + 1]].tobytes())
+                parts += [np.fromiter(map(codes.__getitem__, said), np.int32, len(said)), np.zeros(1, np.int32)]
+                size[0] += int(off[k + 1] - off[k])
+                if size[0] >= BLOCK_BYTES or sum(s[0] for _, _, s in open_.values()) >= 4 * BLOCK_BYTES:
+                    yield block(lang)
+        for lang in list(open_):
+            yield block(lang)
 
     base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(run, "lang string, words array<binary>, n array<long>, codes binary")
@@ -108,7 +111,7 @@ class Trie:
         order = np.lexsort(phrases.T[::-1])
         phrases, names = phrases[order], names[order]
         k = phrases.shape[1]
-        top = int(phrases.max()) + 1
+        top = int(phrases.max()) - int(phrases.min()) + 1
         size = top + 4 * len(phrases) * k + 1024
         base, check, phrase = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int64)
         free = np.ones(size, bool)
@@ -188,7 +191,7 @@ def tries(phrases: DataFrame, k: int) -> DataFrame:
 
     sizes = phrases.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TRIE).alias("shards"))
     split = phrases.join(F.broadcast(sizes), "lang").groupBy("lang", F.pmod(F.xxhash64("words"), "shards").alias("shard"))  # a row a language
-    return written(split.agg(F.collect_list(F.struct("id", "words")).alias("rows")).select("lang", "rows").mapInArrow(run, "lang string, base binary, check binary, phrase binary"))
+    return written(split.agg(F.collect_list(F.struct("id", "words")).alias("rows")).select("lang", "rows").mapInArrow(run, "lang string, base binary, check binary, phrase binary").withColumn("trie", F.monotonically_increasing_id()))
 
 
 def rounds(made: DataFrame) -> list[DataFrame]:
@@ -198,24 +201,45 @@ def rounds(made: DataFrame) -> list[DataFrame]:
     return [made.where(F.pmod(F.xxhash64("base", "check", "lang"), F.lit(n)) == i) for i in range(n)]
 
 
-def _tallied(first: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, n = np.unique(first.astype(np.int64) << 32 | then, return_counts=True)
-    return key >> 32, key & 0xFFFFFFFF, n
+class _Tally:
+    """Counts of pairs of numbers below 2**31, added up over the blocks of a task; some TALLY of them
+    are sent on at a time."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, first: np.ndarray, then: np.ndarray) -> None:
+        keys, n = np.unique(first.astype(np.int64) << 32 | then, return_counts=True)
+        if len(self.keys):
+            keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, n = keys[new], np.add.reduceat(n, new)
+        self.keys, self.n = keys, n
+
+    def full(self, least: int | None = None) -> Iterator[pa.RecordBatch]:
+        if len(self.keys) >= (TALLY if least is None else least):
+            for i in range(0, len(self.keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(self.keys[i : i + (1 << 16)]), pa.array(self.n[i : i + (1 << 16)])], ["pair", "n"])
+            self.__init__()
 
 
 def pairs(blocks: DataFrame) -> DataFrame:
-    """(lang, first, then, n): tallies of two frequent words that follow each other."""
+    """(first, then, n): how often two frequent words follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            for text in batch.column(0):
                 x = np.frombuffer(text.as_buffer(), np.int32)
                 both = (x[:-1] > 0) & (x[1:] > 0)
-                first, then, n = _tallied(x[:-1][both], x[1:][both])
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(n), pa.string()), pa.array(first), pa.array(then), pa.array(n)], ["lang", "first", "then", "n"])
+                tally.add(x[:-1][both], x[1:][both])
+                yield from tally.full()
+        yield from tally.full(0)
 
-    found = blocks.select("lang", "text").mapInArrow(run, "lang string, first long, then long, n long")
-    return found.groupBy("lang", "first", "then").agg(F.sum("n").alias("n"))
+    found = blocks.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return found.select(F.shiftright("pair", 32).alias("first"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("then"), "n")
 
 
 def counted(blocks: DataFrame, made: DataFrame, k: int, longer: bool) -> DataFrame:
@@ -223,48 +247,71 @@ def counted(blocks: DataFrame, made: DataFrame, k: int, longer: bool) -> DataFra
     phrase with the word numbered ``then`` after it (only if ``longer``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[int, tuple[np.ndarray, _Tally]] = {}  # of each trie
+
+        def named(phrase: np.ndarray, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:  # states become phrases; a second number of 0 is the phrase itself
+                pair = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(phrase[pair >> 32]), pa.array(pair & 0xFFFFFFFF), part.column(1)], ["first", "then", "n"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                text, base, check, phrase = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns, (np.int32, np.int32, np.int32, np.int64), strict=True))
+                text, base, check, phrase = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns[:4], (np.int32, np.int32, np.int32, np.int64), strict=True))
                 state = Trie(base, check, phrase).run(text, k)
                 n = np.bincount(state, minlength=1)
                 n[0] = 0
                 hit = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(phrase[hit]), pa.array(np.zeros(len(hit), np.int64)), pa.array(n[hit])], ["first", "then", "n"])
                 if longer and len(state):
+                    names, tally = tallies.setdefault(batch.column(4)[i].as_py(), (phrase.copy(), _Tally()))
                     state, after = state[:-1], text[k:]
                     both = (state > 0) & (after > 0)
-                    first, then, n = _tallied(state[both], after[both])
-                    yield pa.RecordBatch.from_arrays([pa.array(phrase[first]), pa.array(then), pa.array(n)], ["first", "then", "n"])
+                    tally.add(state[both], after[both])
+                    yield from named(names, tally.full(TALLY // len(tallies)))
+        for names, tally in tallies.values():
+            yield from named(names, tally.full(0))
 
-    parts = [blocks.join(F.broadcast(r), "lang").select("text", "base", "check", "phrase").mapInArrow(run, "first long, then long, n long") for r in rounds(made)]
+    parts = [blocks.join(F.broadcast(r), "lang").select("text", "base", "check", "phrase", "trie").mapInArrow(run, "first long, then long, n long") for r in rounds(made)]
     return reduce(DataFrame.unionByName, parts).groupBy("first", "then").agg(F.sum("n").alias("n"))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int):
+    """Arrow batches of some ``size`` bytes in the jobs that run inside, as a row may be a whole block."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, n), (lang, words, f)): all words of each language; phrases of 1 to ``longest`` words with
     f >= least occurrences, words as texts."""
-    cut = written(encode(docs, text_col, lang_col).withColumn("block", F.monotonically_increasing_id()))
-    said = cut.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.n").alias("f"))
-    totals = cut.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
-    often = said.where(F.col("f") >= least).withColumn("_rare", -F.col("f"))
-    words = written(ranked_in(written(often), ["lang"], ["_rare", "word"], "id").select("lang", "word", F.col("word").cast("string").alias("name"), F.col("id").cast("int").alias("id"), "f"))
-    blocks = written(numbered(cut, words))
-    grams = [words.select("lang", F.array("name").alias("words"), "f")]
-
-    names = words.select("lang", F.col("id").alias("then"), F.col("name").alias("last"))
-    firsts = words.select("lang", F.col("id").alias("first"), F.col("name").alias("head"))
-    found = pairs(blocks).where(F.col("n") >= least).join(firsts, ["lang", "first"]).join(names, ["lang", "then"])
-    level = found.select("lang", F.array(F.col("first").cast("int"), F.col("then").cast("int")).alias("ids"), F.array("head", "last").alias("words"))
-    for k in range(2, longest + 1):
-        level = written(level.withColumn("id", F.monotonically_increasing_id()))
-        sums = written(counted(blocks, tries(level.select("lang", "id", F.col("ids").alias("words")), k), k, k < longest).where(F.col("n") >= least))
-        level = level.join(sums.where("then = 0").select(F.col("first").alias("id"), F.col("n").alias("f")), "id")
-        grams.append(level.select("lang", "words", "f"))
-        if k < longest:  # both parts are frequent: the first is a phrase of this level, and so must the rest be
-            more = sums.where("then > 0").join(level.select(F.col("id").alias("first"), "lang", "ids", "words"), "first").join(names, ["lang", "then"])
-            more = more.select("lang", F.concat("ids", F.array(F.col("then").cast("int"))).alias("ids"), F.concat("words", F.array("last")).alias("words"))
-            level = more.join(level.select(F.col("lang").alias("_lang"), F.col("ids").alias("_rest")), (F.col("lang") == F.col("_lang")) & (F.slice("ids", 2, k) == F.col("_rest")), "left_semi")
+    with batches_of(docs.sparkSession, BLOCK_BYTES):
+        cut = written(encode(docs, text_col, lang_col).withColumn("block", F.monotonically_increasing_id()))
+        said = cut.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.n").alias("f"))
+        totals = cut.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+        often = said.where(F.col("f") >= least).withColumn("_rare", -F.col("f"))
+        words = written(ranked(written(often), ["lang", "_rare", "word"], "id").select("lang", "word", F.col("word").cast("string").alias("name"), F.col("id").cast("int").alias("id"), "f"))
+        blocks = written(numbered(cut, words))
+        grams = [words.select("lang", F.array("name").alias("words"), "f")]
+
+        names = words.select(F.col("id").alias("then"), F.col("name").alias("last"))
+        firsts = words.select("lang", F.col("id").alias("first"), F.col("name").alias("head"))
+        found = written(pairs(blocks).where(F.col("n") >= least)).join(firsts, "first").join(names, "then")
+        level = found.select("lang", F.array(F.col("first").cast("int"), F.col("then").cast("int")).alias("ids"), F.array("head", "last").alias("words"))
+        for k in range(2, longest + 1):
+            level = written(level.withColumn("id", F.monotonically_increasing_id()))
+            sums = written(counted(blocks, tries(level.select("lang", "id", F.col("ids").alias("words")), k), k, k < longest).where(F.col("n") >= least))
+            level = level.join(sums.where("then = 0").select(F.col("first").alias("id"), F.col("n").alias("f")), "id")
+            grams.append(level.select("lang", "words", "f"))
+            if k < longest:  # both parts are frequent: the first is a phrase of this level, and so must the rest be
+                more = sums.where("then > 0").join(level.select(F.col("id").alias("first"), "lang", "ids", "words"), "first").join(names, "then")
+                more = more.select("lang", F.concat("ids", F.array(F.col("then").cast("int"))).alias("ids"), F.concat("words", F.array("last")).alias("words"))
+                level = more.join(level.select(F.col("lang").alias("_lang"), F.col("ids").alias("_rest")), (F.col("lang") == F.col("_lang")) & (F.slice("ids", 2, k) == F.col("_rest")), "left_semi")
     return totals, reduce(DataFrame.unionByName, grams)
 
 
