@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.noise import Bits, discrete_gaussian, geometric_noise
 from lookalike.functions.rng import SEED, pick, uniform
+from lookalike.operators.neighbours import nearest
 from lookalike.operators.profile import RARE, exact_quantiles, unpivoted
 from lookalike.sources.ranges import running_sums
 
@@ -274,64 +275,6 @@ def uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
     return identifier_report(df, columns)
 
 
-#: Centres at most, base vectors of a block, queries of a packet.
-CENTRES, BLOCK, PACKET = 256, 4096, 512
-
-
-def nearest(queries: DataFrame, base: DataFrame, vector: str, key: str) -> DataFrame:
-    """(key, distance) to the closest base vector, exactly (F-23).
-
-    Distinct base vectors are dealt to the nearest of some centres, which are base vectors
-    themselves.  The distance to the nearest centre bounds a query's answer from above; a centre
-    whose distance less its radius is beyond that bound has no nearer vector, so its blocks are never
-    met.  Blocks and packets have a fixed size, whatever their number.  Rows without a vector have no
-    answer and are none."""
-    import math
-
-    import numpy as np
-    import pyarrow as pa
-
-    def apart(a, m):
-        return np.concatenate([np.sqrt(((a[i : i + 64, None, :] - m[None, :, :]) ** 2).sum(-1)) for i in range(0, len(a), 64)]) if len(a) else np.zeros((0, len(m)))
-
-    b = base.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").distinct()
-    q = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("q")).where("q is not null")
-    size, packets = b.count(), max(1, math.ceil(q.count() / PACKET))
-    if not size:
-        return q.select("key", F.lit(None).cast("double").alias("distance")).limit(0)
-    centres = np.array([r.v for r in b.orderBy(F.xxhash64("v"), "v").limit(max(1, min(CENTRES, size * 2 // BLOCK))).collect()])
-
-    def deal(batches):
-        for batch in batches:
-            d = apart(np.array(batch.column(0).to_pylist()).reshape(-1, centres.shape[1]), centres)
-            at = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(d)), at]), batch.column(0)], ["centre", "far", "v"])
-
-    dealt = b.mapInArrow(deal, "centre int, far double, v array<double>")
-    radius, chunks = np.full(len(centres), -np.inf), [1] * len(centres)
-    for r in dealt.groupBy("centre").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row for each centre
-        radius[r.centre], chunks[r.centre] = r.far, math.ceil(r.n / BLOCK)
-
-    def ask(batches):
-        for batch in batches:
-            vectors = batch.column(1).to_pylist()
-            d = apart(np.array(vectors).reshape(-1, centres.shape[1]), centres)
-            who, where = np.nonzero(d - radius <= d.min(axis=1, keepdims=True) + 1e-9) if len(d) else (np.zeros(0, int), np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array(where.astype(np.int32))], ["key", "q", "centre"])
-
-    def run(batches):
-        for batch in batches:
-            for qs, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                least = apart(np.array([x["q"] for x in qs]), np.array(vs)).min(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in qs], pa.int64()), pa.array(least)], ["key", "distance"])
-
-    many = F.array(*[F.lit(n) for n in chunks])[F.col("centre")]
-    blocks = dealt.groupBy("centre", F.pmod(F.xxhash64("v"), many).cast("int").alias("chunk")).agg(F.collect_list("v").alias("vs"))
-    asked = q.mapInArrow(ask, "key long, q array<double>, centre int").groupBy("centre", F.pmod(F.xxhash64("key"), F.lit(packets)).alias("packet")).agg(F.collect_list(F.struct("key", "q")).alias("qs"))
-    pairs = asked.select("centre", "qs", F.explode(F.sequence(F.lit(0), many - 1)).alias("chunk")).join(blocks, ["centre", "chunk"])
-    return pairs.select("qs", "vs").mapInArrow(run, "key long, distance double").groupBy("key").agg(F.min("distance").alias("distance"))
-
-
 def dcr(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, key: str) -> DataFrame:
     """Share of synthetic rows closer to training rows than 1 % of holdout rows are, and the ratio
     of median distances (F-23)."""

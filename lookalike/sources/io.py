@@ -74,6 +74,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read from there, so that what is built on it neither
+    computes it again nor depends on a lost executor."""
+    path = f"{shared_dir(df.sparkSession)}/lookalike-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def holdout_split(df: DataFrame, fraction: float, key: list[str], seed: int = SEED) -> DataFrame:
     """Adds is_train: a seeded permutation cut at 1 - fraction, a row on both sides at least;
     under four rows all train (A-08)."""

@@ -6,21 +6,44 @@ import numpy as np
 from pyspark.sql import functions as F
 
 
-def test_nearest_prunes_and_is_exact(spark, monkeypatch):
-    from lookalike.operators import privacy
+def near_rows(spark, m, more=()):
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + list(more), "k long, v array<double>")
 
-    monkeypatch.setattr(privacy, "BLOCK", 20)
-    monkeypatch.setattr(privacy, "PACKET", 7)
-    monkeypatch.setattr(privacy, "CENTRES", 12)
+
+def test_nearest_is_exact(spark, monkeypatch):
+    from lookalike.operators import neighbours as N
+
+    for name, value in (("BLOCK", 20), ("PACKET", 7), ("PIVOTS", 7)):
+        monkeypatch.setattr(N, name, value)
     rng = np.random.default_rng(3)
     hubs = rng.standard_normal((6, 8)) * 20
-    base, asked = (hubs[rng.integers(0, 6, n)] + rng.standard_normal((n, 8)) for n in (300, 90))
+    base, asked = (hubs[rng.integers(0, 6, n)] + rng.standard_normal((n, 8)) for n in (400, 90))
     base[100:200] = base[0]  # copies
-    rows = lambda m: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(9999, None)], "k long, v array<double>")
-    got = dict(map(tuple, privacy.nearest(rows(asked), rows(base), "v", "k").collect()))
+    asked[0] = base[5]
+    got = dict(map(tuple, N.nearest(near_rows(spark, asked, [(9999, None)]), near_rows(spark, base, [(9999, None)]), "v", "k").collect()))
     want = np.sqrt(((asked[:, None] - base[None]) ** 2).sum(-1)).min(1)
     assert got.keys() == set(range(90)) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
-    assert privacy.nearest(rows(asked), rows(base).limit(0), "v", "k").count() == 0
+    assert N.nearest(near_rows(spark, asked), near_rows(spark, base).limit(0), "v", "k").count() == 0
+    tree = N.Tree(near_rows(spark, base), "v")
+    assert tree.depth > 1 and sum(x.count() for x in tree.leaves) == 300
+    assert max(r["count"] for x in tree.leaves for r in x.groupBy("cell").count().collect()) <= 20
+
+
+def test_leaves_met_do_not_grow_with_the_table(spark, monkeypatch):
+    """On clustered vectors a query meets about as many leaves in a table eight times as large."""
+    from lookalike.operators import neighbours as N
+
+    for name, value in (("BLOCK", 25), ("PACKET", 64), ("PIVOTS", 15)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(4)
+    hubs = rng.standard_normal((12, 2)) * 50
+    some = lambda n: hubs[rng.integers(0, 12, n)] + rng.standard_normal((n, 2))
+    asked, met = some(60), []
+    for n in (1200, 9600):
+        tree = N.Tree(near_rows(spark, some(n)), "v")
+        q = near_rows(spark, asked).select("k", "v").toDF("key", "q")
+        met.append(tree.nearest(q)[1].count() / 60)
+    assert met[1] < 1.6 * met[0] and met[1] < 0.02 * 9600 / 25, met
 
 
 def test_running_sums(spark):
