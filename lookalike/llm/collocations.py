@@ -36,7 +36,7 @@ from lookalike.llm.inverted import _Codes
 from lookalike.sources.ranges import ranked
 
 #: Bytes of text in a block; phrases in a trie; bytes of tries that are broadcast at once.
-BLOCK_BYTES, TRIE, ROUND = 8 << 20, 200_000, 64 << 20
+BLOCK_BYTES, TRIE, ROUND = 8 << 20, 1 << 16, 64 << 20
 #: Tallies that a task keeps.
 TALLY = 1 << 20
 #: Places of a double array that are tried at once.

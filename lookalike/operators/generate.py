@@ -105,13 +105,23 @@ def gen_timestamp(start: str, end: str, lane: str, key: str = "row_id", recent:
     return F.timestamp_seconds(second)
 
 
-#: Relative weight of each hour of the day (G-06).
-HOURS = {"retail": [1, 1, 1, 1, 1, 2, 4, 8, 12, 16, 20, 22, 24, 22, 20, 20, 22, 24, 22, 18, 12, 8, 4, 2], "flat": [1] * 24}
-
-
-def time_of_day(df: DataFrame, column: str, key: str, domain: str = "retail") -> DataFrame:
-    """The same day at a realistic time (G-06)."""
-    hour = weighted(list(range(24)), HOURS[domain], uniform(f"hour:{column}", key))
+# Relative weights of the hours of a day (G-06), by what a platform is for.
+_SHOP = [1, 1, 1, 1, 1, 1, 2, 3, 5, 7, 9, 12, 13, 12, 10, 8, 7, 10, 14, 15, 12, 8, 4, 2]
+_OFFICE = [1, 1, 1, 1, 1, 2, 4, 8, 14, 16, 16, 15, 13, 15, 16, 14, 12, 8, 5, 3, 2, 2, 1, 1]
+_PLAY = [8, 6, 4, 3, 2, 1, 1, 1, 2, 3, 4, 5, 6, 6, 6, 6, 8, 10, 14, 16, 18, 18, 16, 12]
+_WORK = [1, 1, 1, 1, 1, 2, 4, 9, 14, 16, 15, 13, 12, 14, 15, 13, 11, 8, 5, 4, 3, 2, 2, 1]
+_ANY = [1, 1, 1, 1, 1, 2, 4, 7, 10, 12, 12, 11, 11, 12, 12, 11, 10, 9, 7, 6, 4, 3, 2, 1]
+HOURS = {
+    "ecommerce": _SHOP, "fooddelivery": _SHOP, "marketplace": _SHOP,
+    "fintech": _OFFICE, "hr": _OFFICE, "healthcare": _OFFICE, "realestate": _OFFICE,
+    "gaming": _PLAY, "social": _PLAY,
+    "saas": _WORK, "edtech": _WORK,
+}
+
+
+def time_of_day(df: DataFrame, column: str, key: str, domain: str = "") -> DataFrame:
+    """The same day at a time that suits the domain; unknown ones lean to the day (G-06)."""
+    hour = weighted(list(range(24)), HOURS.get(domain.lower(), _ANY), uniform(f"hour:{column}", key))
     second = F.floor(uniform(f"second:{column}", key) * 3600)
     day = F.unix_timestamp(F.date_trunc("day", F.col(column).cast("timestamp")))
     return df.withColumn(column, F.timestamp_seconds(day + hour * 3600 + second))

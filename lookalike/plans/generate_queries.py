@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lookalike.functions.checks import valid
@@ -77,9 +79,18 @@ def g05(s, d):
     return ids(s, d).select("row_id", G.gen_timestamp(a, b, "t").cast("timestamp_ntz").alias("at"), G.gen_timestamp(a, b, "r", recent=30.0).cast("timestamp_ntz").alias("recent"))
 
 
-@query("g06_time_of_day", f"select o_orderkey, date_trunc('day', o_orderdate)::timestamp + to_seconds(cast({weighted_sql(list(range(24)), G.HOURS['retail'], U('hour:o_orderdate', 'o_orderkey'))} * 3600 + floor({U('second:o_orderdate', 'o_orderkey')} * 3600) as bigint)) as o_orderdate from orders")
+@query("g06_time_of_day", f"select o_orderkey, date_trunc('day', o_orderdate)::timestamp + to_seconds(cast({weighted_sql(list(range(24)), G.HOURS['ecommerce'], U('hour:o_orderdate', 'o_orderkey'))} * 3600 + floor({U('second:o_orderdate', 'o_orderkey')} * 3600) as bigint)) as o_orderdate from orders")
 def g06(s, d):
-    return G.time_of_day(t(s, d, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    return G.time_of_day(t(s, d, "orders"), "o_orderdate", "o_orderkey", "ecommerce").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+
+
+_DOMAINS = [*G.HOURS, "anything"]
+
+
+@query("g06_hours_by_domain", "\nunion all\n".join(f"select '{m}' as domain, hour, count(*) as n from (select {weighted_sql(list(range(24)), G.HOURS.get(m, G._ANY), U('hour:o_orderdate', 'o_orderkey'))}::int as hour from orders) group by 2" for m in _DOMAINS))
+def g06d(s, d):
+    parts = [G.time_of_day(t(s, d, "orders"), "o_orderdate", "o_orderkey", m).groupBy(F.lit(m).alias("domain"), F.hour("o_orderdate").alias("hour")).agg(F.count("*").alias("n")) for m in _DOMAINS]
+    return reduce(type(parts[0]).unionByName, parts)
 
 
 _PK = "p as (select c_custkey, row_number() over (order by c_custkey) - 1 as i from customer), m as (select count(*) as m from customer)"

@@ -105,12 +105,27 @@ def i07(s, d):
     return X.duplicate_docs(t(s, d, "documents"), "text", "doc_id")
 
 
-_SC = ", ".join("struct_pack(score := (" + " + ".join(f"contains(lower(text), '{w}')::int" for w in ws) + f")::double / {len(ws)}, kind := '{k}')" for k, ws in X.TYPES.items())
+#: Texts of orders, with phrases of document types by the number of the order.
+_PHRASES = ["Invoice number 7, total due $12.50, bill to us", "This agreement and the terms and conditions, hereby signed", "Dear sir, kind regards", "Executive summary. Introduction. Findings", "Curriculum vitae: education, skills", "Dear customer, invoice", "nothing to see", "Abstract, whereas, sincerely"]
+_DOCS08 = f"(select o_orderkey, o_orderstatus || ' ' || list_extract({_PHRASES!r}, (o_orderkey % {len(_PHRASES)} + 1)::int) || case when o_custkey % 3 = 0 then ' £5' else '' end as text from orders union all select -doc_id - 1, text from documents)"
+_SIGNS = ", ".join([f"case when contains(lower(text), '{w}') then struct_pack(kind := '{k}', said := '{k}:{w.strip()}') end" for k, ws in X.TYPES.items() for w in ws] + [f"case when regexp_matches(text, '{X.MONEY}') then struct_pack(kind := 'invoice', said := 'invoice:amount') end"])
+_SHARES = ", ".join(f"struct_pack(less := -len(list_filter(f, lambda x: x.kind = '{k}')), kind := '{k}')" for k in sorted(X.TYPES))
 
 
-@query("i08_classify_docs", f"with r as (select doc_id, list_reverse_sort([{_SC}]) as r from documents) select doc_id, case when r[1].score > 0 then r[1].kind else 'unknown' end as doc_type, round(r[1].score, 4) as confidence, r[1].score - r[2].score < 0.2 as ambiguous from r")
+@query(
+    "i08_classify_docs",
+    f"""with f as (select o_orderkey, list_filter([{_SIGNS}], lambda x: x is not null) as f from {_DOCS08}),
+r as (select *, list_filter(list_sort([{_SHARES}]), lambda x: x.less < 0) as r from f),
+s as (select *, list_transform(r, lambda x: round(-x.less::double / len(f), 6)) as s from r)
+select o_orderkey, coalesce(r[1].kind, 'other') as doc_type, coalesce(s[1], 0.0) as confidence,
+case when coalesce(s[1], 0.0) < 0.5 or coalesce(s[1], 0.0) - coalesce(s[2], 0.0) < 0.15 then 'REVIEW_REQUIRED' else 'proposed' end as status,
+array_to_string(list_transform(f, lambda x: x.said), ',') as evidence,
+array_to_string(list_transform(list_zip(r[2:4], s[2:4]), lambda x: x[1].kind || ' ' || x[2]::varchar), ',') as alternatives from s""",
+)
 def i08(s, d):
-    return X.classify_docs(t(s, d, "documents"), "text", "doc_id")
+    phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("o_orderkey") % len(_PHRASES) + 1).cast("int"))
+    said = t(s, d, "orders").select("o_orderkey", F.concat("o_orderstatus", F.lit(" "), phrase, F.when(F.col("o_custkey") % 3 == 0, " £5").otherwise("")).alias("text"))
+    return X.classify_docs(said.unionByName(t(s, d, "documents").select((-F.col("doc_id") - 1).alias("o_orderkey"), "text")), "text", "o_orderkey")
 
 
 _N09 = r"n as (select doc_id, lang, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\f\x0B]+', ' ', 'g')), '') as c from documents)"
@@ -143,10 +158,19 @@ def i11(s, d):
     return t(s, d, "customer").select("c_custkey", X.fill_shape(X.shape(F.col("c_name")), "fill", "c_custkey").alias("filled"))
 
 
-@query("i12_field_semantics", "select p_partkey, 'amount' as role, 5 as score from part")
+_FIELDS = "(select o_orderkey, list_extract(['Total', 'Order date', 'Customer name', 'Order number', 'Remark'], (o_orderkey % 5 + 1)::int) as label, list_extract([printf('$%.2f', o_totalprice), strftime(o_orderdate, '%Y-%m-%d'), 'Customer of ' || o_orderstatus, o_custkey::varchar, '-12,5'], (o_custkey % 5 + 1)::int) as value from orders)"
+_CLASS12 = r"case when regexp_matches(value, '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})$') then 'date' when regexp_matches(value, '^[$€£] ?[0-9][0-9,]*(\.[0-9]+)?$') then 'currency' when regexp_matches(value, '^-?[0-9][0-9,]*(\.[0-9]+)?$') then 'numeric' else 'text' end"
+_FITS12 = {"amount": "('numeric', 'currency')", "date": "('date')", "party": "('text')", "identifier": "('numeric', 'text')"}
+_ROLE12 = ", ".join(f"struct_pack(score := (case when regexp_matches(lower(label), '{'|'.join(ws)}') then 3 else 0 end + case when class in {_FITS12[r]} then 2 else 0 end)::int, role := '{r}')" for r, ws in X.ROLES_BY_LABEL.items())
+
+
+@query("i12_field_semantics", f"with c as (select *, {_CLASS12} as class from {_FIELDS}), b as (select o_orderkey, list_sort([{_ROLE12}])[-1] as b from c) select o_orderkey, case when b.score >= 3 then b.role else 'other' end as role, b.score as score from b")
 def i12(s, d):
-    p = t(s, d, "part").select("p_partkey", F.lit("Total amount").alias("label"), F.format_string("$%.2f", "p_retailprice").alias("value"))
-    return X.field_semantics(p, "label", "value", "p_partkey")
+    o = t(s, d, "orders")
+    pick = lambda by, *xs: F.element_at(F.array(*xs), (F.col(by) % 5 + 1).cast("int"))
+    label = pick("o_orderkey", *[F.lit(x) for x in ("Total", "Order date", "Customer name", "Order number", "Remark")])
+    value = pick("o_custkey", F.format_string("$%.2f", "o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("Customer of "), "o_orderstatus"), F.col("o_custkey").cast("string"), F.lit("-12,5"))
+    return X.field_semantics(o.select("o_orderkey", label.alias("label"), value.alias("value")), "label", "value", "o_orderkey")
 
 
 @query("i13_extract_fields", "select o_orderkey, -floor(o_totalprice)::double as total, cast(o_orderdate as date) as day, o_orderstatus = 'F' as paid, 'Customer ' || o_custkey as buyer from orders")
