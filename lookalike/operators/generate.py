@@ -550,13 +550,63 @@ PROFILES = {
 }
 
 
+# Named profiles: family, parameters, least and largest value, decimals (G-45).
+# Components of a mixture are (mean, deviation, weight).
+NAMED_PROFILES = {
+    "age_adult": ("mixture", [(28, 6, 0.3), (42, 10, 0.45), (62, 8, 0.25)], 18, 100, 0),
+    "age_population": ("mixture", [(8, 4, 0.15), (25, 8, 0.25), (42, 12, 0.35), (68, 10, 0.25)], 0, 105, 0),
+    "salary_usd": ("lognormal", (11.0, 0.5), 25000, 500000, 0),
+    "salary_tech": ("mixture", [(75000, 15000, 0.2), (120000, 25000, 0.4), (180000, 40000, 0.3), (280000, 60000, 0.1)], 50000, 600000, 0),
+    "price_retail": ("lognormal", (3.5, 1.2), 0.99, 10000, 2),
+    "price_saas": ("mixture", [(15, 5, 0.3), (49, 15, 0.4), (199, 50, 0.25), (999, 200, 0.05)], 0, 5000, 0),
+    "transaction_amount": ("pareto", (2.5, 10.0), 1, 100000, 2),
+    "order_quantity": ("zipf", 2.0, 1, 100, 0),
+    "session_duration_seconds": ("lognormal", (5.5, 1.5), 1, 7200, 0),
+    "rating_5star": ("beta", (5, 2, 5), 1, 5, 1),
+    "nps_score": ("mixture", [(3, 2, 0.15), (7, 1, 0.25), (9, 0.8, 0.6)], 0, 10, 0),
+    "conversion_rate": ("beta", (2, 50, 100), 0, 100, 2),
+    "churn_rate": ("beta", (1.5, 30, 100), 0, 100, 2),
+}
+
+
+def zipf_weights(alpha: float, most: int) -> list[float]:
+    """Shares of 1 to ``most`` of the powers k ** -alpha, what lies beyond being at ``most``."""
+    head = [k**-alpha for k in range(1, most)]
+    tail = most ** (1 - alpha) / (alpha - 1) + most**-alpha / 2 + alpha * most ** (-alpha - 1) / 12  # Euler and Maclaurin
+    return [*head, tail]
+
+
+def gamma_draw(shape: float, lane: str, key: str = "row_id") -> Column:
+    """Gamma draw of a whole or half shape: a sum of exponential draws, and half a squared normal one."""
+    whole = [-F.log(1 - uniform(f"{lane}:{i}", key)) for i in range(int(shape))]
+    parts = whole + ([normal(f"{lane}:half", key) * normal(f"{lane}:half", key) / 2] if shape % 1 else [])
+    return sum(parts[1:], parts[0])
+
+
 def profile_column(name: str, key: str = "row_id") -> Column:
-    """A named profile; 'income' mixes two (G-45)."""
+    """A named profile (G-45); 'income' mixes two."""
     if name == "income":
         low = gen_float({"distribution": "normal", "mean": 30000, "std": 6000, "min": 0}, "income:low", key)
         high = gen_float({"distribution": "normal", "mean": 110000, "std": 25000, "min": 0}, "income:high", key)
         return F.when(uniform("income:mix", key) < 0.8, low).otherwise(high)
-    return gen_float(PROFILES[name], f"profile:{name}", key)
+    if name not in NAMED_PROFILES:
+        return gen_float(PROFILES[name], f"profile:{name}", key)
+    family, said, least, most, decimals = NAMED_PROFILES[name]
+    lane = f"profile:{name}"
+    if family == "mixture":
+        at = weighted(list(range(len(said))), [w for *_, w in said], uniform(f"{lane}:part", key))
+        part = lambda i: F.element_at(F.array(*[F.lit(float(c[i])) for c in said]), at + 1)
+        value = part(0) + part(1) * normal(lane, key)
+    elif family == "lognormal":
+        value = F.exp(said[0] + said[1] * normal(lane, key))
+    elif family == "pareto":
+        value = said[1] * F.pow(1 - uniform(lane, key), F.lit(-1 / said[0]))
+    elif family == "zipf":
+        value = weighted([float(k) for k in range(1, most + 1)], zipf_weights(said, most), uniform(lane, key))
+    else:
+        x, y = gamma_draw(said[0], f"{lane}:a", key), gamma_draw(said[1], f"{lane}:b", key)
+        value = said[2] * x / (x + y)
+    return F.round(F.least(F.greatest(value, F.lit(float(least))), F.lit(float(most))), decimals)
 
 
 def series_panel(keys: DataFrame, key: str, n: int, level: float, slope: float, amplitude: float, period: int, sd: float, floor: float = 0.0, anomaly: float = 0.0) -> DataFrame:

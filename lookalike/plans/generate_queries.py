@@ -355,6 +355,32 @@ def g45(s, d):
     return ids(s, d).select("row_id", *[G.profile_column(n).alias(n) for n in ("age", "wait", "rating")])
 
 
+def _profile_sql(name: str) -> str:
+    family, said, least, most, decimals = G.NAMED_PROFILES[name]
+    lane = f"profile:{name}"
+    if family == "mixture":
+        at = weighted_sql(list(range(len(said))), [w for *_, w in said], U(f"{lane}:part"))
+        value = f"[{', '.join(f'{float(c[0])}::double' for c in said)}][{at} + 1] + [{', '.join(f'{float(c[1])}::double' for c in said)}][{at} + 1] * {Z(lane)}"
+    elif family == "lognormal":
+        value = f"exp({said[0]}::double + {said[1]}::double * {Z(lane)})"
+    elif family == "pareto":
+        value = f"{said[1]}::double * pow(1 - {U(lane)}, {-1 / said[0]}::double)"
+    elif family == "zipf":
+        value = f"{weighted_sql([float(k) for k in range(1, most + 1)], G.zipf_weights(said, most), U(lane))}::double"
+    else:
+        gamma = lambda shape, lane: " + ".join([f"-ln(1 - {U(f'{lane}:{i}')})" for i in range(int(shape))] + ([f"{Z(lane + ':half')} * {Z(lane + ':half')} / 2"] if shape % 1 else []))
+        x, y = gamma(said[0], f"{lane}:a"), gamma(said[1], f"{lane}:b")
+        value = f"{said[2]}::double * ({x}) / (({x}) + ({y}))"
+    return f"round(least(greatest({value}, {float(least)}::double), {float(most)}::double), {decimals})"
+
+
+@query("g45_named_profiles", "\nunion all\n".join(f"select '{n}' as profile, count(*) as n, round(avg(v), 4) as mean, min(v) as least, max(v) as most, round(stddev_samp(v), 4) as deviation from (select {_profile_sql(n)} as v from {_IDS})" for n in G.NAMED_PROFILES))
+def g45_named(s, d):
+    wide = ids(s, d).repartition(s.sparkContext.defaultParallelism).select(*[G.profile_column(n).alias(n) for n in G.NAMED_PROFILES])
+    aggs = {n: {"n": F.count(n), "mean": F.round(F.avg(n), 4), "least": F.min(n), "most": F.max(n), "deviation": F.round(F.stddev_samp(n), 4)} for n in G.NAMED_PROFILES}
+    return P.to_long(wide, aggs).withColumnRenamed("column_name", "profile")
+
+
 _SK = "n_nationkey || '-' || step"
 
 

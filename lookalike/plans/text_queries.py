@@ -226,7 +226,13 @@ def i18(s, d):
     return t(s, d, "documents").select("doc_id", F.md5(X.sanitize_text(F.col("text"))).alias("digest"))
 
 
-@query("i19_text_eligibility", "select 'text' as column_name, true as eligible union all select 'lang', false union all select 'source', false")
+def _eligible_sql(c: str) -> str:
+    heavy = f"regexp_matches('{c}', 'description|comment|note|bio|summary|text') or coalesce(avg(length({c})) >= 40 or (avg(length({c})) >= 20 and count(distinct {c})::double / count(*) >= 0.8), false)"
+    personal = " or ".join([*(f"regexp_matches('{c}', '{p}')" for p in P.PII_NAMES.values()), *(f"coalesce(count(*) filter (where regexp_matches({c}, '{p}')) >= 0.8 * nullif(count({c}), 0), false)" for p in P.PII_VALUES.values())])
+    return f"select '{c}' as column_name, ({heavy}) and not regexp_matches('{c}', '(^|_)(id|uuid|guid)$|key$') and not ({personal}) as eligible from documents"
+
+
+@query("i19_text_eligibility", "\nunion all\n".join(map(_eligible_sql, ["text", "lang", "source"])))
 def i19(s, d):
     docs = t(s, d, "documents")
     j = P.is_text_heavy(docs).join(P.pii_semantic(docs), "column_name").join(P.is_identifier(docs), "column_name")
