@@ -53,9 +53,9 @@ def g54(s, d):
     return R.not_null(nullified(t(s, d, "orders"), ["o_orderpriority"], "o_orderkey"), "o_orderpriority", "none").select("o_orderkey", "o_orderpriority")
 
 
-@query("g55_force_ratio", f"with r as (select o_orderkey, row_number() over (order by {uniform_sql('ratio:o_orderstatus', 'o_orderkey')}, o_orderkey) as r, count(*) over () as n from orders) select o_orderkey, case when r <= n * 0.5 then 'F' when r <= n * 0.8 then 'O' else 'P' end as o_orderstatus from r")
+@query("g55_force_ratio", f"with r as (select *, row_number() over (order by {uniform_sql('ratio:o_orderstatus', 'o_orderkey')}, o_orderkey) as r, count(*) over () as n from orders) select * exclude (o_orderstatus, r, n), case when r <= n * 0.5 then 'F' when r <= n * 0.8 then 'O' else 'P' end as o_orderstatus from r")
 def g55(s, d):
-    return R.force_ratio(t(s, d, "orders"), "o_orderstatus", {"F": 5, "O": 3, "P": 2}, "o_orderkey").select("o_orderkey", "o_orderstatus")
+    return R.force_ratio(t(s, d, "orders"), "o_orderstatus", {"F": 5, "O": 3, "P": 2}, "o_orderkey")
 
 
 _PAIR = "(select l_orderkey, l_linenumber, cast(o_orderdate as date) + 60 as a, cast(l_shipdate as date) as b from lineitem join orders on o_orderkey = l_orderkey)"

@@ -77,9 +77,9 @@ def a07(s, d):
     return io.reservoir(t(s, d, "events"), 300, ["event_id"]).select("event_id", "priority")
 
 
-@query("a08_holdout_split", f"with r as (select o_orderkey, row_number() over (order by {uniform_sql('holdout', 'o_orderkey')}, o_orderkey) as r, count(*) over () as n from orders) select o_orderkey, r <= n - round_even(n * 0.2, 0) as is_train from r")
+@query("a08_holdout_split", f"with r as (select *, row_number() over (order by {uniform_sql('holdout', 'o_orderkey')}, o_orderkey) as r, count(*) over () as n from orders) select * exclude (r, n), r <= n - round_even(n * 0.2, 0) as is_train from r")
 def a08(s, d):
-    return io.holdout_split(t(s, d, "orders"), 0.2, ["o_orderkey"]).select("o_orderkey", "is_train")
+    return io.holdout_split(t(s, d, "orders"), 0.2, ["o_orderkey"])
 
 
 @query("a09_csv_read_back", "select * from nation")

@@ -34,7 +34,7 @@ def duck(sf):
 
 
 #: One query of each family here; the driver compares all of them at a larger size.
-CHOSEN = "a04_seeded_sample b01_profile_base b14_merge_profiles c06_resolve_semantics d03_dependency_graph e09_cleaning_report f02_mask_table f19_exact_match_rate g07_assign_fk g12_sample_conditional g21_typed_ids g35_fact_rows g64_percent_rule g70_repair_duplicates g86_fix_geography h05_fk_validity h20_ks h40_verdict i07_duplicate_docs j05_apply_rule_chunks j08_clean_stream k05_constraint".split()
+CHOSEN = "a04_seeded_sample a08_holdout_split b01_profile_base b14_merge_profiles c01_score_names c06_resolve_semantics d03_dependency_graph d05_conditional_numeric e09_cleaning_report f02_mask_table f13_dp_histogram f14_dp_mean_var f19_exact_match_rate g06_hours_by_domain g07_assign_fk g12_sample_conditional g21_typed_ids g35_fact_rows g45_named_profiles g55_force_ratio g64_percent_rule g70_repair_duplicates g86_fix_geography h05_fk_validity h20_ks h34_compare_readiness h40_verdict i04_redact i07_duplicate_docs i08_classify_docs i12_field_semantics i19_text_eligibility j02_infer_stream j03_windowed_sums j05_rows_of_chunks j08_clean_stream k05_constraint".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
