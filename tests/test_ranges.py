@@ -37,11 +37,11 @@ def test_ranks_with_all_columns(session, name, keys):
     assert all(u[i - 1] == v for v, i in some) and len(some) == len(u) // 997
 
 
-def test_splits_keep_their_rows(session):
+def test_splits_keep_their_rows(spark):
     from lookalike.operators.repair import force_ratio
     from lookalike.sources.io import holdout_split
 
-    df = session.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
     split = Counter(r.is_train for r in holdout_split(df, 0.2, ["o_orderkey"]).collect())
     assert split == {True: 120_000, False: 30_000}
     forced = Counter(r.o_orderstatus for r in force_ratio(df, "o_orderstatus", {"A": 0.25, "B": 0.75}, "o_orderkey").collect())
