@@ -176,25 +176,37 @@ def dp_mean_var(df: DataFrame, column: str, lower: float, upper: float, epsilon:
     return s.select(F.round(F.lit(lower) + mean * unit, 6).alias("dp_mean"), F.round(F.greatest(square - mean * mean, F.lit(0.0)) * (unit * unit), 4).alias("dp_variance"))
 
 
+#: Units of a standard deviation, and the norm that rows are clipped to.
+MOMENT_UNITS, CLIP = 1 << 24, 3.0
+
+
+def second_moments(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """One row (n, s0_0, s1_0, s1_1, ...): sums of products of whole units of rows clipped to norm 3.
+
+    Standardised by public bounds, not by the data; rows with a null are left out."""
+    k = len(columns)
+    z = [(F.col(c) - (bounds[c][0] + bounds[c][1]) / 2) / ((bounds[c][1] - bounds[c][0]) / math.sqrt(12)) for c in columns]
+    norm = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
+    scale = F.least(F.lit(1.0), CLIP / F.greatest(norm, F.lit(1e-9)))
+    whole = df.dropna(subset=columns).select(*[F.floor(x * scale * MOMENT_UNITS + 0.5).cast("decimal(10,0)").alias(f"z{i}") for i, x in enumerate(z)])
+    return whole.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col(f"z{i}") * F.col(f"z{j}")), F.lit(0)).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)])
+
+
 def dp_correlation(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]], epsilon: float, delta: float = 1e-6, *, secret: int) -> list[list[float]]:
     """Noised second moment of rows clipped to norm 3, made a correlation matrix (F-15).
 
-    Standardised by public bounds, not by the data.  Rows are rounded to whole units, so moments are
-    integers; the driver holds k x k of them and adds exact discrete Gaussian draws; secret as in
-    dp_histogram."""
+    Rows are rounded to whole units, so moments are integers; the driver holds k x k of them and adds
+    exact discrete Gaussian draws; secret as in dp_histogram."""
     import numpy as np
 
-    k, clip, one = len(columns), 3.0, 1 << 24
-    z = [(F.col(c) - (bounds[c][0] + bounds[c][1]) / 2) / ((bounds[c][1] - bounds[c][0]) / math.sqrt(12)) for c in columns]
-    norm = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
-    whole = df.dropna(subset=columns).select(*[F.floor(x * F.least(F.lit(1.0), clip / F.greatest(norm, F.lit(1e-9))) * one + 0.5).cast("decimal(10,0)").alias(f"z{i}") for i, x in enumerate(z)])
-    sums = whole.agg(F.count("*").alias("n"), *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
-    reach = clip + math.sqrt(k) / one  # rounding may carry a row's norm so far
+    k, one = len(columns), MOMENT_UNITS
+    sums = second_moments(df, columns, bounds).first()
+    reach = CLIP + math.sqrt(k) / one  # rounding may carry a row's norm so far
     variance = Fraction(reach**2 * one * one * math.sqrt(2 * math.log(1.25 / delta)) / epsilon) ** 2
     m = np.zeros((k, k))
     for i in range(k):
         for j in range(i + 1):
-            noisy = int(sums[f"s{i}_{j}"] or 0) + discrete_gaussian(Bits(secret, f"dp:moment:{i}:{j}"), variance)
+            noisy = int(sums[f"s{i}_{j}"]) + discrete_gaussian(Bits(secret, f"dp:moment:{i}:{j}"), variance)
             m[i, j] = m[j, i] = noisy / (one * one) / max(1, sums["n"])
     w, v = np.linalg.eigh(m)
     m = v @ np.diag(np.maximum(w, 1e-6)) @ v.T

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -127,6 +128,24 @@ def f14(s, d):
 _BOUNDS = {"l_quantity": (0.0, 50.0), "l_extendedprice": (0.0, 100000.0), "l_discount": (0.0, 0.1)}
 
 
+_ZS = [f"(({c} - {(lo + hi) / 2!r}::double) / {(hi - lo) / math.sqrt(12)!r}::double)" for c, (lo, hi) in _BOUNDS.items()]
+_PAIRS = [(i, j) for i in range(len(_ZS)) for j in range(i + 1)]
+
+
+@query(
+    "f15_second_moments",
+    f"""with z as (select {', '.join(f'{z} as z{i}' for i, z in enumerate(_ZS))} from lineitem where {' and '.join(f'{c} is not null' for c in _BOUNDS)}),
+s as (select *, least(1.0, {V.CLIP}::double / greatest(sqrt({' + '.join(['0.0::double'] + [f'z{i} * z{i}' for i in range(len(_ZS))])}), 1e-9)) as scale from z),
+w as (select {', '.join(f'floor(z{i} * scale * {V.MOMENT_UNITS} + 0.5)::hugeint as w{i}' for i in range(len(_ZS)))} from s)
+"""
+    + "\nunion all\n".join(f"select '{list(_BOUNDS)[i]}' as column_a, '{list(_BOUNDS)[j]}' as column_b, count(*) as n, sum(w{i} * w{j})::double as moment from w" for i, j in _PAIRS),
+)
+def f15_moments(s, d):
+    sums, names = V.second_moments(t(s, d, "lineitem"), list(_BOUNDS), _BOUNDS), list(_BOUNDS)
+    rows = F.array(*[F.struct(F.lit(names[i]).alias("column_a"), F.lit(names[j]).alias("column_b"), F.col("n"), F.col(f"s{i}_{j}").cast("double").alias("moment")) for i, j in _PAIRS])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 @query("f15_dp_correlation")
 def f15(s, d):
     m = V.dp_correlation(t(s, d, "lineitem"), list(_BOUNDS), _BOUNDS, 1.0, secret=SEED)
