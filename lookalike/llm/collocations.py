@@ -37,8 +37,8 @@ from lookalike.sources.ranges import ranked
 
 #: Bytes of text in a block; phrases in a trie; bytes of tries that are broadcast at once.
 BLOCK_BYTES, TRIE, ROUND = 8 << 20, 1 << 16, 64 << 20
-#: Tallies that a task keeps.
-TALLY = 1 << 20
+#: Tallies that a task keeps; text positions that are worked on at once.
+TALLY, SLICE = 1 << 20, 1 << 19
 #: Places of a double array that are tried at once.
 WINDOW = 2048
 #: A-Z are lower-cased, ends of pieces become one sign.
@@ -166,15 +166,16 @@ class Trie:
     def run(self, text: np.ndarray, k: int) -> np.ndarray:
         """The state after the k words from each place, 0 if the trie has no such path."""
         state = np.zeros(max(len(text) - k + 1, 0), np.int32)
-        live = np.arange(len(state))
-        at = state[live]
-        for level in range(k):
-            word = text[live + level]
-            to = self.base[at].astype(np.int64) + word
-            ok = (word > 0) & (to >= 0) & (to < len(self.check))
-            ok[ok] = self.check[to[ok]] == at[ok]
-            live, at = live[ok], to[ok].astype(np.int32)
-        state[live] = at
+        for i in range(0, len(state), SLICE):  # all positions of a slice at once
+            live = np.arange(i, min(i + SLICE, len(state)), dtype=np.int32)
+            at = np.zeros(len(live), np.int32)
+            for level in range(k):
+                word = text[live + level]
+                to = self.base[at].astype(np.int64) + word
+                ok = (word > 0) & (to >= 0) & (to < len(self.check))
+                ok[ok] = self.check[to[ok]] == at[ok]
+                live, at = live[ok], to[ok].astype(np.int32)
+            state[live] = at
         return state
 
 
@@ -209,6 +210,10 @@ class _Tally:
         self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, first: np.ndarray, then: np.ndarray) -> None:
+        for i in range(0, len(first), SLICE):
+            self._add(first[i : i + SLICE], then[i : i + SLICE])
+
+    def _add(self, first: np.ndarray, then: np.ndarray) -> None:
         keys, n = np.unique(first.astype(np.int64) << 32 | then, return_counts=True)
         if len(self.keys):
             keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
