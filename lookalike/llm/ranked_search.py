@@ -78,10 +78,6 @@ _NAMES = ["block", "terms", "n", "places", "tf", "docs", "sizes", "n_docs", "n_t
 _TYPES = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return written(build(keyed(docs, id_col, text_col)))
-
-
 def query_terms(queries: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(row, term): the distinct terms of each query row, which has a number of its own."""
 
@@ -190,7 +186,8 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 def ranked(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", query_col: str = "text") -> DataFrame:
     """(item_col, rank, id_col, score): the k best documents of each query with a score above 0."""
-    blocks = index(docs, id_col, text_col)
+    base = keyed(docs, id_col, text_col)
+    blocks = written(build(base))
     asked = query_terms(queries, item_col, query_col)
     n_docs, n_terms = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     wanted = asked.select("row", F.explode("terms").alias("term"))
@@ -211,7 +208,7 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     bounds = seeds.where(F.col("rank") == k).select("row", F.col("score").alias("bound"))
     rest = search(blocks.where(~first), packed(bounds), (n_docs, n_terms), k, packets == 1)
     top = written(best(seeds.select("row", "uid", "score").unionByName(rest), k))
-    ids = keyed(docs, id_col, text_col).select(F.col("_uid").alias("uid"), F.col("_id").alias("_doc")).join(top, "uid")  # k rows a query
+    ids = base.select(F.col("_uid").alias("uid"), F.col("_id").alias("_doc")).join(top, "uid")  # k rows a query
     names = asked.select("row", F.col("item").alias("_item"))
     return ids.join(names, "row").select(F.col("_item").alias(item_col), "rank", F.col("_doc").alias(id_col), "score")
 
