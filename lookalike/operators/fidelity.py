@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lookalike.operators.models import all_nmi, discretize, quartile_edges
 from lookalike.operators.profile import category_frequencies, correlations, exact_quantiles, numeric_columns, to_long, unpivoted
+from lookalike.sources.io import written
 from lookalike.sources.ranges import running_sums
 
 
@@ -28,7 +29,7 @@ def ks(src: DataFrame, syn: DataFrame, columns: list[str], least: int = 5) -> Da
     """(column_name, similarity): one less the Kolmogorov-Smirnov distance (H-20)."""
     c = _sides(src, syn, columns).select("column_name", F.col("value").cast("double").alias("v"), "a", "b")
     gap = F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))
-    g = running_sums(c, ["column_name"], "v", ["a", "b"]).withColumn("gap", gap).groupBy("column_name").agg(F.max("gap").alias("d"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    g = running_sums(written(c), ["column_name"], "v", ["a", "b"]).withColumn("gap", gap).groupBy("column_name").agg(F.max("gap").alias("d"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     return g.where((F.col("na") >= least) & (F.col("nb") >= least)).select("column_name", F.round(1 - F.col("d"), 6).alias("similarity"))
 
 

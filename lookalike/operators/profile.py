@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lookalike.functions.rng import uniform
 from lookalike.sources.distinct import distinct_counts
+from lookalike.sources.io import written
 from lookalike.sources.ranges import running_sums
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -72,7 +73,7 @@ def group_quantiles(counted: DataFrame, by: list[str], at: list[float]) -> DataF
 
     Counts are added up over ranges of (group, value), so many small groups share a task and a large
     one is cut; only the rows that hold a wanted place go on."""
-    placed = running_sums(counted, by, "v", ["count"])
+    placed = running_sums(written(counted), by, "v", ["count"])  # read several times
     place = lambda i: F.get(F.lit([float(p) for p in at]), i) * (F.col("all_count") - 1)
     held = lambda k: (k < F.col("upto_count")) & (k >= F.col("upto_count") - F.col("count"))
     numbers = F.array(*[F.lit(i) for i in range(len(at))])
