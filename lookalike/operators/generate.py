@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from lookalike.functions.checks import iban_digits, luhn_digit, mod97, verhoeff_digit
 from lookalike.functions.rng import SEED, big, normal, pick, uniform, weighted
 from lookalike.operators.privacy import CITY, COMPANY, FIRST, LAST
+from lookalike.sources.io import written
+
+#: Rows of a conditional model that may be broadcast once they were counted.
+MODEL_ROWS = 50_000
 
 
 def rows(spark, n: int, offset: int = 0) -> DataFrame:
@@ -167,7 +171,7 @@ def expand_children(parent: DataFrame, parent_key: str, model: DataFrame, contex
     packed = cum.groupBy("context").agg(F.array_sort(F.collect_list(F.struct("n_children", "_c"))).alias("_m"))
     ctx = F.col(context).cast("string") if context else F.lit("*")
     u = uniform("children", parent_key)
-    n = F.coalesce(F.element_at(F.filter("_m", lambda x: u < x["_c"]), 1)["n_children"], F.lit(0))
+    n = F.coalesce(F.get(F.filter("_m", lambda x: u < x["_c"]), 0)["n_children"], F.lit(0))
     n = F.least(n, F.lit(cap)) if cap is not None else n
     j = parent.select(F.col(parent_key), ctx.alias("context")).join(packed, "context", "left").withColumn("_n", n.cast("int"))
     return j.where("_n > 0").select(parent_key, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("child_no"))
@@ -187,12 +191,16 @@ def sample_conditional(df: DataFrame, model: DataFrame, parents: list[str], out:
     model: (context, value, probability) with context '*'; parents are banded as it was fitted."""
     by = Window.partitionBy("context").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     packed = model.withColumn("_c", F.round(F.sum("probability").over(by), 9)).groupBy("context").agg(F.array_sort(F.collect_list(F.struct("_c", "value"))).alias("_m"))
-    marginal = packed.where("context = '*'").select(F.col("_m").alias("_any"))
     ctx = F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("∅")) for p in parents])
-    u = uniform(f"cond:{out}", key)
     m = F.coalesce("_m", "_any")
-    value = F.coalesce(F.element_at(F.filter(m, lambda x: u < x["_c"]), 1)["value"], F.element_at(m, -1)["value"])
-    j = df.withColumn("context", ctx).join(packed, "context", "left").crossJoin(F.broadcast(marginal))  # one row
+    # rounded shares may end below one: a draw beyond them gets the last value; it is made once a row, not once a value
+    first = F.get(F.transform(F.array(uniform(f"cond:{out}", key)), lambda u: F.get(F.filter(m, lambda x: u < x["_c"]), 0)["value"]), 0)
+    value = F.coalesce(first, F.element_at(m, -1)["value"])
+    packed = written(packed)
+    small = packed.agg(F.sum(F.size("_m"))).first()[0] or 0
+    known = F.broadcast(packed) if small <= MODEL_ROWS else packed
+    marginal = packed.where("context = '*'").select(F.col("_m").alias("_any"))
+    j = df.withColumn("context", ctx).join(known, "context", "left").join(F.broadcast(marginal), how="left")  # one row
     return j.withColumn(out, value).drop("context", "_m", "_any")
 
 
