@@ -15,3 +15,12 @@ def drawn(spark, model, contexts):
 def test_draws_beyond_the_last_share_get_the_last_value(spark):
     model = [("*", "m", 1.0), ("x", "a", 0.3), ("x", "b", 0.3), ("y", "z", 1.0)]
     assert drawn(spark, model, ["x", "y"]) == {"x": {"a", "b"}, "y": {"z"}}
+
+
+def test_draws_beyond_the_last_share_of_the_marginal(spark, monkeypatch):
+    from lookalike.operators import generate as G
+
+    model = [("*", "m", 0.2), ("*", "n", 0.2), ("x", "a", 1.0)]
+    for rows in (G.MODEL_ROWS, 0):  # models that are broadcast, and that are joined
+        monkeypatch.setattr(G, "MODEL_ROWS", rows)
+        assert drawn(spark, model, ["x", "unknown", None]) == {"x": {"a"}, "unknown": {"m", "n"}, None: {"m", "n"}}
