@@ -10,7 +10,9 @@ that remain have the same components as all links, without any pair within a gro
 Null and empty texts have fingerprint zero; repeated rows are linked; null ids get the
 component's smallest id; an empty table gives no rows; other columns are not looked at.
 
-The pipeline's stage has another contract, a similarity of texts: see similar_texts.
+The pipeline's stage has another contract, a similarity of texts: fingerprints that meet in a table of
+one segment, verified on whole texts, and bands of least hashes for what lies beyond their reach: see
+similar_texts.
 """
 
 from __future__ import annotations
@@ -115,21 +117,42 @@ def _sketches(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, same, keys = [], [], []
+            sizes, same, keys, fps, hashes, counts = [], [], [], [np.zeros(0, np.int64)], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, words)
                 sizes.append(len(s))
                 same.append(xxh3_128_digest(s.tobytes()))
+                hashes.append(s)
+                counts.append(len(s))
+                if sum(counts) > 100_000 or len(counts) > 4000:
+                    fps.append(majority(np.concatenate(hashes), counts))
+                    hashes, counts = [], []
                 h = (s >> np.uint64(32)).astype(np.uint32)
                 least = [((h[i : i + 4096] ^ salt) * odd).min(axis=1) for i in range(0, len(h), 4096)]
                 low = np.min(least, axis=0).reshape(BANDS, ROWS) if least else ()
                 keys.append([xxh64_intdigest(x.tobytes(), b) - (1 << 63) for b, x in enumerate(low)])
-            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["_uid", "_null", "_n", "_set", "_keys"])
+            if counts:
+                fps.append(majority(np.concatenate(hashes), counts))
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.concatenate(fps))]
+            yield pa.RecordBatch.from_arrays(arrays, ["_uid", "_null", "_n", "_set", "_keys", "_fp"])
 
     return run
 
 
+def segment_stars(each: DataFrame) -> DataFrame:
+    """(a, b): stars of nodes whose fingerprints ``_fp`` meet in the table of one segment.
+
+    A table's key is a segment of 32 bits; each fingerprint enters the Hamming ball of radius one, so
+    segments two bits apart meet, whatever the other segment is: all fingerprints up to five bits apart
+    do.  An entry gives a star around its smallest node, so no pair within an entry is made."""
+    flips = F.array(*[F.lit(1 << i).cast("long") for i in range(32)], F.lit(0).cast("long"))
+    parts = [F.col("_fp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("_fp", 32).bitwiseOR(F.lit(1 << 32))]
+    ball = lambda part: F.transform(flips, lambda f: part.bitwiseXOR(f))
+    probes = each.select("node", F.explode(F.concat(*[ball(p) for p in parts])).alias("entry"))
+    least = probes.groupBy("entry").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").select("entry", "a")
+    return probes.join(least, "entry").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,28 +182,31 @@ def similar_texts(base: DataFrame, words: int, similarity: float) -> DataFrame:
     """One row per component of texts whose shingle sets have that Jaccard similarity at least:
     kept, the _uid of the smallest id (a null one only where there is no other).
 
-    base is common.keyed's.  Texts of equal sets count as one.  Two bits of a fingerprint do not
-    reach texts of 0.8, which stand 8 to 11 apart, so candidates meet in bands of least hashes:
-    of pairs at 0.8, (1 - 0.8 ** ROWS) ** BANDS are missed, three in a million, and fewer above.
-    Each is verified on whole sets.  A bucket's members are verified against its smallest first;
+    base is common.keyed's.  Texts of equal sets count as one.  Candidates are fingerprints that meet
+    in a segment's table.  These do not reach all texts of 0.8, which stand 8 to 11 bits apart, so
+    candidates meet in bands of least hashes as well: of pairs at 0.8, (1 - 0.8 ** ROWS) ** BANDS are
+    missed, three in a million, and fewer above.  Each is verified on whole sets.  A bucket's members are verified against its smallest first;
     only those outside its component then are paired with the rest of the bucket, unless exact
     bounds part them: distances to the smallest (the Jaccard distance is a metric), and the
     parities of shingles in PARITY classes (each that differs is a shingle that only one has)."""
-    marks = base.select("_uid", F.col("_id").isNull().alias("_null"), "_text").mapInArrow(_sketches(words), "_uid long, _null boolean, _n long, _set binary, _keys array<long>")
+    marks = base.select("_uid", F.col("_id").isNull().alias("_null"), "_text").mapInArrow(_sketches(words), "_uid long, _null boolean, _n long, _set binary, _keys array<long>, _fp long")
     first = F.min(F.when(~F.col("_null"), F.col("_uid")))
-    each = marks.groupBy("_set", "_n", "_keys").agg(F.coalesce(first, F.min("_uid")).alias("node"), first.isNull().alias("_null"))
-    each = written(each.select("node", "_null", "_n", "_keys"))
+    each = marks.groupBy("_set", "_n", "_keys", "_fp").agg(F.coalesce(first, F.min("_uid")).alias("node"), first.isNull().alias("_null"))
+    each = written(each.select("node", "_null", "_n", "_keys", "_fp"))
     members = each.select("node", F.col("_n").alias("n"), F.explode("_keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
     held = written(members.join(shared, "key"))
-    sets = base.join(held.select(F.col("node").alias("_uid")).distinct(), "_uid", "left_semi")
+    marked = written(segment_stars(each))
+    met = held.select("node").unionByName(marked.select(F.col("a").alias("node"))).unionByName(marked.select(F.col("b").alias("node")))
+    sets = base.join(met.select(F.col("node").alias("_uid")).distinct(), "_uid", "left_semi")
     sets = written(sets.select("_uid", "_text").mapInArrow(_sets(words), "node long, _s binary, _bits array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = sets.select(F.col("node").alias("b"), F.col("_s").alias("_y")), sets.select(F.col("node").alias("a"), F.col("_s").alias("_x"))
         return written(pairs.join(one, "b").join(two, "a").select("a", "b", "_x", "_y").mapInArrow(_apart, "a long, b long, sim double"))
 
-    stars = verified(held.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    banded = held.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
+    stars = verified(marked.unionByName(banded).distinct())
     close = F.col("sim") >= similarity - 1e-12
     roots = components(stars.where(close), "a", "b")
     of = lambda name, root: roots.select(F.col("node").alias(name), F.col("root").alias(root))

@@ -142,3 +142,14 @@ def test_quality_against_a_plain_fit(spark, sf):
     got = {r.doc_id: r.score for r in Q.quality_scores(docs, labels).collect()}
     apart = np.abs(np.array([got[d] for d in ids]) - want)
     assert np.quantile(apart, 0.95) < 1e-3 and apart.max() < 0.1  # a score on the border of a bin may fall to either side
+
+
+def test_stage_joins_by_fingerprints(spark, sf, monkeypatch):
+    """Without any band, fingerprints alone join long texts that differ by a word, and no others."""
+    from lookalike.llm import simhash
+
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    texts = [[f"t{k}w{i}" for i in range(900)] for k in range(12)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)] + [(100 + k, " ".join([*w[:400], "x", *w[401:]])) for k, w in enumerate(texts)]
+    got = simhash.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(12))
