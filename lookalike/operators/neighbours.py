@@ -28,6 +28,24 @@ def apart(a: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(((a[i : i + 64, None, :] - m[None, :, :]) ** 2).sum(-1)) for i in range(0, len(a), 64)]) if len(a) else np.zeros((0, len(m)))
 
 
+def least_apart(a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """apart(a, m).min(axis=1): products of matrices tell which rows of m may be nearest, with room for
+    their rounding, and only these are measured."""
+    near, own = (m**2).sum(-1), (a**2).sum(-1)
+    out = np.full(len(a), math.inf)
+    for i in range(0, len(a), PACKET):
+        part = near - 2 * (a[i : i + PACKET] @ m.T)
+        least = part.min(axis=1)
+        if not np.isfinite(least).all():
+            out[i : i + PACKET] = apart(a[i : i + PACKET], m).min(axis=1)
+            continue
+        who, where = np.nonzero(part <= (least + 1e-11 * (own[i : i + PACKET] + near.max()))[:, None])
+        for j in range(0, len(who), 1 << 16):
+            w = who[j : j + (1 << 16)] + i
+            np.minimum.at(out, w, np.sqrt(((a[w] - m[where[j : j + (1 << 16)]]) ** 2).sum(-1)))
+    return out
+
+
 def _matrix(rows: pa.ListScalar | pa.Array, name: str | None = None) -> np.ndarray:
     array = rows.values if isinstance(rows, pa.ListScalar) else rows
     array = array.field(name) if name else array
@@ -134,7 +152,7 @@ class Tree:
             for batch in batches:
                 for i in range(batch.num_rows):
                     qs, vs = (c[i] for c in batch.columns)
-                    yield pa.RecordBatch.from_arrays([qs.values.field("key"), pa.array(apart(_matrix(qs, "q"), _matrix(vs)).min(axis=1))], ["key", "distance"])
+                    yield pa.RecordBatch.from_arrays([qs.values.field("key"), pa.array(least_apart(_matrix(qs, "q"), _matrix(vs)))], ["key", "distance"])
 
         def meet(asked: DataFrame) -> DataFrame:
             many = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PACKET).alias("packets"))
