@@ -12,7 +12,10 @@ from lookalike.functions.checks import iban_digits, luhn_digit, mod97, verhoeff_
 from lookalike.functions.rng import SEED, big, normal, pick, uniform, weighted
 from lookalike.operators.privacy import CITY, COMPANY, FIRST, LAST
 from lookalike.sources.io import written
+from lookalike.sources.ranges import running_sums
 
+#: Rows of a period that are made at once.
+BLOCK = 10_000
 #: Rows of a conditional model that may be broadcast once they were counted.
 MODEL_ROWS = 50_000
 
@@ -448,17 +451,20 @@ def allocate(weights: DataFrame, total: int, by: str = "period", weight: str = "
 def fact_rows(plan: DataFrame, lane: str = "fact") -> DataFrame:
     """plan: (period, units, target in cents).  Rows of each period with values that sum exactly to
     its target (G-35): cents by drawn weight, the rest to the largest remainders."""
-    r = plan.where("units > 0").select("period", "units", "target", F.explode(F.sequence(F.lit(1).cast("long"), F.col("units"))).alias("row_no"))
+    last = F.floor((F.col("units") - 1) / BLOCK).cast("long")
+    r = plan.where("units > 0").select("period", "units", "target", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_b")).repartition("period", "_b")
+    numbers = F.sequence(F.col("_b") * BLOCK + 1, F.least((F.col("_b") + 1) * BLOCK, F.col("units").cast("long")))
+    r = r.select("period", "units", "target", F.explode(numbers).alias("row_no"))
     r = r.withColumn("_w", 0.5 + uniform(lane, F.concat_ws("-", F.col("period").cast("string"), F.col("row_no").cast("string"))))
     return _shared_out(r, "period", "_w", "target", "row_no").drop("_w")
 
 
 def _shared_out(df: DataFrame, by: str, weight: str, target: str, key: str) -> DataFrame:
-    per = Window.partitionBy(by)
-    exact = F.col(weight) / F.sum(weight).over(per) * F.col(target)
-    j = df.withColumn("_e", exact).withColumns({"_f": F.floor(F.col("_e") + 1e-7).cast("long")}).withColumn("_r", F.round(F.col("_e") - F.col("_f"), 6))
-    place = F.row_number().over(per.orderBy(F.desc("_r"), key))
-    return j.withColumn("cents", F.col("_f") + (place <= F.col(target) - F.sum("_f").over(per)).cast("long")).drop("_e", "_f", "_r")
+    """Sums and places of a group of any size are taken in ranges; ``key`` is unique in a group."""
+    j = running_sums(df, [by], key, [weight]).withColumn("_e", F.col(weight) / F.col(f"all_{weight}") * F.col(target))
+    j = j.withColumn("_f", F.floor(F.col("_e") + 1e-7).cast("long")).withColumn("_r", F.coalesce(-F.round(F.col("_e") - F.col("_f"), 6), F.lit(2.0)))
+    j = running_sums(written(j.withColumn("_one", F.lit(1))), [by], ["_r", key], ["_one", "_f"])
+    return j.withColumn("cents", F.col("_f") + (F.col("upto__one") <= F.col(target) - F.col("all__f")).cast("long")).select(*df.columns, "cents")
 
 
 def rebalance_periods(df: DataFrame, period: Column, value: str, targets: DataFrame, key: str) -> DataFrame:

@@ -11,3 +11,13 @@ def test_least_distances_by_products():
     a, m = rng.standard_normal((1300, 64)) + 1000, rng.standard_normal((700, 64)) + 1000
     a[:50], a[50:90] = m[:50], m[100:140] + 1e-9
     assert (least_apart(a, m) == apart(a, m).min(axis=1)).all()
+
+
+def test_fact_rows_are_placed_in_ranges(spark):
+    from lookalike.operators.generate import fact_rows
+
+    plan = spark.createDataFrame([("a", 25_000, 1_000_003), ("b", 3, 100), ("c", 0, 9), (None, 2, 7)], "period string, units long, target long")
+    out = fact_rows(plan)
+    assert "__part" in out._jdf.queryExecution().optimizedPlan().toString()  # no window holds a whole period
+    got = {r.period: (r.n, r.d, r.t) for r in out.groupBy("period").agg(F.count("*").alias("n"), F.count_distinct("row_no").alias("d"), F.sum("cents").alias("t")).collect()}
+    assert got == {"a": (25_000, 25_000, 1_000_003), "b": (3, 3, 100), None: (2, 2, 7)}
