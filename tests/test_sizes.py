@@ -21,3 +21,10 @@ def test_fact_rows_are_placed_in_ranges(spark):
     assert "__part" in out._jdf.queryExecution().optimizedPlan().toString()  # no window holds a whole period
     got = {r.period: (r.n, r.d, r.t) for r in out.groupBy("period").agg(F.count("*").alias("n"), F.count_distinct("row_no").alias("d"), F.sum("cents").alias("t")).collect()}
     assert got == {"a": (25_000, 25_000, 1_000_003), "b": (3, 3, 100), None: (2, 2, 7)}
+
+
+def test_least_distances_of_odd_vectors():
+    from lookalike.operators.neighbours import apart, least_apart
+
+    a, m = np.array([[1.0, np.inf], [0.0, 2.0]]), np.array([[0.0, 1.0], [5.0, 5.0]])
+    assert (least_apart(a, m) == apart(a, m).min(axis=1)).all()
