@@ -15,6 +15,8 @@ from lookalike.operators.neighbours import nearest
 from lookalike.operators.profile import RARE, exact_quantiles, unpivoted
 from lookalike.sources.ranges import running_sums
 
+#: Bits of a place in a leak scan's table; rows of forbidden strings that may be broadcast once they were counted.
+START_BITS, FORBIDDEN_ROWS = 22, 20_000
 #: Masking kind by column name, the first match wins (F-01).
 KIND_NAMES = [("email", "(?i)e_?mail"), ("phone", "(?i)phone|mobile|fax"), ("first_name", "(?i)first_?name|given_?name"), ("last_name", "(?i)last_?name|surname|family_?name"), ("company", "(?i)company|employer|supplier|s_name"), ("city", "(?i)city|town"), ("street", "(?i)street|address"), ("full_name", "(?i)(^|_)(full_?|customer_?|c_)?name$"), ("identifier", "(?i)(^|_)(id|key|uuid)$|key$")]
 KIND_TYPES = {"email": "email", "person_name": "full_name", "phone_number": "phone", "identifier": "identifier"}
@@ -81,25 +83,57 @@ def leak_scan(texts: DataFrame, text_col: str, id_col: str, forbidden: DataFrame
     white space squeezed (F-06).
 
     A text meets only the strings whose first ``head`` characters (or all, if it has fewer) occur
-    in it, so nothing is compared all with all."""
+    in it, so nothing is compared all with all.  Tasks have a table of bits of these beginnings, of
+    fixed size, and send on what it has only: texts with a hit carry their beginnings, no others move."""
+    import numpy as np
     import pyarrow as pa
 
     squeeze = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
     f = forbidden.select(F.trim(F.col(value_col).cast("string")).alias("value")).where(F.char_length("value") >= least).distinct()
     f = f.withColumns({"want": squeeze(F.col("value")), "start": F.substring(squeeze(F.col("value")), 1, head)}).withColumn("size", F.char_length("start"))
     said = texts.select(F.col(id_col).alias("id"), squeeze(F.col(text_col)).alias("body"))
-    sizes = [r[0] for r in f.select("size").distinct().collect()]  # head - least + 1 numbers at most
-    if not sizes:
+    kind = said.schema["id"].dataType.simpleString()
+
+    def hashed(codes: np.ndarray, n: int) -> np.ndarray:
+        """Places in the table of bits of all n characters in a row."""
+        h = np.zeros(max(len(codes) - n + 1, 0), np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)] + np.uint64(1)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - START_BITS)
+
+    codes_of = lambda x: np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+    def marks(batches):
+        for batch in batches:
+            starts = batch.column(0).to_pylist()
+            at = [int(hashed(codes_of(x), len(x))[0]) for x in starts]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in starts], pa.int32()), pa.array(at, pa.int64())], ["size", "at"])
+
+    table: dict = {}
+    for r in f.select("start").distinct().mapInArrow(marks, "size int, at long").distinct().toLocalIterator():  # at most the table's bits for each size
+        table.setdefault(r["size"], np.zeros(1 << START_BITS - 3, np.uint8))[r["at"] >> 3] |= 1 << (r["at"] & 7)
+    if not table:
         return said.select("id", F.lit(None).cast("string").alias("value")).limit(0)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         for batch in batches:
+            who, found = [], []
             for i, body in enumerate(batch.column(1).to_pylist()):
-                starts = {body[k : k + n] for n in sizes for k in range(len(body or "") - n + 1)}
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(starts), pa.int64())), pa.array(starts, pa.string())], ["id", "start"])
-
-    pieces = said.mapInArrow(run, f"id {said.schema['id'].dataType.simpleString()}, start string")
-    hits = pieces.join(f, "start").join(said, "id").where(F.contains("body", "want"))
+                codes, starts = codes_of(body or ""), set()
+                for n, bits in shared.value.items():
+                    h = hashed(codes, n)
+                    hit = np.nonzero((bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)[0]
+                    starts.update(body[k : k + n] for k in hit.tolist())
+                if starts:
+                    who.append(i)
+                    found.append(list(starts))
+            take = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.list_(pa.string()))], ["id", "body", "starts"])
+
+    pieces = said.mapInArrow(run, f"id {kind}, body string, starts array<string>").select("id", "body", F.explode("starts").alias("start"))
+    wanted = f.select("start", "want", "value")
+    hits = pieces.join(F.broadcast(wanted) if f.count() <= FORBIDDEN_ROWS else wanted, "start").where(F.contains("body", "want"))
     return hits.select("id", "value").distinct()
 
 

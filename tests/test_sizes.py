@@ -28,3 +28,12 @@ def test_least_distances_of_odd_vectors():
 
     a, m = np.array([[1.0, np.inf], [0.0, 2.0]]), np.array([[0.0, 1.0], [5.0, 5.0]])
     assert (least_apart(a, m) == apart(a, m).min(axis=1)).all()
+
+
+def test_leaks_in_texts_without_an_id(spark):
+    from lookalike.operators.privacy import leak_scan
+
+    texts = spark.createDataFrame([(1, "it says  secret phrase here"), (None, "a secret phrase"), (2, "secret phrases aside, ab c"), (3, None), (4, "secre")], "id long, text string")
+    bad = spark.createDataFrame([("secret phrase",), (" ab c ",), ("no",), (None,), ("\U0001f600x\U0001f600",)], "v string")
+    got = sorted(map(tuple, leak_scan(texts, "text", "id", bad, "v").collect()), key=str)
+    assert got == sorted([(1, "secret phrase"), (None, "secret phrase"), (2, "secret phrase"), (2, "ab c")], key=str)
