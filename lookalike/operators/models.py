@@ -244,8 +244,11 @@ def fit_copula(df: DataFrame, columns: list[str]) -> Copula:
     held = {r.column_name: r.q for r in exact_quantiles(df, {c: encode_number(c, df) for c in columns}, [i / 20 for i in range(21)]).collect()}
     first = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     grids = {c: list(held.get(c) or [0.0] * 21) for c in columns}
-    z = df.select(*[normal_quantile(_position(F.coalesce(encode_number(c, df), F.lit(grids[c][10])), grids[c])).alias(f"z{i}") for i, c in enumerate(columns)])
+    # a step each, as the next one names its input many times: Spark does not put such steps into one another
     k = len(columns)
+    z = df.select(*[F.coalesce(encode_number(c, df), F.lit(grids[c][10])).alias(f"v{i}") for i, c in enumerate(columns)])
+    z = z.select(*[_position(F.col(f"v{i}"), grids[c]).alias(f"p{i}") for i, c in enumerate(columns)])
+    z = z.select(*[normal_quantile(F.col(f"p{i}")).alias(f"z{i}") for i in range(k)])
     r = z.agg(*[F.corr(f"z{i}", f"z{j}").alias(f"r{i}_{j}") for i in range(k) for j in range(i)]).first() if k > 1 else {}
     corr = [[1.0] * k for _ in range(k)]
     for i in range(k):
@@ -280,9 +283,12 @@ def sample_copula(spark, model: Copula, n: int, lane: str = "copula", offset: in
     low = cholesky(model.correlation)
     rows = spark.range(offset, offset + n).withColumnRenamed("id", "row_id")
     z = rows.select("row_id", *[normal(f"{lane}:{i}", "row_id").alias(f"_z{i}") for i in range(len(model.columns))])
+    k = len(model.columns)
+    # a step each, as in fit_copula
+    x = z.select("row_id", *[sum((float(low[i][j]) * F.col(f"_z{j}") for j in range(i + 1)), F.lit(0.0)).alias(f"_x{i}") for i in range(k)])
+    u = x.select("row_id", *[F.least(F.greatest(normal_cdf(F.col(f"_x{i}")), F.lit(0.0)), F.lit(1.0)).alias(f"_u{i}") for i in range(k)])
     out = []
     for i, c in enumerate(model.columns):
-        mixed = sum((float(low[i][j]) * F.col(f"_z{j}") for j in range(i + 1)), F.lit(0.0))
-        value = from_grid(F.least(F.greatest(normal_cdf(mixed), F.lit(0.0)), F.lit(1.0)), model.grids[c])
+        value = from_grid(F.col(f"_u{i}"), model.grids[c])
         out.append(F.when(uniform(f"{lane}:null:{c}", "row_id") < model.null_rates[c], F.lit(None)).otherwise(F.round(value, 6)).alias(c))
-    return z.select("row_id", *out)
+    return u.select("row_id", *out)

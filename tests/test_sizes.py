@@ -52,3 +52,12 @@ def test_trigrams_are_counted_by_runs(monkeypatch):
         got.update((at + int(i), g) for i, g in zip(owner, X._gram_texts(grams), strict=True))
     assert sizes == [len(x or "") for x in texts]
     assert got == Counter((i, x[k : k + 3]) for i, x in enumerate(texts) if x for k in range(len(x) - 2))
+
+
+def test_copula_steps_stay_apart(spark):
+    """Each normal probability is computed once a row, not once for each time the next step names it."""
+    from lookalike.operators.models import Copula, sample_copula
+
+    model = Copula(["a", "b"], {c: [float(i) for i in range(21)] for c in "ab"}, {"a": 0.1, "b": 0.0}, [[1.0, 0.5], [0.5, 1.0]])
+    out = sample_copula(spark, model, 50)
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") <= 4 and out.count() == 50
