@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.noise import Bits, discrete_gaussian, geometric_noise
 from lookalike.functions.rng import SEED, pick, uniform
-from lookalike.operators.neighbours import nearest
+from lookalike.operators.neighbours import Tree, nearest
 from lookalike.operators.profile import RARE, exact_quantiles, unpivoted
 from lookalike.sources.ranges import running_sums
 
@@ -324,7 +324,8 @@ def uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
 def dcr(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, key: str) -> DataFrame:
     """Share of synthetic rows closer to training rows than 1 % of holdout rows are, and the ratio
     of median distances (F-23)."""
-    s, h = nearest(syn, train, vector, key), nearest(holdout, train, vector, key)
+    tree = Tree(train, vector)
+    s, h = nearest(syn, tree, vector, key), nearest(holdout, tree, vector, key)
     at = lambda d, p: exact_quantiles(d, {"d": F.col("distance")}, p).select(*[F.col("q")[i].alias(f"q{i}") for i in range(len(p))])
     held = at(h, [0.01, 0.5]).select(F.col("q0").alias("floor"), F.col("q1").alias("mh"))
     share = s.crossJoin(F.broadcast(held)).agg(F.round(F.avg((F.col("distance") < F.col("floor")).cast("double")), 6).alias("near_duplicate_share"), F.max("mh").alias("mh"))  # one row of two numbers
@@ -335,8 +336,9 @@ def mia_auc(syn: DataFrame, train: DataFrame, holdout: DataFrame, vector: str, k
     """AUC of telling members by their distance to synthetic rows, ties averaged (F-24).
 
     Ranks come from counts per distance, added up over ranges of distances."""
-    a = nearest(train, syn, vector, key).select(F.round("distance", 6).alias("d"), F.lit(1).alias("m"))
-    b = nearest(holdout, syn, vector, key).select(F.round("distance", 6).alias("d"), F.lit(0).alias("m"))
+    tree = Tree(syn, vector)
+    a = nearest(train, tree, vector, key).select(F.round("distance", 6).alias("d"), F.lit(1).alias("m"))
+    b = nearest(holdout, tree, vector, key).select(F.round("distance", 6).alias("d"), F.lit(0).alias("m"))
     g = a.unionByName(b).groupBy("d").agg(F.sum("m").alias("members"), F.sum(1 - F.col("m")).alias("others"))
     r = running_sums(g, [], "d", ["others"]).withColumn("above", F.col("all_others") - F.col("upto_others"))
     pairs = F.sum(F.col("members") * (F.col("above") + F.col("others") / 2))

@@ -61,3 +61,23 @@ def test_copula_steps_stay_apart(spark):
     model = Copula(["a", "b"], {c: [float(i) for i in range(21)] for c in "ab"}, {"a": 0.1, "b": 0.0}, [[1.0, 0.5], [0.5, 1.0]])
     out = sample_copula(spark, model, 50)
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") <= 4 and out.count() == 50
+
+
+def test_spread_vectors_are_shipped_in_groups(spark, monkeypatch):
+    """Where bounds exclude nothing, a meeting of a packet and a block is a few bytes, and results are exact."""
+    from lookalike.operators import neighbours as N
+
+    for name, value in (("BLOCK", 40), ("PACKET", 25), ("PIVOTS", 15), ("GROUPS", 2)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(6)
+    base, asked = rng.standard_normal((300, 32)), rng.standard_normal((100, 32))
+    base[7] = np.inf
+    rows = lambda m: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "key long, q array<double>")
+    tree = N.Tree(rows(base), "q")
+    packets = tree.packets(rows(asked))
+    visits = tree.visits(packets)
+    assert visits.columns == ["p", "b", "mask"] and 0 < visits.count() <= packets.count() * tree.blocks().count()
+    assert packets.count() < 50
+    got = dict(map(tuple, tree.nearest(rows(asked))[0].collect()))
+    want = np.sqrt(((asked[:, None] - base[None]) ** 2).sum(-1)).min(1)
+    assert got.keys() == set(range(100)) and all(abs(got[i] - want[i]) < 1e-12 for i in got)
