@@ -11,8 +11,8 @@ Null and empty texts have fingerprint zero; repeated rows are linked; null ids g
 component's smallest id; an empty table gives no rows; other columns are not looked at.
 
 The pipeline's stage has another contract, a similarity of texts: fingerprints that meet in a table of
-one segment, verified on whole texts, and bands of least hashes for what lies beyond their reach: see
-similar_texts.
+one segment, verified on whole texts, bands of least hashes for what lies beyond their reach, and prefixes
+of whole sets for every pair that both have left: see similar_texts.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ RADIUS = 2
 SIMILARITY, BANDS, ROWS = 0.8, 24, 4
 #: Classes of shingles whose parities bound the difference of two sets.
 PARITY = 1024
+#: One text in SHARE tells frequent shingles, which COMMON texts there have at least; so many are known at
+#: most.  They only steer the order in which prefixes take shingles, and results do not depend on it.
+SHARE, COMMON, KNOWN = 16, 3, 1 << 18
 #: Set bits of each byte value.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -156,13 +159,20 @@ def segment_stars(each: DataFrame) -> DataFrame:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, bits = [], []
+            sets = [shingle_set(text, words).tobytes() for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "_s"])
+
+    return run
+
+
+def _parities(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingle_set(text, words)
-                odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-                sets.append(s.tobytes())
+                odd = np.bincount((shingle_set(text, words) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["node", "_s", "_bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["node", "_bits"])
 
     return run
 
@@ -178,50 +188,132 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "sim"])
 
 
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, words) for text in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["token"])
+
+    return run
+
+
+def frequent_shingles(base: DataFrame, words: int) -> np.ndarray:
+    """Hashes of frequent shingles, the rarest first, by a share of the texts."""
+    some = base.where(F.pmod(F.xxhash64("_uid"), F.lit(SHARE)) == 0).select("_text")
+    counts = written(some.mapInArrow(_shingles(words), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
+    least, total = COMMON, 0
+    for n, tokens in sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        total += tokens
+        if total > KNOWN:
+            least = n + 1
+            break
+    known = counts.where(F.col("n") >= least).toArrow().to_pydict()
+    token = np.array(known["token"], np.int64).view(np.uint64)
+    return token[np.lexsort((token, known["n"]))]
+
+
+def needed(share: float, n):
+    """The least whole number that is no less than that share of n."""
+    return np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def _prefixes(words: int, similarity: float, frequent: np.ndarray):
+    """Of each set its first shingles, in one order for all sets: rare ones by hash, then frequent ones.
+    So many are taken that two sets of that similarity share one of them."""
+    by_hash = np.argsort(frequent)
+    known = frequent[by_hash]
+
+    def first(s: np.ndarray) -> np.ndarray:
+        n = len(s) - int(needed(similarity, len(s))) + 1 if len(s) else 0
+        if not len(known):
+            return s[:n]
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        hit = known[at] == s
+        return np.concatenate([s[~hit][:n], frequent[np.sort(by_hash[at[hit]])]])[:n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, roots = (batch.column(i).to_numpy() for i in (0, 1))
+            tokens, sizes, start = [], [], 0
+            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+                s = shingle_set(text, words)
+                tokens.append(first(s))
+                sizes.append(len(s))
+                if sum(map(len, tokens)) > 200_000 or i + 1 == len(nodes):
+                    took = np.array([len(x) for x in tokens], np.int64)
+                    place = np.concatenate([np.arange(x) for x in took])
+                    cols = [np.concatenate(tokens).view(np.int64), *(np.repeat(x, took) for x in (nodes[start : i + 1], roots[start : i + 1], np.array(sizes, np.int64))), place]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "node", "root", "n", "place"])
+                    tokens, sizes, start = [], [], i + 1
+
+    return run
+
+
+def prefix_pairs(nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, na, b, nb): pairs of nodes of unlike ``root`` whose sets may have that similarity, none left out.
+
+    Sets of that similarity share a shingle of their prefixes, and the first that they share stands so
+    early in both that what follows can still make up the shingles they must share; of the smaller set an
+    even shorter prefix does.  A shingle all of whose nodes have one root gives no pair; else only nodes
+    outside its largest root are paired with the others."""
+    taken = nodes.select("_uid", "root", "_text").mapInArrow(_prefixes(words, similarity, frequent_shingles(nodes, words)), "token long, node long, root long, n long, place long")
+    per = Window.partitionBy("token")
+    mixed = taken.withColumns({"lo": F.min("root").over(per), "hi": F.max("root").over(per)}).where("lo <> hi").drop("lo", "hi")
+    mixed = written(mixed)
+    head = mixed.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("most"))
+    mixed = mixed.join(head, "token").withColumn("out", F.col("root") != F.col("most.root")).drop("most")
+    both = 2 * similarity / (1 + similarity)
+    early = mixed.where(F.col("place") <= F.col("n") - F.ceil(both * F.col("n") - 1e-9))
+    x = early.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "place", "out")])
+    y = mixed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "place", "out")])
+    met = x.where("x_out").join(y, "token").unionByName(x.where("not x_out").join(y.where("y_out"), "token"))
+    shared = F.ceil(similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    once = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node")))
+    met = met.where((F.col("x_root") != F.col("y_root")) & once & (F.col("x_n") >= similarity * F.col("y_n") - 1e-9))
+    met = met.where(F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= shared)
+    return met.select(F.col("x_node").alias("a"), F.col("x_n").alias("na"), F.col("y_node").alias("b"), F.col("y_n").alias("nb")).distinct()
+
+
 def similar_texts(base: DataFrame, words: int, similarity: float) -> DataFrame:
     """One row per component of texts whose shingle sets have that Jaccard similarity at least:
     kept, the _uid of the smallest id (a null one only where there is no other).
 
-    base is common.keyed's.  Texts of equal sets count as one.  Candidates are fingerprints that meet
-    in a segment's table.  These do not reach all texts of 0.8, which stand 8 to 11 bits apart, so
-    candidates meet in bands of least hashes as well: of pairs at 0.8, (1 - 0.8 ** ROWS) ** BANDS are
-    missed, three in a million, and fewer above.  Each is verified on whole sets.  A bucket's members are verified against its smallest first;
-    only those outside its component then are paired with the rest of the bucket, unless exact
-    bounds part them: distances to the smallest (the Jaccard distance is a metric), and the
-    parities of shingles in PARITY classes (each that differs is a shingle that only one has)."""
+    base is common.keyed's.  Texts of equal sets count as one.  Most links are found by fingerprints that
+    meet in a segment's table, and by bands of least hashes for texts of 0.8, which stand 8 to 11 bits
+    apart: in either each is verified against the smallest of its entry, on whole sets.  Neither way
+    promises all links, so prefixes of the sets then give every pair that may be left between two
+    components, exactly.  The parities of shingles in PARITY classes part most of these (each that
+    differs is a shingle that only one has); the others are verified on whole sets as well."""
     marks = base.select("_uid", F.col("_id").isNull().alias("_null"), "_text").mapInArrow(_sketches(words), "_uid long, _null boolean, _n long, _set binary, _keys array<long>, _fp long")
     first = F.min(F.when(~F.col("_null"), F.col("_uid")))
     each = marks.groupBy("_set", "_n", "_keys", "_fp").agg(F.coalesce(first, F.min("_uid")).alias("node"), first.isNull().alias("_null"))
-    each = written(each.select("node", "_null", "_n", "_keys", "_fp"))
-    members = each.select("node", F.col("_n").alias("n"), F.explode("_keys").alias("key"))
+    each = written(each.select("node", "_null", "_keys", "_fp"))
+    members = each.select("node", F.explode("_keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
-    held = written(members.join(shared, "key"))
-    marked = written(segment_stars(each))
-    met = held.select("node").unionByName(marked.select(F.col("a").alias("node"))).unionByName(marked.select(F.col("b").alias("node")))
-    sets = base.join(met.select(F.col("node").alias("_uid")).distinct(), "_uid", "left_semi")
-    sets = written(sets.select("_uid", "_text").mapInArrow(_sets(words), "node long, _s binary, _bits array<long>"))
+    banded = members.join(shared, "key").select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
+    stars = written(segment_stars(each).unionByName(banded).distinct())
+    close = F.col("sim") >= similarity - 1e-12
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(F.col("a").alias("_uid")).unionByName(pairs.select(F.col("b").alias("_uid"))).distinct()
+        return base.join(met, "_uid", "left_semi").select("_uid", "_text")
+
+    def both(pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+        return pairs.join(facts.select(F.col("node").alias("b"), F.col(name).alias("_y")), "b").join(facts.select(F.col("node").alias("a"), F.col(name).alias("_x")), "a")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one, two = sets.select(F.col("node").alias("b"), F.col("_s").alias("_y")), sets.select(F.col("node").alias("a"), F.col("_s").alias("_x"))
-        return written(pairs.join(one, "b").join(two, "a").select("a", "b", "_x", "_y").mapInArrow(_apart, "a long, b long, sim double"))
+        sets = written(texts_of(pairs).mapInArrow(_sets(words), "node long, _s binary"))
+        return written(both(pairs, sets, "_s").select("a", "b", "_x", "_y").mapInArrow(_apart, "a long, b long, sim double"))
 
-    banded = held.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    stars = verified(marked.unionByName(banded).distinct())
-    close = F.col("sim") >= similarity - 1e-12
+    stars = verified(stars)
     roots = components(stars.where(close), "a", "b")
-    of = lambda name, root: roots.select(F.col("node").alias(name), F.col("root").alias(root))
-    known = held.where("low <> node").join(of("node", "root"), "node", "left").join(of("low", "low_root"), "low", "left")
-    known = known.withColumn("root", F.coalesce("root", "node")).withColumn("low_root", F.coalesce("low_root", "low"))
-    known = known.join(stars.select(F.col("a").alias("low"), F.col("b").alias("node"), "sim"), ["low", "node"])
-    known = written(known.select("key", "node", "n", "root", "sim", (F.col("root") != F.col("low_root")).alias("out")))
-    outside = known.where("out").select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "sim")])
-    known = known.join(outside.select("key").distinct(), "key", "left_semi")
-    known = known.join(sets.select("node", "_bits"), "node")
-    outside = outside.join(sets.select(F.col("node").alias("o_node"), F.col("_bits").alias("o_bits")), "o_node")
-    least = sum((F.bit_count(F.col("_bits")[i].bitwiseXOR(F.col("o_bits")[i])) for i in range(PARITY // 64)), F.lit(0))
-    fits = (least <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("o_n")) + 1e-9) & (F.abs(F.col("sim") - F.col("o_sim")) <= 1 - similarity + 1e-9)
-    pairs = outside.join(known, "key").where((F.col("root") != F.col("o_root")) & fits)
-    rest = verified(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct())
+    nodes = each.select(F.col("node").alias("_uid")).join(roots.withColumnRenamed("node", "_uid"), "_uid", "left")
+    nodes = base.join(nodes, "_uid").select("_uid", F.coalesce("root", "_uid").alias("root"), "_text")
+    pairs = written(prefix_pairs(nodes, words, similarity))
+    bits = written(texts_of(pairs).mapInArrow(_parities(words), "node long, _bits array<long>"))
+    least = sum((F.bit_count(F.col("_x")[i].bitwiseXOR(F.col("_y")[i])) for i in range(PARITY // 64)), F.lit(0))
+    fits = least <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9
+    rest = verified(written(both(pairs, bits, "_bits").where(fits).select("a", "b")))
     roots = components(stars.unionByName(rest).where(close), "a", "b")
     labelled = each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return labelled.groupBy("root").agg(F.coalesce(F.min(F.when(~F.col("_null"), F.col("node"))), F.min("node")).alias("kept")).select("kept")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 DOC = "doc_id long, text string"
 
 
@@ -87,3 +89,38 @@ def test_edited_copies_do_not_pair_up(spark, sf, monkeypatch):
     got = simhash.stage_simhash(spark, spark.createDataFrame(rows, DOC), sf)
     assert sorted((x.doc_id for x in got.collect()), key=str) == kept(rows)
     assert seen[1] < 500
+
+
+def test_links_that_no_table_and_no_band_finds(spark, sf):
+    """Pairs at 0.8 that neither a segment's table nor a band brings together, found by trying nine million."""
+    from lookalike.llm import simhash
+
+    rows = []
+    for i, k in enumerate([100028600, 200798323, 300028386, 400090716, 500548859, 600038358, 700509423, 800109745]):
+        w = [f"{j}w{k}" for j in range(14)]
+        rows += [(2 * i, " ".join(w[:13])), (2 * i + 1, " ".join(w[:12] + w[13:]))]
+    docs = spark.createDataFrame(rows, DOC)
+    got = sorted(x.doc_id for x in simhash.stage_simhash(spark, docs, sf).collect())
+    assert got == sorted(kept(rows)) == list(range(0, 16, 2))
+
+
+def test_prefixes_alone_find_all_links(spark, sf, monkeypatch):
+    """Without any table or band, with frequent shingles known or not: texts, copies of one line, short texts."""
+    from lookalike.llm import simhash
+
+    monkeypatch.setattr(simhash, "segment_stars", lambda each: each.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    r = random.Random(8)
+    vocab, line = [f"w{i}" for i in range(300)], [f"line{i}" for i in range(12)]
+    docs = []
+    for _ in range(150):
+        w = r.choice(docs).split() if docs and r.random() < 0.7 else [r.choice(vocab) for _ in range(r.randint(1, 90))]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        docs.append(" ".join(w + line if r.random() < 0.3 else w))
+    rows = list(enumerate(docs))
+    for share, known in ((16, 1 << 18), (1, 1 << 18), (1, 5)):
+        monkeypatch.setattr(simhash, "SHARE", share)
+        monkeypatch.setattr(simhash, "KNOWN", known)
+        got = simhash.stage_simhash(spark, spark.createDataFrame(rows, DOC), sf)
+        assert sorted(x.doc_id for x in got.collect()) == sorted(kept(rows))
